@@ -7,13 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
+from .decontamination import decontaminate
+from .host_rules import host_rules
+from .packing import pack_documents
+from .sharding import kd_shards
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .toxicity import toxicity
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; every node has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(C.read(spark, sf_dir, "documents"))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(C.read(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(C.read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(C.read(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(C.read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
