@@ -63,7 +63,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lexed:
-    """The words of some texts: hash, index of its text, byte range in buf; first[i]:first[i+1] are text i's words."""
+    """The words of some texts: hash, index of its text, byte range in buf; first[i]:first[i+1] are text i's words, begin[i] its first byte."""
 
     def __init__(self, texts: list[bytes], seps: np.ndarray = IS_SPACE, fold: bool = False):
         buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -74,6 +74,7 @@ class Lexed:
         self.end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
+        self.begin = begin
         self.first = np.searchsorted(self.start, begin)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.buf, n = buf, len(buf)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 from .decontamination import decontaminate
 from .host_rules import host_rules
+from .line_dedup import line_verdicts
 from .packing import pack_documents
 from .sharding import kd_shards
 from .substring_dedup import substring_dedup
@@ -47,6 +49,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(C.read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed_lines: the numbers of the removed lines, from 0, comma-joined."""
+    verdicts = line_verdicts(C.read(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
