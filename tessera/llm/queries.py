@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .decontamination import decontaminate
 from .host_rules import host_rules
+from .language_model import deleted_interpolation
 from .line_dedup import line_verdicts
 from .packing import pack_documents
 from .sharding import kd_shards
@@ -33,6 +34,10 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(C.read(spark, sf_dir, "documents"))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation(C.read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(C.read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
