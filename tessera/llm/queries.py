@@ -12,6 +12,7 @@ from .decontamination import decontaminate
 from .host_rules import host_rules
 from .language_model import deleted_interpolation
 from .line_dedup import line_verdicts
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .sharding import kd_shards
 from .substring_dedup import substring_dedup
@@ -54,6 +55,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(C.read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(C.read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """removed_lines: the numbers of the removed lines, from 0, comma-joined."""
     verdicts = line_verdicts(C.read(spark, sf_dir, "documents"))
