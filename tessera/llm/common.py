@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,19 @@ def slices(batches, limit: int = SLICE_BYTES):
             yield ids[a:], texts[a:]
 
 
+def by_text(kind: str, f):
+    """A column function of a text column: f takes a list of UTF-8 texts (a null is empty) and returns an array."""
+    out = getattr(pa, {"double": "float64", "boolean": "bool_"}[kind])()
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            rows = pa.record_batch([pa.array(np.zeros(len(b), np.int8)), b], ["id", "text"])
+            parts = [pa.array(f(texts), out) for _, texts in slices([rows])]
+            yield pa.concat_arrays(parts) if parts else pa.array([], out)
+
+    return F.arrow_udf(run, kind)
+
+
 def encode(*columns: np.ndarray) -> bytes:
     """Unsigned columns as byte planes, without the high planes that are all zero."""
     parts = []

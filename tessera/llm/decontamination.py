@@ -176,3 +176,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
             every = every.unionByName(x)
         rows = every.groupBy("row", "doc_id", "n_words").agg(F.collect_list("hit").alias("hits"), F.collect_list("items").alias("items"))
     return rows.mapInArrow(_sum_up, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """docs without a hit, all columns; rows without doc_id are judged too."""
+
+    def hit(items):
+        def run(texts):
+            _, _, found = items.value.find(texts)
+            return np.isin(np.arange(len(texts)), list(found))
+
+        return C.by_text("boolean", run)(F.col("text").cast("string"))
+
+    for chunk in _chunks(benchmark, chunk_words):
+        docs = docs.where(~hit(docs.sparkSession.sparkContext.broadcast(Items(*chunk, span, gram))))
+    return docs

@@ -433,3 +433,14 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_
     keys = ["n", "fp1", "fp2"]
     out = every.join(labels, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without those that link, directly or not, with one of a smaller doc_id; all columns; rows without doc_id stay."""
+    groups = C.stash(ngram_join(docs, **options))
+    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    kept = docs.join(later, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    if docs.where("doc_id is not null").count() == groups.count():
+        return kept
+    known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])  # rows that repeat a doc_id are one document
+    return known.unionByName(kept.where("doc_id is null"))

@@ -175,27 +175,27 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     return weights, bias
 
 
-def _score(model):
-    schema = C.arrow("doc_id long, score double")
+def scores(texts: list[bytes], model: tuple[np.ndarray, float]) -> np.ndarray:
+    weights, bias = model
+    owner, f = features(texts)
+    keep = weights[f] != 0
+    z = np.bincount(owner[keep], weights[f[keep]], len(texts)) + bias
+    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
-    def run(batches):
-        weights, bias = model.value
-        for ids, texts in C.slices(batches):
-            owner, f = features(texts)
-            keep = weights[f] != 0
-            z = np.bincount(owner[keep], weights[f[keep]], len(texts)) + bias
-            yield C.rows(schema, ids, np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700)))))
 
-    return run
+def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "text"):
+    """The score of a text, as a column; the weights are broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return C.by_text("double", lambda texts: scores(texts, shared.value))(F.col(column).cast("string"))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return C.texts_of(docs).mapInArrow(_score(shared), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs whose text scores below the threshold, all columns; rows without doc_id are judged too."""
+    return docs.where(score(docs, train(docs, labels)) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = score(docs, train(docs, labels, folds, held_out, sample))
-    return scored.select("doc_id", (C.fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "predicted")
+    texts = C.texts_of(docs)
+    scored = texts.select("doc_id", score(docs, train(docs, labels, folds, held_out, sample)).alias("score"))
+    return scored.select("doc_id", (C.fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
