@@ -1,19 +1,610 @@
-"""The library's queries over the driver's tables, each with its DuckDB equivalent."""
+"""The library's queries over the driver's tables, each beside its DuckDB equivalent.
+
+Stories are benchmark items or the lines of a benchmark item, recalls are conversations (a
+subject is a conversation, a segment is a turn), ratings are labels, responses are made
+from line items. All run on whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import codes, metrics, text
+from tessera.operators import matching, scoring, segments
+from tessera.plans import prompts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# Parts of the DuckDB side: white space, strip, lines, metrics.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_STRIP = rf"^{_WS}+|{_WS}+$"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '{_STRIP}', '', 'g')"
+
+
+def _sql_lines(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{_LINES}'), lambda v: {_sql_strip('v')} <> '')"
+
+
+def _sql_tokens(x: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({x}), '{_WS}+'), lambda v: v <> ''))"
+
+
+def _sql_words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{_WS}+'), lambda v: v <> '')"
+
 
+_P, _R = "coalesce(tp / nullif(tp + fp, 0), 0.0)", "coalesce(tp / nullif(tp + fn, 0), 0.0)"
+_F1 = f"coalesce(2 * ({_P}) * ({_R}) / nullif(({_P}) + ({_R}), 0), 0.0)"
+_PHI = "greatest(-1.0, least(1.0, (tp * tn - fp * fn) / nullif(sqrt((tp + fp)::double * (tp + fn)) * sqrt((tn + fp)::double * (tn + fn)), 0)))"
+_ACC = "coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0)"
+#: y and the model's say over n_chars, by source; the rated documents of a source are one recall's cells.
+_RATED = "select d.source, d.lang, d.doc_id, d.n_chars, l.quality y from documents d join labels l using (doc_id)"
+_REPEATS = "(values (0, 200), (1, 300), (2, 500), (3, 800), (4, 1000), (5, 1500)) r(repeat_idx, least)"
+REPEATS = [(0, 200), (1, 300), (2, 500), (3, 800), (4, 1000), (5, 1500)]
 
-def match_scores_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# Matches and their scores
+
+
+def _matches(spark, sf_dir, least):
+    return matching.lexical_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", least)
+
+
+_SQL_MATCHES = f"""
+with b as (select item_id, {_sql_tokens("text")} w from benchmark), d as (select doc_id, {_sql_tokens("text")} w from documents),
+x as (select doc_id, unnest(w) t from d), y as (select item_id, len(w) n, unnest(w) t from b),
+m as (select doc_id, item_id, count(*) overlap, count(*) / any_value(n) score from x join y using (t) group by doc_id, item_id)
+"""
+
+
+@query(_SQL_MATCHES + "select doc_id, item_id, overlap, round(score, 9) score from m where score >= 0.8")
+def lexical_match_cells(spark, sf_dir):
+    return rounded(_matches(spark, sf_dir, 0.8))
+
+
+@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
+def containment_cells(spark, sf_dir):
+    return matching.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+def _lang_counts(spark, sf_dir, least):
+    docs = table(spark, sf_dir, "documents")
+    langs = docs.select("doc_id", "lang")
+    items = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n_items"))
+    dims = docs.groupBy("lang").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(items)).select("lang", (F.col("n_docs") * F.col("n_items")).alias("n_cells"))
+    model = _matches(spark, sf_dir, least).join(langs, "doc_id")
+    human = matching.containment(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id").join(langs, "doc_id")
+    return scoring.confusion_counts(model, human, dims, ["lang"], ["doc_id", "item_id"])
+
+
+def _sql_lang(least):
+    return f"""{_SQL_MATCHES}, g as (select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)),
+c as (select doc_id, m.doc_id is not null p, g.doc_id is not null h from (select * from m where score >= {least}) m full join g using (doc_id, item_id)),
+k as (select lang, count_if(p and h) tp, count_if(p and not h) fp, count_if(h and not p) fn from c join documents using (doc_id) group by lang),
+z as (select lang, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn, n * (select count(*) from benchmark) - coalesce(tp, 0) - coalesce(fp, 0) - coalesce(fn, 0) tn
+from (select lang, count(*) n from documents group by lang) left join k using (lang))
+select lang, tp, fp, fn, tn, round(case when tp + fp = 0 then 0 else {_P} end, 9) "precision", round(case when tp + fp = 0 then 0 else {_R} end, 9) recall, round(case when tp + fp = 0 then 0 else {_F1} end, 9) f1,
+round(case when tp + fp = 0 then 0 else {_PHI} end, 9) pearson, round(case when tp + fp = 0 then 0 else {_ACC} end, 9) accuracy from z"""
+
+
+@query(_sql_lang(0.8))
+def match_scores_by_lang(spark, sf_dir):
+    return rounded(scoring.score(_lang_counts(spark, sf_dir, 0.8)))
+
+
+@query(_sql_lang(0.5))
+def match_scores_loose(spark, sf_dir):
+    """The same with half the words: false positives show."""
+    return rounded(scoring.score(_lang_counts(spark, sf_dir, 0.5)))
+
+
+@query(_SQL_MATCHES + "select doc_id, list_sort(list(item_id)) story_idxs, count(*) n from m where score >= 0.5 group by doc_id")
+def match_lists(spark, sf_dir):
+    cells = _matches(spark, sf_dir, 0.5).select("doc_id", F.col("item_id").alias("story_idx"))
+    return matching.to_matches(cells, ["doc_id"]).withColumn("n", F.size("story_idxs").cast("long"))
+
+
+# Lines, windows, prompts
+
+
+@query(f"select doc_id, (unnest(range(len(l))))::int seg_idx, unnest(l) text from (select doc_id, {_sql_lines('text')} l from documents)")
+def doc_line_segments(spark, sf_dir):
+    return segments.explode_segments(table(spark, sf_dir, "documents"), ["doc_id"], text.lines("text"))
+
+
+@query(f"select doc_id, len(l) n_segments, coalesce(list_sum(list_transform(l, lambda v: len(v))), 0)::bigint n_chars from (select doc_id, {_sql_lines('text')} l from documents)")
+def segment_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.lines("text").alias("l"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n_segments"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("n_chars"))
+
+
+@query(f"select doc_id, len(list_filter(string_split(text, chr(10)), lambda v: {_sql_strip('v')} <> '')) n_segments from documents")
+def newline_segment_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.newline_segments("text")).cast("long").alias("n_segments"))
+
+
+def _recall(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+
+
+@query(f"""select conv_id, turn, array_to_string(list_transform(w, lambda s: case when s.i = turn then '<target>' || {_sql_strip("s.t")} || '</target>' else {_sql_strip("s.t")} end), chr(10)) "window" from (
+select conv_id, turn, list({{'i': turn, 't': text}}) over (partition by conv_id order by turn rows between 2 preceding and 2 following) w from conversations)""")
+def recall_context_window(spark, sf_dir):
+    return segments.context_windows(_recall(spark, sf_dir), ["conv_id"], "turn", 2)
+
+
+@query("select conv_id, turn, '<target>' || text || '</target>' \"window\" from conversations")
+def recall_window_zero(spark, sf_dir):
+    return segments.context_windows(_recall(spark, sf_dir), ["conv_id"], "turn", 0)
+
+
+_SQL_STORY = f"select item_id, {_sql_lines('text')} l from benchmark"
+
+
+def _story(spark, sf_dir):
+    return segments.explode_segments(table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"], text.lines("text"), "story_idx")
+
+
+@query(
+    f"select item_id, array_to_string(list_transform(l, lambda v, i: i::varchar || '. ' || {_sql_strip('v')}), chr(10)) numbered, array_to_string(list_transform(l, lambda v: {_sql_strip('v')}), ' ') full_text from ({_SQL_STORY}) where len(l) > 0"
+)
+def story_numbered_list(spark, sf_dir):
+    lists = segments.ordered_list(_story(spark, sf_dir), ["item_id"], "story_idx")
+    return lists.select("item_id", text.numbered(F.col("segments")).alias("numbered"), text.full_text(F.col("segments")).alias("full_text"))
+
+
+def _sql_prompt(name: str) -> str:
+    t = prompts.TEMPLATES[name]
+    quote = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    part = lambda title, body: f"{quote('<' + title.lower().replace(' ', '_') + '>' + chr(10) if t.tagged else title + ':' + chr(10))} || {body} || {quote(chr(10) + '</' + title.lower().replace(' ', '_') + '>' + chr(10) * 2 if t.tagged else chr(10) * 2)}"
+    full = part("Full text", f"array_to_string(list_transform(l, lambda v: {_sql_strip('v')}), ' ')") + " || " if t.story else ""
+    numbered = part("Numbered segments", f"array_to_string(list_transform(l, lambda v, i: i::varchar || '. ' || {_sql_strip('v')}), chr(10))")
+    marks = f"The marked part stands between {t.start.strip()} and {t.end.strip()}."
+    ask = f"{prompts._REASONS} {prompts._ANSWER}" if t.reasons else prompts._ANSWER
+    window = f"array_to_string(list_transform(w, lambda s: case when s.i = turn then {quote(t.start)} || {_sql_strip('s.t')} || {quote(t.end)} else {_sql_strip('s.t')} end), chr(10))"
+    return f"""select conv_id, turn, n_story, md5(prompt) prompt_md5, len(prompt) n_chars, greatest(1, ceil(len(prompt) / 4))::bigint est_tokens from (
+select conv_id, turn, len(l)::int n_story, {quote(prompts._TASK + " " + marks + chr(10) * 2)} || {full}{numbered} || {part("Recall", window)} || {quote(ask)} prompt from (
+select conv_id, turn, conv_id % 40 item_id, list({{'i': turn, 't': text}}) over (partition by conv_id order by turn rows between 5 preceding and 5 following) w from conversations) join ({_SQL_STORY}) using (item_id) where len(l) > 0)"""
+
+
+def _prompts(spark, sf_dir, name):
+    recall = _recall(spark, sf_dir).withColumn("item_id", F.col("conv_id") % 40)
+    made = prompts.match_prompts(_story(spark, sf_dir), recall, 5, name, "item_id", ("conv_id",), "turn")
+    return made.select("conv_id", "turn", "n_story", F.md5("prompt").alias("prompt_md5"), F.char_length("prompt").cast("long").alias("n_chars"), prompts.estimated_tokens("prompt").alias("est_tokens"))
+
+
+def _add_prompts():
+    short = {"primary": "prompt_primary", "primary_no_story": "prompt_no_story", "primary_no_cot": "prompt_no_cot", "primary_no_story_no_cot": "prompt_no_story_no_cot", "secondary": "prompt_secondary"}
+    for name, key in short.items():
+        QUERIES[key] = lambda spark, sf_dir, name=name: _prompts(spark, sf_dir, name)
+        SQL[key] = _sql_prompt(name)
+
+
+_add_prompts()
+
+
+# Responses and attempts
+
+_SQL_RAW = """select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'I cannot say ' || l_linenumber::varchar when l_linestatus = 'O' and l_linenumber % 5 = 0 then 'none <NONE> <2>'
+when l_linenumber % 7 = 3 then '<99999999999999999999999>' when l_linenumber % 4 = 1 then 'so < ' || l_suppkey::varchar || ',' || chr(9) || l_linenumber::varchar || ' , ' || l_suppkey::varchar || '> and <1>'
+else '<' || l_linenumber::varchar || ', 0' || (l_quantity::int)::varchar || '>' end raw from lineitem"""
+
+
+def _responses(spark, sf_dir):
+    c, s = F.col, lambda x: F.col(x).cast("string")
+    raw = (
+        F.when(c("l_returnflag") == "R", F.concat(F.lit("I cannot say "), s("l_linenumber")))
+        .when((c("l_linestatus") == "O") & (c("l_linenumber") % 5 == 0), F.lit("none <NONE> <2>"))
+        .when(c("l_linenumber") % 7 == 3, F.lit("<99999999999999999999999>"))
+        .when(c("l_linenumber") % 4 == 1, F.concat(F.lit("so < "), s("l_suppkey"), F.lit(",\t"), s("l_linenumber"), F.lit(" , "), s("l_suppkey"), F.lit("> and <1>")))
+        .otherwise(F.concat(F.lit("<"), s("l_linenumber"), F.lit(", 0"), c("l_quantity").cast("int").cast("string"), F.lit(">")))
+    )
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("response"))
+
+
+_SQL_PARSED = f"""select *, case when contains(raw, '<NONE>') then []::bigint[] when inner_ <> '' then list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(inner_, ','),
+lambda v: {_sql_strip("v")}), lambda v: regexp_full_match(v, '[0-9]+')), lambda v: coalesce(try_cast(v as bigint), 9223372036854775807)))) end parsed
+from (select *, regexp_extract(raw, '<((?:[0-9,]|{_WS})+)>', 1) inner_ from ({_SQL_RAW}))"""
+_SQL_VALID = f"select *, coalesce(len(list_filter(parsed, lambda v: v < 1 or v > 30)) = 0, false) valid from ({_SQL_PARSED})"
+_LIST_TEXT = "'[' || array_to_string({}, ',') || ']'"
+
+
+def _list_text(c):
+    return F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ","), F.lit("]"))
+
+
+@query(f"select l_orderkey, l_linenumber, {_LIST_TEXT.format('parsed')} parsed, count(*) n from ({_SQL_PARSED}) group by all")
+def parse_response(spark, sf_dir):
+    rows = _responses(spark, sf_dir).withColumn("parsed", codes.parse_response("response"))
+    return rows.groupBy("l_orderkey", "l_linenumber", _list_text("parsed").alias("parsed")).agg(F.count("*").alias("n"))
+
+
+@query(f"select l_linenumber, valid, count(*) n, count(parsed) n_parsed from ({_SQL_VALID}) group by all")
+def response_bounds(spark, sf_dir):
+    rows = matching.parse_attempts(_responses(spark, sf_dir), 30)
+    return rows.groupBy("l_linenumber", "valid").agg(F.count("*").alias("n"), F.count("parsed").alias("n_parsed"))
+
+
+_SQL_ATTEMPTS = f"select *, row_number() over (partition by l_orderkey order by l_linenumber, raw) - 1 attempt from ({_SQL_VALID})"
+_SQL_FIRST = f"""select l_orderkey, coalesce(arg_min(list_sort(list_transform(parsed, lambda v: v - 1)), attempt) filter (valid), []::bigint[]) story_idxs, coalesce(min(attempt) filter (valid) + 1, count(*)) n_attempts, max(valid::int) any_valid
+from ({_SQL_ATTEMPTS}) where attempt < 3 group by l_orderkey"""
+
+
+def _first_valid(spark, sf_dir):
+    numbered = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "response")) - 1
+    return matching.first_valid(matching.parse_attempts(_responses(spark, sf_dir).withColumn("attempt", numbered), 30), ["l_orderkey"], 3)
+
+
+@query(f"select l_orderkey, {_LIST_TEXT.format('story_idxs')} story_idxs, n_attempts from ({_SQL_FIRST})")
+def first_valid_attempt(spark, sf_dir):
+    return _first_valid(spark, sf_dir).select("l_orderkey", _list_text("story_idxs").alias("story_idxs"), "n_attempts")
+
+
+@query(f"select n_attempts, any_valid, count(*) n from ({_SQL_FIRST}) group by all")
+def retry_histogram(spark, sf_dir):
+    return _first_valid(spark, sf_dir).groupBy("n_attempts", "any_valid").agg(F.count("*").alias("n"))
+
+
+# Scores
+
+
+def _rated(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(labels, "doc_id")
+
+
+def _counts(spark, sf_dir, by):
+    return _rated(spark, sf_dir).groupBy(by).agg(*metrics.confusion(F.col("y"), (F.col("n_chars") > 300).cast("int")))
+
+
+def _sql_counts(by):
+    return f"select {by}, count_if(y = 1 and n_chars > 300) tp, count_if(y = 0 and n_chars > 300) fp, count_if(y = 1 and n_chars <= 300) fn, count_if(y = 0 and n_chars <= 300) tn from ({_RATED}) group by {by}"
+
+
+@query(f'select lang, tp, fp, fn, tn, round({_P}, 9) "precision", round({_R}, 9) recall, round({_F1}, 9) f1, round({_ACC}, 9) accuracy from ({_sql_counts("lang")})')
+def binary_scores(spark, sf_dir):
+    rows = _counts(spark, sf_dir, "lang")
+    return rounded(rows.select("*", metrics.precision("tp", "fp").alias("precision"), metrics.recall("tp", "fn").alias("recall"), metrics.f1("tp", "fp", "fn").alias("f1"), metrics.accuracy("tp", "fp", "fn", "tn").alias("accuracy")))
+
+
+@query(f"select source, round({_PHI}, 9) pearson from ({_sql_counts('source')})")
+def pearson_phi(spark, sf_dir):
+    r = F.nanvl(metrics.pearson("tp", "fp", "fn", "tn"), F.lit(None).cast("double"))
+    return rounded(_counts(spark, sf_dir, "source").select("source", r.alias("pearson")))
+
+
+_SQL_SCORED = f"""select *, case when tp + fp = 0 then 0 else {_P} end p, case when tp + fp = 0 then 0 else {_R} end r, case when tp + fp = 0 then 0 else {_F1} end f1, case when tp + fp = 0 then 0 else coalesce({_PHI}, 'nan'::double) end phi,
+case when tp + fp = 0 then 0 else {_ACC} end acc from {{}} where tp + fn > 0"""
+
+
+@query(
+    f"""select count(*) n_recalls, round(avg(p), 9) "precision", round(avg(r), 9) recall, round(2 * avg(p) * avg(r) / (avg(p) + avg(r)), 9) f1, case when count_if(isnan(phi)) > 0 then null else round(avg(case when not isnan(phi) then phi end), 9) end pearson, round(avg(acc), 9) accuracy
+from ({_SQL_SCORED.format("(" + _sql_counts("source") + ")")})"""
+)
+def macro_full_eval(spark, sf_dir):
+    out = scoring.macro(scoring.score(scoring.rated_only(_counts(spark, sf_dir, "source"))))
+    return rounded(out.withColumn("pearson", F.nanvl("pearson", F.lit(None).cast("double"))))
+
+
+_SQL_REPEAT_COUNTS = f"(select source, repeat_idx, count_if(y = 1 and n_chars > least) tp, count_if(y = 0 and n_chars > least) fp, count_if(y = 1 and n_chars <= least) fn, count_if(y = 0 and n_chars <= least) tn from ({_RATED}) cross join {_REPEATS} group by all)"
+
+
+def _says(spark, sf_dir):
+    """The documents each repeat marks."""
+    rows = _rated(spark, sf_dir)
+    repeats = F.array(*(F.struct(F.lit(i).alias("repeat_idx"), F.lit(n).alias("least")) for i, n in REPEATS))
+    return rows.select("*", F.explode(repeats).alias("r")).select("source", "doc_id", "y", "n_chars", "r.*")
+
+
+def _repeat_counts(spark, sf_dir):
+    return _says(spark, sf_dir).groupBy("source", "repeat_idx").agg(*metrics.confusion(F.col("y"), (F.col("n_chars") > F.col("least")).cast("int")))
+
+
+@query(
+    f"""select source, count(*) n_repeats, round(avg(p), 9) precision_mean, round(stddev_pop(p), 9) precision_std, round(avg(r), 9) recall_mean, round(stddev_pop(r), 9) recall_std, round(avg(f1), 9) f1_mean, round(stddev_pop(f1), 9) f1_std
+from ({_SQL_SCORED.format(_SQL_REPEAT_COUNTS)}) group by source"""
+)
+def repeat_summary(spark, sf_dir):
+    return rounded(scoring.repeat_summary(scoring.score(scoring.rated_only(_repeat_counts(spark, sf_dir))), "source"))
+
+
+@query(f'select round(avg(p), 9) "precision", round(avg(r), 9) recall, round(avg(f1), 9) f1 from (select source, avg(p) p, avg(r) r, avg(f1) f1 from ({_SQL_SCORED.format(_SQL_REPEAT_COUNTS)}) group by source)')
+def repeat_overall(spark, sf_dir):
+    return rounded(scoring.overall(scoring.repeat_summary(scoring.score(scoring.rated_only(_repeat_counts(spark, sf_dir))), "source")))
+
+
+@query(f"select count(*) n_total, count_if(tp + fn > 0) n_evaluated, count_if(tp + fn = 0) n_skipped, count_if(tp + fn > 0 and tp + fp > 0) n_shown from {_SQL_REPEAT_COUNTS}")
+def evaluation_counts(spark, sf_dir):
+    human, model = F.col("tp") + F.col("fn") > 0, F.col("tp") + F.col("fp") > 0
+    return _repeat_counts(spark, sf_dir).agg(F.count("*").alias("n_total"), F.count_if(human).alias("n_evaluated"), F.count_if(~human).alias("n_skipped"), F.count_if(human & model).alias("n_shown"))
+
+
+_SQL_GRID = "(select distinct least(conv_id % 7, 5) g, turn recall_idx, length(text) % 4 story_idx from conversations)"
+
+
+@query(
+    f"""select d.g, s story_idx, r recall_idx, (exists (select 1 from {_SQL_GRID} h where h.g = d.g and h.story_idx = s and h.recall_idx = r))::int "value"
+from (select g, max(recall_idx) n from {_SQL_GRID} group by g) d, range(4) a(s), range(100) b(r) where r <= n"""
+)
+def dense_matrix(spark, sf_dir):
+    cells = table(spark, sf_dir, "conversations").select(F.least(F.col("conv_id") % 7, F.lit(5)).alias("g"), F.col("turn").alias("recall_idx"), (F.char_length("text") % 4).cast("long").alias("story_idx"))
+    dims = cells.groupBy("g").agg(F.lit(4).cast("long").alias("n_story"), (F.max("recall_idx") + 1).alias("n_recall"))
+    return matching.dense(cells, dims, ["g"])
+
+
+# Reliability and figures
+
+
+def _pairs(spark, sf_dir):
+    says = _says(spark, sf_dir)
+    cells = says.where("n_chars > least").select("source", "repeat_idx", "doc_id")
+    return scoring.repeat_pairs(cells, "source", "repeat_idx", ["doc_id"], says.select("source", "repeat_idx").distinct()), says
+
+
+_SQL_SAYS = f"select source, doc_id, repeat_idx, (n_chars > least)::int v from ({_RATED}) cross join {_REPEATS}"
+_SQL_PAIRS = f"""select a.source, a.repeat_idx i, b.repeat_idx j, sum(a.v * b.v) tp, sum((1 - a.v) * b.v) fp, sum(a.v * (1 - b.v)) fn, sum((1 - a.v) * (1 - b.v)) tn
+from ({_SQL_SAYS}) a join ({_SQL_SAYS}) b on a.source = b.source and a.doc_id = b.doc_id and a.repeat_idx < b.repeat_idx group by all"""
+
+
+@query(f"select round(coalesce(avg(f), 0), 9) pairwise_f1 from (select source, avg({_F1}) f from ({_SQL_PAIRS}) group by source)")
+def pairwise_f1(spark, sf_dir):
+    return rounded(scoring.pairwise_f1(_pairs(spark, sf_dir)[0], "source"))
+
+
+@query(f"select source, round(avg(coalesce({_PHI}, 0)), 9) pearson from ({_SQL_PAIRS}) where j < 5 group by source")
+def pairwise_pearson(spark, sf_dir):
+    pairs, says = _pairs(spark, sf_dir)
+    dims = says.where("repeat_idx = 0").groupBy("source").agg(F.count("*").alias("n_cells"))
+    return rounded(scoring.pairwise_pearson(pairs, dims, "source"))
+
+
+@query(
+    f"""with k as (select doc_id, sum(v) k, count(*) m from ({_SQL_SAYS}) group by doc_id), o as (select sum(k * (m - k) * 2.0 / (m - 1)) o_ab, sum(k)::double n1, sum(m - k)::double n0 from k)
+select round(1 - (n1 + n0 - 1) * o_ab / (2 * n0 * n1), 9) alpha from o"""
+)
+def krippendorff_alpha(spark, sf_dir):
+    cells = _says(spark, sf_dir).where("n_chars > least")
+    n = _rated(spark, sf_dir).count()
+    return rounded(scoring.krippendorff_alpha(cells, ["source", "doc_id"], len(REPEATS), n))
+
+
+@query(f"select repeat_idx, count(f1) n, round(avg(f1), 9) mean, round(coalesce(stddev_samp(f1), 0) / sqrt(count(f1)), 9) sem from ({_SQL_SCORED.format(_SQL_REPEAT_COUNTS)}) group by repeat_idx")
+def sem_by_group(spark, sf_dir):
+    return rounded(scoring.mean_and_sem(scoring.score(scoring.rated_only(_repeat_counts(spark, sf_dir))), ["repeat_idx"], "f1"))
+
+
+@query(
+    f"""select repeat_idx, arg_min(source, (o, source)) source, round(arg_min(f1, (o, source)), 9) f1 from (select *, round(abs(f1 - avg(f1) over (partition by repeat_idx)), 9) o from ({_SQL_SCORED.format(_SQL_REPEAT_COUNTS)})) group by repeat_idx"""
+)
+def closest_to_mean(spark, sf_dir):
+    return rounded(scoring.closest_to_mean(scoring.score(scoring.rated_only(_repeat_counts(spark, sf_dir))), ["repeat_idx"], "source", "f1"))
+
+
+@query(f"select source, case when m = 1 and h = 1 then 3 when m = 1 then 2 when h = 1 then 1 else 0 end overlay, count(*) n from (select source, (n_chars > 300)::int m, y h from ({_RATED})) group by all having overlay > 0")
+def overlay_classes(spark, sf_dir):
+    rows = _rated(spark, sf_dir)
+    marked = scoring.overlay(rows.where("n_chars > 300"), rows.where("y = 1"), ["source", "doc_id"])
+    return marked.groupBy("source", "overlay").agg(F.count("*").alias("n"))
+
+
+# Normalising and segmenting
+
+_SQL_NORMAL = r"regexp_replace(replace(lower({}), '''s', ''), '[^.\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '', 'g')"
+
+
+@query(f"select doc_id, md5({_SQL_NORMAL.format('text')}) normal_md5 from documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalise("text")).alias("normal_md5"))
+
+
+@query(f"select doc_id, md5(regexp_replace(text, '{_WS}+', ' ', 'g')) flat_md5, len({_sql_strip('text')}) n_stripped from documents")
+def collapse_whitespace(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse_space("text")).alias("flat_md5"), F.char_length(text.strip("text")).cast("long").alias("n_stripped"))
+
+
+@query(f"select conv_id, turn, {_sql_strip(chr(39).join(['translate(text || ', ' “a” ‘b’', ' || chr(10), ', '“”‘’', ' || chr(10), ', chr(34) * 2 + chr(39) * 4 + ' ', ')']))} plain from conversations")
+def quote_normalize(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(" “a” ‘b’\n")))
+    return rows.select("conv_id", "turn", text.straight_quotes("text").alias("plain"))
+
+
+@query(
+    f"""select doc_id, i::int window_idx, md5(array_to_string(w[s + 1 : s + 55], ' ')) window_md5 from (select doc_id, w, unnest(range(0, len(w), 21)) s, unnest(range(len(range(0, len(w), 21)))) i
+from (select doc_id, {_sql_words("replace(replace(" + _SQL_NORMAL.format("text") + ", chr(10), ' '), '.', '')")} w from documents))"""
+)
+def sliding_word_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.window_words("text").alias("w"))
+    return rows.select("doc_id", F.posexplode(text.word_windows(F.col("w"))).alias("window_idx", "x")).select("doc_id", "window_idx", F.md5("x").alias("window_md5"))
+
+
+@query(f"select doc_id, len(list_filter(string_split_regex(regexp_replace({_sql_strip('text')}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda v: v <> '')) n_sentences from documents")
+def sentence_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).cast("long").alias("n_sentences"))
+
+
+@query(
+    f"""select doc_id, case when doc_id % 3 = 0 or len(l) < 2 then -1 when doc_id % 3 = 1 then 1 else 0 end::int fail_idx from (select doc_id, {_sql_lines("text")} l from documents) where len(l) >= 2"""
+)
+def verbatim_cover(spark, sf_dir):
+    """Line segments cover their document; with the second one changed, or the first, that one fails."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.lines("text").alias("l")).where("size(l) >= 2")
+    at = F.col("doc_id") % 3
+    spoiled = F.transform("l", lambda x, i: F.when((at == 1) & (i == 1) | (at == 2) & (i == 0), F.concat(x, F.lit("\x02"))).otherwise(x))
+    return rows.select("doc_id", text.verbatim_cover("text", spoiled, 3).alias("fail_idx"))
+
+
+@query("""select turn, list_sort(list_distinct(list(length(text) % 10))) lengths from conversations group by turn""")
+def sorted_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("turn").agg(F.array_sort(F.array_distinct(F.collect_list((F.char_length("text") % 10).cast("long")))).alias("lengths"))
+
+
+# Importers
+
+_EVENT_RAW = "case when o_orderkey % 5 = 0 then lpad((o_custkey % 400)::varchar, 3, '0') || lpad((o_orderkey % 300)::varchar, 3, '0') || '007' when o_orderkey % 5 = 1 then (o_custkey % 40)::varchar || '.' || (o_orderkey % 30)::varchar || ', 3' when o_orderkey % 5 = 2 then (o_custkey % 50)::varchar when o_orderkey % 5 = 3 then '' else '1234567' end"
+
+
+def _events(spark, sf_dir):
+    raw = _EVENT_RAW.replace("(o_custkey % 400)::varchar", "string(o_custkey % 400)").replace("(o_orderkey % 300)::varchar", "string(o_orderkey % 300)")
+    for part in ("o_custkey % 40", "o_orderkey % 30", "o_custkey % 50"):
+        raw = raw.replace(f"({part})::varchar", f"string({part})")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(raw).alias("raw"))
+
+
+@query(
+    f"""select o_orderkey, {_LIST_TEXT.format("v")} events from (select o_orderkey, list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split(replace(raw, '.', ','), ','), lambda x: trim(x)),
+lambda x: x <> ''), lambda x: case when x::bigint <= 100000 then [x] when len(x) % 3 = 0 then regexp_extract_all(x, '[0-9]{{3}}') else []::varchar[] end)), lambda x: x::bigint - 1), lambda x: x >= 0 and x < 250))) v from (select o_orderkey, {_EVENT_RAW} raw from orders))"""
+)
+def event_code_parse(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("e", codes.parse_events("raw", 250))
+    return rows.select("o_orderkey", _list_text("e").alias("events"))
+
+
+_CODES = "(o_custkey % 20)::varchar || ',900,' || (o_orderkey % 60 - 5)::varchar || ',,x,800,' || (o_custkey % 20)::varchar"
+
+
+def _sql_codes(sentinels):
+    return _LIST_TEXT.format(f"list_transform(list_filter(list_transform(string_split({_CODES}, ','), lambda x: try_cast(x as bigint)), lambda x: x is not null and x not in ({sentinels}) and x between 1 and 850), lambda x: x - 1)")
+
+
+@query(f"select o_orderkey, {_sql_codes('900')} seg_c, {_sql_codes('900, 999, 800')} seg_b from orders")
+def sentinel_code_parse(spark, sf_dir):
+    raw = F.concat((F.col("o_custkey") % 20).cast("string"), F.lit(",900,"), (F.col("o_orderkey") % 60 - 5).cast("string"), F.lit(",,x,800,"), (F.col("o_custkey") % 20).cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    rows = rows.withColumns({"c": codes.parse_sentinel_codes("raw", 850, (900,)), "b": codes.parse_sentinel_codes("raw", 850, (900, 999, 800))})
+    return rows.select("o_orderkey", _list_text("c").alias("seg_c"), _list_text("b").alias("seg_b"))
+
+
+@query(
+    """select event_id, user_id, last_value(case when event_id % 3 = 0 then event_type end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) event_type from events"""
+)
+def ffill_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("event_type"))
+    return segments.forward_fill(rows, ["user_id"], "event_id", ["event_type"])
+
+
+@query("select event_id, user_id, event_type, row_number() over (partition by user_id, event_type order by event_id)::int n from events")
+def cumcount_events(spark, sf_dir):
+    return segments.count_within(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
+
+
+@query("select conv_id, run, case when run = 2 then turn + (select max(turn) from conversations where conv_id % 2 = 0) else turn end turn, md5(text) text_md5 from (select *, conv_id % 2 + 1 run from conversations)")
+def run_offset(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") % 2 + 1).alias("run"), "turn", F.md5("text").alias("text_md5"))
+    return segments.continue_run(rows, "run", "turn")
+
+
+@query("select item_id, conv_id from (select conv_id % 40 item_id, conv_id, row_number() over (partition by conv_id % 40 order by conv_id) n from (select distinct conv_id from conversations)) where n = 1")
+def first_subject(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).alias("item_id"), "conv_id").distinct()
+    return segments.first_of_each(rows, ["item_id"], "conv_id")
+
+
+@query("select role, count(distinct conv_id) n_subjects, count(*) n_segments, md5(string_agg(text, chr(30) order by conv_id, turn)) text_md5 from conversations group by role")
+def subject_lists(spark, sf_dir):
+    rows = segments.by_subject(table(spark, sf_dir, "conversations"), ["role"], "conv_id", "turn")
+    flat = F.flatten(F.map_values("subjects"))
+    return rows.select("role", F.size("subjects").cast("long").alias("n_subjects"), F.size(flat).cast("long").alias("n_segments"), F.md5(F.array_join(flat, "\x1e")).alias("text_md5"))
+
+
+@query("select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then '' when l_linenumber % 3 = 1 then month(l_shipdate)::varchar || ',' || day(l_shipdate)::varchar else l_suppkey::varchar || ',4' end code, count(*) n from lineitem group by all")
+def excel_date_repair(spark, sf_dir):
+    cell = F.when(F.col("l_linenumber") % 3 == 1, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).when(F.col("l_linenumber") % 3 == 2, F.concat(F.col("l_suppkey").cast("string"), F.lit(",4")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codes.repair_date(cell).alias("code")).groupBy("l_orderkey", "l_linenumber", "code").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, 'sub-' || lpad((p_partkey % 1000)::varchar, 3, '0') sub_id, p_partkey::varchar || '_x' rest from part")
+def filename_fields(spark, sf_dir):
+    name = F.concat(F.lit("rec_"), (F.col("p_partkey") % 1000).cast("string"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("_x.csv"))
+    return table(spark, sf_dir, "part").select("p_partkey", codes.file_fields(name).alias("f")).select("p_partkey", "f.*")
+
+
+@query("select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def static_code_map(spark, sf_dir):
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, sf_dir, "nation").join(names, "n_regionkey").select("n_nationkey", "n_name", "r_name")
+
+
+# Usage, names, set operations
+
+_PRICES = [("1-URGENT", 5.0, 20.0), ("2-HIGH", 0.5, 2.0), ("5-LOW", 0.25, 1.0)]
+
+
+@query(
+    """select o_orderpriority model, sum(o_custkey)::bigint in_tokens, sum(o_orderkey % 1000)::bigint out_tokens, round(sum((o_custkey * coalesce(i, 0.0) + (o_orderkey % 1000) * coalesce(o, 0.0)) / 1e6), 6) cost
+from orders left join (values ('1-URGENT', 5.0, 20.0), ('2-HIGH', 0.5, 2.0), ('5-LOW', 0.25, 1.0)) p(o_orderpriority, i, o) using (o_orderpriority) group by 1"""
+)
+def usage_cost(spark, sf_dir):
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("in_tokens"), (F.col("o_orderkey") % 1000).alias("out_tokens"))
+    prices = spark.createDataFrame(_PRICES, "model string, price_in double, price_out double")
+    return rounded(scoring.usage_totals(log, prices, ["model"]), 6)
+
+
+@query("select distinct 'lexical-' || role || '-' || source param from (select distinct role from conversations), (select distinct source from documents)")
+def param_string(spark, sf_dir):
+    roles, sources = table(spark, sf_dir, "conversations").select("role").distinct(), table(spark, sf_dir, "documents").select("source").distinct()
+    return roles.crossJoin(sources).select(codes.param_string(F.lit("lexical"), F.col("role"), F.col("source")).alias("param")).distinct()
+
+
+@query("select event_id, strftime(ts, '%Y%m%d_%H%M%S') || '-rr-alice-' || event_type || '-m_org_' || event_type run from events")
+def run_directory_name(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", codes.run_name(F.col("ts"), F.lit("alice"), F.col("event_type"), F.concat(F.lit("org/"), F.col("event_type")), True).alias("run"))
+
+
+@query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
+def rated_subjects_semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+@query("select conv_id::varchar sub_id, count(*) n from conversations group by 1 union all select 'item' || item_id::varchar, len(" + _sql_lines("text") + ") from benchmark")
+def union_disjoint(spark, sf_dir):
+    from tessera.sources.segments import union_recalls
+
+    a = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("sub_id"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("sub_id"), F.explode(text.lines("text")).alias("text"))
+    return union_recalls([a, b]).groupBy("sub_id").agg(F.count("*").alias("n"))
+
+
+@query("select model, rank from (values ('large', 1), ('small', 2)) t(model, rank)")
+def display_order(spark, sf_dir):
+    order = F.array(F.lit("large"), F.lit("small"))
+    return spark.createDataFrame([("small",), ("large",)], "model string").select("model", F.array_position(order, F.col("model")).cast("int").alias("rank"))
+
+
+@query("select conv_id, list_slice(list(turn order by turn), 1, 3) || [-1] preview from conversations group by conv_id having count(*) > 3")
+def preview_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).where("size(t) > 3")
+    return rows.select("conv_id", F.concat(F.slice("t", 1, 3), F.array(F.lit(-1).cast("long"))).alias("preview"))
