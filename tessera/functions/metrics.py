@@ -36,7 +36,7 @@ def pearson(tp, fp, fn, tn, undefined: float = NAN) -> Column:
     """Pearson's r of two binary vectors, in -1 to 1; `undefined` where either does not vary."""
     a, b, c, d = (F.col(x).cast("double") for x in (tp, fp, fn, tn))
     r = F.try_divide(a * d - b * c, F.sqrt((a + b) * (a + c)) * F.sqrt((d + b) * (d + c)))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(undefined))
+    return F.when(r.isNull(), F.lit(undefined)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pair_metrics(tp="tp", fp="fp", fn="fn", tn="tn") -> dict[str, Column]:

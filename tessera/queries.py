@@ -44,7 +44,7 @@ def _sql_words(x: str) -> str:
 
 _P, _R = "coalesce(tp / nullif(tp + fp, 0), 0.0)", "coalesce(tp / nullif(tp + fn, 0), 0.0)"
 _F1 = f"coalesce(2 * ({_P}) * ({_R}) / nullif(({_P}) + ({_R}), 0), 0.0)"
-_PHI = "greatest(-1.0, least(1.0, (tp * tn - fp * fn) / nullif(sqrt((tp + fp)::double * (tp + fn)) * sqrt((tn + fp)::double * (tn + fn)), 0)))"
+_PHI = "case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 then greatest(-1.0, least(1.0, (tp * tn - fp * fn) / (sqrt((tp + fp)::double * (tp + fn)) * sqrt((tn + fp)::double * (tn + fn))))) end"
 _ACC = "coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0)"
 #: y and the model's say over n_chars, by source; the rated documents of a source are one recall's cells.
 _RATED = "select d.source, d.lang, d.doc_id, d.n_chars, l.quality y from documents d join labels l using (doc_id)"
