@@ -66,7 +66,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes))
+    """Doubles rounded, so that engines agree whatever their order of summation; NaN as NULL."""
+    return df.select(*(F.nanvl(F.round(c, digits), F.lit(None).cast("double")).alias(c) if t == "double" else c for c, t in df.dtypes))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -303,8 +304,7 @@ def binary_scores(spark, sf_dir):
 
 @query(f"select source, round({_PHI}, 9) pearson from ({_sql_counts('source')})")
 def pearson_phi(spark, sf_dir):
-    r = F.nanvl(metrics.pearson("tp", "fp", "fn", "tn"), F.lit(None).cast("double"))
-    return rounded(_counts(spark, sf_dir, "source").select("source", r.alias("pearson")))
+    return rounded(_counts(spark, sf_dir, "source").select("source", metrics.pearson("tp", "fp", "fn", "tn").alias("pearson")))
 
 
 _SQL_SCORED = f"""select *, case when tp + fp = 0 then 0 else {_P} end p, case when tp + fp = 0 then 0 else {_R} end r, case when tp + fp = 0 then 0 else {_F1} end f1, case when tp + fp = 0 then 0 else coalesce({_PHI}, 'nan'::double) end phi,
@@ -316,8 +316,7 @@ case when tp + fp = 0 then 0 else {_ACC} end acc from {{}} where tp + fn > 0"""
 from ({_SQL_SCORED.format("(" + _sql_counts("source") + ")")})"""
 )
 def macro_full_eval(spark, sf_dir):
-    out = scoring.macro(scoring.score(scoring.rated_only(_counts(spark, sf_dir, "source"))))
-    return rounded(out.withColumn("pearson", F.nanvl("pearson", F.lit(None).cast("double"))))
+    return rounded(scoring.macro(scoring.score(scoring.rated_only(_counts(spark, sf_dir, "source")))))
 
 
 _SQL_REPEAT_COUNTS = f"(select source, repeat_idx, count_if(y = 1 and n_chars > least) tp, count_if(y = 0 and n_chars > least) fp, count_if(y = 1 and n_chars <= least) fn, count_if(y = 0 and n_chars <= least) tn from ({_RATED}) cross join {_REPEATS} group by all)"

@@ -46,8 +46,10 @@ def whole_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Text of unknown encoding: UTF-8 where valid, else windows-1252."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
+    """Text of unknown encoding: UTF-8 where valid, else windows-1252 (Latin-1 but for the codes 128 to 159)."""
+    high = bytes(range(0x80, 0xA0))
+    own = "".join(bytes([b]).decode("cp1252", "replace") for b in high)
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.translate(F.decode(content, "ISO-8859-1"), high.decode("latin-1"), own))
 
 
 def _method(doc: Column) -> Column:
