@@ -13,6 +13,7 @@ from .host_rules import host_rules
 from .language_model import deleted_interpolation
 from .line_dedup import line_verdicts
 from .ngram_join import ngram_join
+from .oracle import SQL
 from .packing import pack_documents
 from .sharding import kd_shards
 from .substring_dedup import substring_dedup
@@ -48,7 +49,7 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(C.read(spark, sf_dir, "documents"))
+    return host_rules(C.read(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
