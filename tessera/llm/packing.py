@@ -1,6 +1,6 @@
 """Bounded-space online best-fit packing of tokenised documents.
 
-Scan tasks tokenise (each distinct white-space-free chunk once per worker and memo) and
+Scan tasks tokenise (each distinct white-space-free chunk once per worker, in a memo of MEMO) and
 emit one small row per piece: texts and ids never move. The rows are dealt to packers by a
 hash of their identity, about PER_PACKER to each, and each packer streams its rows past a
 fixed number of open bins. A bitset keyed by free space answers "the tightest open bin that
@@ -14,7 +14,7 @@ out; repeated rows are packed as often as they occur (their places differ).
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,28 +27,41 @@ from .token_counts import tokenizer
 LIMIT = 2048
 OPEN = 1024
 PER_PACKER = 1 << 17
-MEMO = 300_000
+MEMO = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _OUT = _PIECES + ", sequence_id long, offset long"
-CHUNK = re.compile(rb"[^\x20\x09-\x0D]+")
+_memos: dict[str, dict[bytes, bytes]] = {}
+
+
+def _stem(chunk: bytes) -> bytes:
+    """A chunk with fewer spellings: the vocabulary folds case, and cuts a final comma or full stop off a letter."""
+    if chunk.isascii() and b"<|" not in chunk:
+        chunk = chunk.lower()
+    return chunk[:-1] if chunk[-1] in b",." and chunk[-2:-1].isalpha() else chunk
+
+
+def learn(chunks: set, memo: dict[bytes, bytes], t) -> None:
+    """Add the ids of chunks to the memo."""
+    stems = {c: _stem(c) for c in chunks}
+    new = list({*stems.values(), b",", b"."}.difference(memo))
+    for a in range(0, len(new), 1 << 14):
+        some = new[a : a + (1 << 14)]
+        for c, e in zip(some, t.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
+            memo[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    for c, s in stems.items():
+        memo[c] = memo[s] if len(c) == len(s) else memo[s] + memo[c[-1:]]
 
 
 def _cut(path: str, limit: int, end: bytes):
     schema = C.arrow(_PIECES)
 
     def run(batches):
-        t = tokenizer(path)
-        memo: dict[bytes, bytes] = {}
+        t, memo = tokenizer(path), _memos.setdefault(path, {})
         for ids, texts in C.slices(batches):
-            chunks = [CHUNK.findall(x) for x in texts]
-            new = list({c for x in chunks for c in x if c not in memo})
-            if len(memo) + len(new) > MEMO:
-                memo = {}
-                new = list({c for x in chunks for c in x})
-            for a in range(0, len(new), 1 << 14):
-                some = new[a : a + (1 << 14)]
-                for c, e in zip(some, t.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-                    memo[c] = np.array(e.ids, "<u4").tobytes()
+            chunks = [x.split() for x in texts]  # at the white space that the vocabulary drops
+            if len(memo) > MEMO:
+                memo.clear()
+            learn(set().union(*chunks).difference(memo), memo, t)
             out = [[] for _ in schema]
             for d, x in zip(ids.tolist(), chunks, strict=True):
                 whole = b"".join(map(memo.__getitem__, x)) + end

@@ -53,6 +53,18 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_chunk_memo_equals_whole_texts():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(6)
+    marks = ["a", "B", "é", "É", "'s", "'S", "'", ",", ".", "..", "!", "9", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\xa0", "ß", "Σ", "σς", "\u0301", "x.y", "it's,", "“", "-"]
+    memo = {}
+    for _ in range(3000):
+        text = "".join(r.choice(marks) for _ in range(r.randint(1, 12))).encode()
+        packing.learn(set(text.split()).difference(memo), memo, t)
+        ids = np.frombuffer(b"".join(memo[c] for c in text.split()), "<u4").tolist()
+        assert ids == t.encode(text.decode(), add_special_tokens=False).ids, text
+
+
 def check_places(rows, limit=2048):
     bins = defaultdict(list)
     for r in rows:
