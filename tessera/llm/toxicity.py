@@ -33,7 +33,7 @@ SAMPLE = 20_000
 MOST_FEATURES = 8192
 CHI_SQUARE = 12.0
 LAMBDA = 0.5
-RIDGE = 2e-4
+RIDGE = 5e-5
 THRESHOLD = 0.3
 # Identity terms, by kind; a term is swapped for the others of its line.
 IDENTITY_TERMS = """
@@ -122,7 +122,7 @@ def _sparse(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
 
 
-def fit(own: list[np.ndarray], pairs: list[tuple[int, np.ndarray]], y: np.ndarray, m: int, strength: float = LAMBDA, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(own: list[np.ndarray], pairs: list[tuple[int, np.ndarray]], y: np.ndarray, m: int, strength: float = LAMBDA, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the full batch: log loss + strength x squared logit change + ridge."""
     n = len(y)
     row, col = _sparse(own)
