@@ -11,6 +11,7 @@ report on and are left out; rows that share a doc_id count as one document.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = (0x20, *range(0x09, 0x0E))
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = "4m"
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -132,6 +134,14 @@ def slices(batches, limit: int = SLICE_BYTES):
             size += len(t)
         if a < len(texts):
             yield ids[a:], texts[a:]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def by_text(kind: str, f):
@@ -170,6 +180,13 @@ def decode(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def blobs(column):
+    """The values of a binary Arrow column, one at a time and without copies."""
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        for x in chunk:
+            yield memoryview(x.as_buffer()) if x.is_valid else None
+
+
 def deltas(a: np.ndarray) -> np.ndarray:
     """Differences, modulo 2**64; cumsum undoes them."""
     a = np.asarray(a).astype(U64)
@@ -206,6 +223,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, identity: str = "doc_id") -> DataFrame:
+    """doc_id and text, in Arrow batches of a few MB for the rest of the session: tasks hold a batch or two."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(F.col(identity).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 

@@ -10,8 +10,11 @@ document's component of links. No link between different sets is lost:
    k about a fifth of the set, each class sends that prefix (packed hashes); a document with
    fewer than k shingles that anyone else has in its prefix links with nobody. Unique text ends
    here, whatever passages it shares.
-3. Blocks. The classes left send their prefixes for k = 1; who shares a hash is joined into a
-   block (a star to the smallest member, never all pairs), and blocks are the components.
+3. Blocks. The shingles of the classes left are counted over them (a record per scan slice and
+   shingle) and ordered by that count, the rarest first. A class of which fewer than 80 % of the
+   shingles are anyone else's goes. The others send their prefixes for k = 1 of this order;
+   who shares a hash is joined into a block (a star to the smallest member, never all pairs),
+   and blocks are the components. Common passages come last and join nobody.
 4. Signature trees. A block's sets become a tree: leaves hold bitmaps of tokens, inner nodes
    the OR of their children, with the range of set sizes. A dual traversal skips a pair of
    nodes when their sizes are too far apart, when the largest possible overlap (common bits,
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,7 @@ from .components import components
 
 GRAM = 5
 PERCENT = 80
-FLUSH = 2_500_000
+FLUSH = 1_200_000
 BLOCK_BYTES = 128 << 20
 MOST_BITS = 1 << 13
 LEAF, FAN = 16, 8
@@ -226,34 +230,95 @@ def _read_set(blob) -> np.ndarray:
     return np.cumsum(C.decode(blob)[0], dtype=C.U64)
 
 
+def _slices_of_sets(parts: int):
+    """A slice's sets as a dictionary and indexes, and its hashes with their counts for the parts."""
+    schema = C.arrow("part int, slice long, kind int, blob binary")
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 24
+
+        def flush(ids, sets):
+            h, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            out = [[number % parts], [number], [BASE], [C.encode(np.concatenate(ids).astype(np.int64).view(C.U64), np.array([len(x) for x in sets]), C.deltas(h), at)]]
+            cut = np.searchsorted(C.part_of(h, parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                a, b = cut[p], cut[p + 1]
+                for col, v in zip(out, (int(p), number, PACKED, C.encode(np.array([a]), C.deltas(h[a:b]), count[a:b])), strict=True):
+                    col.append(v)
+            return C.rows(schema, *out)
+
+        ids, sets, size = [], [], 0
+        for b in batches:
+            for d, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), strict=True):
+                ids.append(np.array([d]))
+                sets.append(_read_set(x))
+                size += len(sets[-1])
+                if size >= FLUSH:
+                    number += 1
+                    yield flush(ids, sets)
+                    ids, sets, size = [], [], 0
+        if sets:
+            number += 1
+            yield flush(ids, sets)
+
+    return run
+
+
+def _count_shingles(part):
+    """To each slice the counts of its hashes that are there twice or more in all."""
+    schema = C.arrow("slice long, kind int, blob binary")
+    out, number, first, h, count = [[], [], []], [], [], [], []
+    for s, kind, blob in zip(part["slice"].to_pylist(), part["kind"].to_pylist(), part["blob"].to_pylist(), strict=True):
+        if kind == BASE:
+            for col, v in zip(out, (s, BASE, blob), strict=True):
+                col.append(v)
+        else:
+            a, x, c = C.decode(blob)
+            number.append(np.full(len(x), s))
+            first.append(int(a[0]) + np.arange(len(x)))
+            h.append(np.cumsum(x, dtype=C.U64))
+            count.append(c.astype(np.int64))
+    if h:
+        _, group = np.unique(np.concatenate(h), return_inverse=True)
+        total = np.bincount(group, np.concatenate(count)).astype(np.int64)[group]
+        often = total > 1
+        for s, at, n in C.by_owner(np.concatenate(number)[often], np.concatenate(first)[often], total[often]):
+            for col, v in zip(out, (int(s), PACKED, C.encode(C.deltas(at), n)), strict=True):
+                col.append(v)
+    return pa.Table.from_batches([C.rows(schema, *out)])
+
+
 def _prefixes(parts: int, percent: int):
-    """Stars inside a slice, and one record per hash for the part."""
+    """Of a slice's sets, by rarity: stars inside the slice, and one record per hash for the part."""
     schema = C.arrow("part int, a long, b long, blob binary")
 
-    def flush(ids, sets):
-        n = np.array([len(x) for x in sets])
-        at, owner = _prefix(n, 1, percent)
-        h, doc = np.concatenate(sets)[at], np.concatenate(ids)[owner]
-        order, lead, twice = _by_hash(h, doc)
+    def run(rows):
+        base, told = None, []
+        for kind, blob in zip(rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True):
+            if kind == BASE:
+                base = C.decode(blob)
+            else:
+                told.append(C.decode(blob))
+        ids, n, h, at = base
+        ids, n, h, at = ids.view(np.int64), n.astype(np.int64), np.cumsum(h, dtype=C.U64), at.astype(np.int64)
+        often = np.ones(len(h), np.int64)
+        for where, c in told:
+            often[np.cumsum(where).astype(np.int64)] = c
+        owner, df = np.repeat(np.arange(len(n)), n), often[at]
+        left = np.bincount(owner[df > 1], minlength=len(n)) >= least_overlap(n, percent)
+        keep = left[owner]
+        owner, df, h, ids, n = owner[keep], df[keep], h[at[keep]], ids[left], n[left]
+        order = np.lexsort((h, df, owner))
+        where, owner = _prefix(n, 1, percent)
+        h, doc = h[order][where], ids[owner]
+        order, lead, _ = _by_hash(h, doc)
         h, doc = h[order], doc[order]
         lead_doc = doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
         star = np.unique(np.stack([lead_doc[~lead], doc[~lead]], 1), axis=0)
-        yield C.rows(schema, np.mod(star[:, 0], parts), star[:, 0], star[:, 1], [None] * len(star))
         packed = list(_pack_by_part(h[lead], doc[lead], np.zeros(lead.sum(), np.int64), parts))
         none = [None] * len(packed)
-        yield C.rows(schema, [p for p, _ in packed], none, none, [b for _, b in packed])
-
-    def run(batches):
-        ids, sets, size = [], [], 0
-        for b in batches:
-            ids.append(b.column(0).to_numpy(zero_copy_only=False))
-            sets += [_read_set(x) for x in b.column(1).to_pylist()]
-            size = sum(map(len, sets))
-            if size >= FLUSH:
-                yield from flush(ids, sets)
-                ids, sets = [], []
-        if sets:
-            yield from flush(ids, sets)
+        stars = C.rows(schema, np.mod(star[:, 0], parts), star[:, 0], star[:, 1], [None] * len(star))
+        return pa.Table.from_batches([stars, C.rows(schema, [p for p, _ in packed], none, none, [b for _, b in packed])])
 
     return run
 
@@ -395,7 +460,9 @@ def _join_block(percent: int):
 
 def _blocks(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """doc_id, block: sets that may link are in one block."""
-    rows = sets.select("doc_id", "hashes").mapInArrow(_prefixes(parts, percent), "part int, a long, b long, blob binary")
+    routed = sets.select("doc_id", "hashes").mapInArrow(_slices_of_sets(parts), "part int, slice long, kind int, blob binary")
+    counted = routed.repartition(parts, "part").groupBy("part").applyInArrow(_count_shingles, "slice long, kind int, blob binary")
+    rows = counted.groupBy("slice").applyInArrow(_prefixes(parts, percent), "part int, a long, b long, blob binary")
     stars = rows.repartition(parts, "part").groupBy("part").applyInArrow(_stars, "a long, b long")
     return components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
 
