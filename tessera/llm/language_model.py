@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 HOT = 1 << 18
-FLUSH = 2_500_000
+FLUSH = 800_000
+PART_BYTES = 4 << 20
+TYPES = 200_000
 RARE = C.U64(1 << 63)
 END = C.U64(0x1D2C3B4A59687786)
 BUCKETS = 40
@@ -101,7 +103,7 @@ def _count_words(parts: int):
 
 
 def _add_words(part):
-    words, n = zip(*((np.cumsum(w, dtype=C.U64), n.astype(np.int64)) for w, n in map(C.decode, part["blob"].to_pylist())), strict=True)
+    words, n = zip(*((np.cumsum(w, dtype=C.U64), n.view(np.int64)) for w, n in map(C.decode, C.blobs(part["blob"]))), strict=True)
     word, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, np.concatenate(n)).astype(np.int64)
     levels = np.bincount(np.log2(total).astype(int), minlength=64)
@@ -114,7 +116,7 @@ def _hot_words(least: int):
 
     def run(batches):
         for b in batches:
-            for blob in b.column(0).to_pylist():
+            for blob in C.blobs(b.column(0)):
                 w, n = C.decode(blob)
                 some = n >= least
                 yield C.rows(schema, np.cumsum(w, dtype=C.U64)[some].view(np.int64), n[some].view(np.int64))
@@ -209,19 +211,21 @@ def _resolve(parts: int, hot):
             for col, v in zip(out, (p, kind, blob), strict=True):
                 col.append(v)
 
-        for kind, blob in zip(part["kind"].to_pylist(), part["blob"].to_pylist(), strict=True):
+        for kind, blob in zip(part["kind"].to_pylist(), C.blobs(part["blob"]), strict=True):
             if kind == TABLE:
                 put(me, TABLE, blob)
             elif kind == COUNTS:
                 w, n = C.decode(blob)
-                own_words, own_counts = np.cumsum(w, dtype=C.U64), n.astype(np.int64)
+                own_words, own_counts = np.cumsum(w, dtype=C.U64), n.view(np.int64)
             else:
                 records.setdefault(kind, []).append(C.decode(blob))
-        for kind, blobs in records.items():
+        while records:
+            kind, blobs = records.popitem()
             key = np.concatenate([np.cumsum(b[1], dtype=C.U64) for b in blobs])
             number = np.repeat(np.array([int(b[0][0]) for b in blobs]), [len(b[1]) for b in blobs])
-            doc, told = (np.concatenate([b[k] for b in blobs]).astype(np.int64) for k in (2, 3))
+            doc, told = (np.concatenate([b[k] for b in blobs]).view(np.int64) for k in (2, 3))
             other = np.concatenate([b[4] for b in blobs]) if kind != PAIRS else None
+            del blobs
             o, group, n, first = grouped(key, other, told)
             key = key[o][first]
             if kind == PAIRS:
@@ -234,16 +238,22 @@ def _resolve(parts: int, hot):
                     context, word = counts[other.astype(np.int64)], own
                 else:
                     context, word = own, other
-            slices, at = np.unique(number[o], return_inverse=True)
-            who = (slices, np.diff(np.r_[first, len(group)]), at, doc[o], told[o] >> 1)
-            if kind != BOTH_RARE:
-                put(me, SECOND_RARE if kind == SECOND_RARE else PAIRS, C.encode(n, context, word, *who))
-            else:  # to the part that has the second word's count
-                where = _spread(COUNTS, parts, word)
+            first = np.r_[first, len(group)]
+            number, doc, times = number[o], doc[o], told[o] >> 1
+            del o, told
+            for a in range(0, len(n), TYPES):  # in blobs of a bounded size
+                b = min(len(n), a + TYPES)
+                x, y = first[a], first[b]
+                slices, at = np.unique(number[x:y], return_inverse=True)
+                holders = np.diff(first[a : b + 1])
+                if kind != BOTH_RARE:
+                    put(me, SECOND_RARE if kind == SECOND_RARE else PAIRS, C.encode(n[a:b], context[a:b], word[a:b], slices, holders, at, doc[x:y], times[x:y]))
+                    continue
+                where = _spread(COUNTS, parts, word[a:b])  # the part that has the second word's count
                 for p in np.unique(where):
                     g = where == p
-                    keep = g[group]
-                    put(int(p), BOTH_RARE, C.encode(n[g], context[g], word[g], slices, who[1][g], *(x[keep] for x in who[2:])))
+                    keep = g[group[x:y] - a]
+                    put(int(p), BOTH_RARE, C.encode(n[a:b][g], context[a:b][g], word[a:b][g], slices, holders[g], at[keep], doc[x:y][keep], times[x:y][keep]))
         return pa.Table.from_batches([C.rows(schema, *out)])
 
     return run
@@ -252,10 +262,10 @@ def _resolve(parts: int, hot):
 def _second_counts(part):
     schema = C.arrow("part int, kind int, blob binary")
     own_words, own_counts, blobs = np.zeros(0, C.U64), np.zeros(0, np.int64), []
-    for kind, blob in zip(part["kind"].to_pylist(), part["blob"].to_pylist(), strict=True):
+    for kind, blob in zip(part["kind"].to_pylist(), C.blobs(part["blob"]), strict=True):
         if kind == COUNTS:
             w, n = C.decode(blob)
-            own_words, own_counts = np.cumsum(w, dtype=C.U64), n.astype(np.int64)
+            own_words, own_counts = np.cumsum(w, dtype=C.U64), n.view(np.int64)
         else:
             blobs.append(C.decode(blob))
     out = [C.encode(n, context, _lookup(own_words, own_counts, word), *who) for n, context, word, *who in blobs]
@@ -280,8 +290,8 @@ def _held_out(total: int):
         size = BUCKETS * CELLS * CELLS
         for b in batches:
             sums = [np.zeros(size) for _ in range(3)]
-            for blob in b.column(0).to_pylist():
-                n, context, word = (x.astype(np.int64) for x in C.decode(blob)[:3])
+            for blob in C.blobs(b.column(0)):
+                n, context, word = (x.view(np.int64) for x in C.decode(blob)[:3])
                 seen = n > 0
                 n, context, word = n[seen], context[seen] - 1, word[seen] - 1
                 p2 = np.where(context > 0, (n - 1) / np.maximum(context, 1), 0.0)
@@ -326,11 +336,11 @@ def _score(weights: np.ndarray, total: int, distinct: int):
     def run(batches):
         uniform = 1 / (distinct + 1)
         for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for kind, blob in zip(b.column(0).to_pylist(), C.blobs(b.column(1)), strict=True):
                 if kind == TABLE:
                     yield C.rows(schema, [int(C.decode(blob)[0][0])], [TABLE], [blob])
                     continue
-                n, context, word, slices, holders, at, doc, times = (x.astype(np.int64) for x in C.decode(blob))
+                n, context, word, slices, holders, at, doc, times = (x.view(np.int64) for x in C.decode(blob))
                 w = weights[bucket(context)]
                 p = w[:, 0] * n / np.maximum(context, 1) + w[:, 1] * word / max(1, total) + w[:, 2] * uniform
                 value = np.repeat(np.log10(p), holders) * times
@@ -360,14 +370,14 @@ _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score do
 def _meet(group):
     schema = C.arrow(_SCORES)
     table, told = None, []
-    for kind, blob in zip(group["kind"].to_pylist(), group["blob"].to_pylist(), strict=True):
+    for kind, blob in zip(group["kind"].to_pylist(), C.blobs(group["blob"]), strict=True):
         if kind == TABLE:
             table = C.decode(blob)
         else:
             told.append((blob, kind))
     _, ids, size, known, base = table
     known, base, score = known.astype(np.int64), base.view(float).copy(), np.zeros(len(ids))
-    for blob, _ in sorted(told):  # in one order, so that sums repeat
+    for blob, _ in sorted(told, key=lambda x: bytes(x[0])):  # in one order, so that sums repeat
         docs, value, *rest = C.decode(blob)
         docs = np.cumsum(docs).astype(np.int64)
         score[docs] += value.view(float)
@@ -379,7 +389,7 @@ def _meet(group):
 
 def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, parts = docs.sparkSession, C.parts_for(docs)
+    spark, parts = docs.sparkSession, C.parts_for(docs, PART_BYTES)
     fold = C.fold_of(F.col("doc_id"), folds)
     texts = C.texts_of(docs).select("doc_id", "text", (fold != held_out).alias("train"))
     by_part = lambda df: df.repartition(parts, "part").groupBy("part")
