@@ -11,8 +11,9 @@ from . import common as C
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the long columns a, b: component is the smallest node reachable; nodes without edges are absent.
 
-    Each round every node follows its neighbour of lowest random rank, if lower than its own,
-    and edges are carried over to what their ends follow; ranks are new in each round, so a
+    Each round every node follows its neighbour of lowest rank, if lower than its own, and edges
+    are carried over to what their ends follow. In the first round the node is its rank (stars
+    around their smallest node end there), later ranks are random and new in each round, so a
     constant share of the nodes goes, chains included. Each round ends in the shared folder.
     A hot node is one row after partial aggregation; joins on it are split by Spark.
     """
@@ -21,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     turn = 0
     while not edges.isEmpty():
         turn += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))  # noqa: B023, E731
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)) if turn > 1 else F.lit(0), F.col(c))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min(rank("b")).alias("low"))
         follows = C.stash(lowest.select(F.col("a").alias("node"), F.when(F.col("low") < rank("a"), F.col("low")["b"]).otherwise(F.col("a")).alias("to")))

@@ -496,7 +496,8 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_
     alive = alive.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "fp1", "fp2")
     sets = C.stash(texts.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets_of(gram), "doc_id long, n long, fp1 long, fp2 long, hashes binary").join(alive, ["doc_id", "n", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "hashes"))
     linked = linked_classes(sets, percent, block_bytes).select(F.col("doc_id").alias("rep"), "component")
-    labels = classes.join(linked, "rep", "left").select("n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    # written first: a plain table's join is one that Spark splits where a class has very many copies
+    labels = C.stash(classes.join(linked, "rep", "left").select("n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")))
     keys = ["n", "fp1", "fp2"]
     out = every.join(labels, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
