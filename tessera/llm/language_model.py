@@ -17,8 +17,9 @@ unseen context has no bigram estimate.
    in turn (c(v w) - 1, c(v) - 1, c(w) - 1, N - 1). All bigrams are summed into cells of
    (bucket, size of the bigram estimate, size of the unigram estimate), at most a few ten
    thousand, on which the weights are fitted.
-4. Each part adds log10 p of its bigrams to the scan slices that have them; a slice's sums
-   meet at its document table.
+4. Each task adds log10 p of its bigrams to the documents that have them, in sums by scan slice
+   that leave it when they reach HELD documents, or at its end: a row for each group of slices.
+   A slice's sums meet at its document table.
 
 A frequent bigram costs a record per document that has it, never a row per pair of
 documents, and pairs of frequent words are spread by the pair.
@@ -42,13 +43,14 @@ HOT = 1 << 18
 FLUSH = 800_000
 PART_BYTES = 4 << 20
 TYPES = 200_000
+HELD = 2_000_000
 RARE = C.U64(1 << 63)
 END = C.U64(0x1D2C3B4A59687786)
 BUCKETS = 40
 CELLS = 96
 PAIRS, FIRST_RARE, SECOND_RARE, BOTH_RARE, COUNTS, TABLE = range(6)
 _ROUTED = "part int, kind int, blob binary"
-_SUMS = "slice long, base long, doc binary, sums binary"
+_TOLD = "slices int, kind int, blob binary"
 
 
 def _spread(kind: int, parts: int, h: np.ndarray) -> np.ndarray:
@@ -330,36 +332,64 @@ def fit_weights(cell, n, p2, p1, uniform: float, rounds: int = 100) -> np.ndarra
     return weights
 
 
-def _score(weights: np.ndarray, total: int, distinct: int):
-    schema = C.arrow("slice long, kind int, blob binary")
+class Sums:
+    """log10 p, log10 base and known tokens of documents, by slice."""
+
+    def __init__(self):
+        self.of, self.held = {}, 0
+
+    def add(self, number: int, doc: np.ndarray, *values: np.ndarray) -> None:
+        sums = self.of.setdefault(number, [np.zeros(0) for _ in range(3)])
+        size = max(len(sums[0]), int(doc.max()) + 1)
+        self.held += size - len(sums[0])
+        for k, old in enumerate(sums):
+            if k < len(values):
+                new = np.bincount(doc, values[k], size)
+                new[: len(old)] += old
+                sums[k] = new
+            elif len(old) < size:
+                sums[k] = np.r_[old, np.zeros(size - len(old))]
+
+    def take(self, groups: int):
+        """(group of slices, blob) of all sums."""
+        numbers = np.array(sorted(self.of, key=lambda x: (x % groups, x)))
+        for g, own in C.by_owner(numbers % groups, numbers):
+            sums = [self.of[x] for x in own.tolist()]
+            yield int(g), C.encode(own, np.array([len(x[0]) for x in sums]), *(np.concatenate([x[k] for x in sums]).view(C.U64) for k in range(3)))
+        self.__init__()
+
+
+def _score(weights: np.ndarray, total: int, distinct: int, groups: int):
+    schema = C.arrow(_TOLD)
+
+    def told(sums):
+        rows = list(sums.take(groups))
+        return C.rows(schema, [g for g, _ in rows], [PAIRS] * len(rows), [b for _, b in rows])
 
     def run(batches):
-        uniform = 1 / (distinct + 1)
+        uniform, sums = 1 / (distinct + 1), Sums()
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), C.blobs(b.column(1)), strict=True):
                 if kind == TABLE:
-                    yield C.rows(schema, [int(C.decode(blob)[0][0])], [TABLE], [blob])
+                    yield C.rows(schema, [int(C.decode(blob)[0][0]) % groups], [TABLE], [bytes(blob)])
                     continue
                 n, context, word, slices, holders, at, doc, times = (x.view(np.int64) for x in C.decode(blob))
                 w = weights[bucket(context)]
                 p = w[:, 0] * n / np.maximum(context, 1) + w[:, 1] * word / max(1, total) + w[:, 2] * uniform
-                value = np.repeat(np.log10(p), holders) * times
-                rare = kind == SECOND_RARE
-                if rare:
-                    log = np.repeat(np.log10((word + 1) / (total + distinct + 1)), holders) * times
-                    known = np.repeat(word > 0, holders) * times
+                values = [np.repeat(np.log10(p), holders) * times]
+                if kind == SECOND_RARE:
+                    values += [np.repeat(np.log10((word + 1) / (total + distinct + 1)), holders) * times, np.repeat(word > 0, holders) * times]
                 order = np.argsort(at, kind="stable")
                 cut = np.searchsorted(at[order], np.arange(len(slices) + 1))
-                out = [[], [], []]
+                doc, values = doc[order], [v[order] for v in values]
                 for k, s in enumerate(slices.tolist()):
-                    x = order[cut[k] : cut[k + 1]]
-                    docs, i = np.unique(doc[x], return_inverse=True)
-                    cols = [np.bincount(i, value[x]).view(C.U64)]
-                    if rare:
-                        cols += [np.bincount(i, log[x]).view(C.U64), np.bincount(i, known[x])]
-                    for col, v in zip(out, (s, kind, C.encode(C.deltas(docs), *cols)), strict=True):
-                        col.append(v)
-                yield C.rows(schema, *out)
+                    x = slice(cut[k], cut[k + 1])
+                    if cut[k] < cut[k + 1]:
+                        sums.add(s, doc[x], *(v[x] for v in values))
+                if sums.held >= HELD:
+                    yield told(sums)
+        if sums.held:
+            yield told(sums)
 
     return run
 
@@ -369,22 +399,26 @@ _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score do
 
 def _meet(group):
     schema = C.arrow(_SCORES)
-    table, told = None, []
+    tables, told = {}, []
     for kind, blob in zip(group["kind"].to_pylist(), C.blobs(group["blob"]), strict=True):
         if kind == TABLE:
-            table = C.decode(blob)
+            number, *table = C.decode(blob)
+            tables[int(number[0])] = table
         else:
-            told.append((blob, kind))
-    _, ids, size, known, base = table
-    known, base, score = known.astype(np.int64), base.view(float).copy(), np.zeros(len(ids))
-    for blob, _ in sorted(told, key=lambda x: bytes(x[0])):  # in one order, so that sums repeat
-        docs, value, *rest = C.decode(blob)
-        docs = np.cumsum(docs).astype(np.int64)
-        score[docs] += value.view(float)
-        if rest:
-            base[docs] += rest[0].view(float)
-            known[docs] += rest[1].astype(np.int64)
-    return pa.Table.from_batches([C.rows(schema, ids.view(np.int64), size.astype(np.int64), known, base, score)])
+            told.append(bytes(blob))
+    sums = {s: [np.zeros(len(t[0])) for _ in range(3)] for s, t in tables.items()}
+    for blob in sorted(told):  # in one order, so that sums repeat
+        numbers, sizes, *columns = C.decode(blob)
+        ends = np.cumsum(sizes).astype(np.int64)
+        for s, a, b in zip(numbers.tolist(), np.r_[0, ends[:-1]], ends, strict=True):
+            for own, c in zip(sums[s], columns, strict=True):
+                own[: b - a] += c[a:b].view(float)
+    out = []
+    for s in sorted(tables):
+        ids, size, known, base = tables[s]
+        score, more, also = sums[s]
+        out.append(C.rows(schema, ids.view(np.int64), size.view(np.int64), known.view(np.int64) + also.astype(np.int64), base.view(float) + more, score))
+    return pa.Table.from_batches(out, schema=schema)
 
 
 def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = HOT) -> DataFrame:
@@ -415,6 +449,6 @@ def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, ho
     cells = bigrams.where(F.col("kind") != TABLE).select("blob").mapInArrow(_held_out(total), "cell long, n double, p2 double, p1 double")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").toArrow()  # BUCKETS x CELLS x CELLS at most, a few thousand in use
     weights = fit_weights(*(cells[c].to_numpy() for c in ("cell", "n", "p2", "p1")), 1 / (distinct + 1))
-    told = bigrams.select("kind", "blob").mapInArrow(_score(weights, total, distinct), "slice long, kind int, blob binary")
-    scores = told.groupBy("slice").applyInArrow(_meet, _SCORES)
+    told = bigrams.select("kind", "blob").mapInArrow(_score(weights, total, distinct, parts), _TOLD)
+    scores = told.groupBy("slices").applyInArrow(_meet, _SCORES)
     return scores.select("doc_id", (fold == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
