@@ -3,11 +3,13 @@
 Lines are what newlines divide; a line of at least MIN_WORDS words is judged by its words.
 It is removed when an earlier line (smaller doc_id, or the same document, earlier line) is
 within one edit of it: a word inserted, deleted or replaced. Lines of fewer than NEAR_WORDS
-words are removed only when an earlier line has equal words. All is judged on the input.
+words are removed only when an earlier line has equal words; min_words=1 judges them all so
+(`op9_line_dedup_every_line`). All is judged on the input.
 
 Two lines within one edit have their first or their last `half` words in common, so a
 line's variants need to meet only other lines with the same half: a line travels twice, as
-(half, the other words), 4 bytes a word. A part that finds two or more lines with a half
+(half, the other words), 4 bytes a word; lines of fewer than NEAR_WORDS words travel once, as
+a 64-bit hash of all their words. A part that finds two or more lines with a half
 emits their deletion variants as hashed keys (the other words, and those without each one
 word) and joins equal variants. Equal variants with the word deleted at the same position,
 or a variant equal to a whole line, prove an edit distance of at most one; equal variants
@@ -83,7 +85,7 @@ def judged(ids: np.ndarray, texts: list[bytes], into: Some, min_words: int) -> n
     first, n, line = _lines(lex)
     keep = n >= min_words
     take = np.repeat(keep, n)
-    into.add(ids[lex.text[first[keep]]], line[keep], n[keep], (lex.hash[take] & C.U64(FULL)))
+    into.add(ids[lex.text[first[keep]]], line[keep], n[keep], lex.hash[take])
     return np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
 
 
@@ -207,7 +209,7 @@ def _scan(parts: int, min_words: int, near: int, hot):
         order = plain[np.argsort(half[plain], kind="stable")]
         for p, r in _by_part(C.part_of(half, parts), parts, order):
             docs, idx = np.unique(doc[which[r]], return_inverse=True)
-            put(p, HALVES, C.encode(C.deltas(half[r]), C.deltas(docs), idx, line[which[r]], size[r], words[_ranges(at[r], size[r])]))
+            put(p, HALVES, C.encode(C.deltas(half[r]), C.deltas(docs), idx, line[which[r]], size[r], words[_ranges(at[r], size[r])] & C.U64(FULL)))
         r = np.flatnonzero(is_hot)
         if len(r):
             record, key, pos = variants(half[r], at[r], size[r], words)

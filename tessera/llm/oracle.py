@@ -67,4 +67,7 @@ min(case when pos <> -1 and n > {NEAR_WORDS} then doc_id * 1000000 + line end) o
 gone as (select distinct doc_id, line from f where same < place or (pos = -1 and n >= {NEAR_WORDS} and longer < place) or (pos <> -1 and n > {NEAR_WORDS} and whole < place))
 select d.doc_id, len(string_split(coalesce(text, ''), chr(10))) n_lines, count(line) n_removed, coalesce(string_agg(line::varchar, ',' order by line), '') removed_lines from documents d left join gone using (doc_id) where d.doc_id is not null group by d.doc_id, text"""
 
-SQL = {"op1_substring_dedup": OP1, "op5_winnowing_decontamination": OP5, "op6_host_rules": OP6, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9}
+#: Every line with a word is judged.
+OP9_EVERY_LINE = OP9.replace(f">= {LINE_WORDS}", ">= 1")
+
+SQL = {"op1_substring_dedup": OP1, "op5_winnowing_decontamination": OP5, "op6_host_rules": OP6, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9, "op9_line_dedup_every_line": OP9_EVERY_LINE}

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+
+from tessera.llm import common as C
 from tessera.llm import line_dedup as L
+from tessera.llm import queries
 
 from .fixtures import ODD_TEXTS, WORD
 
@@ -81,3 +85,31 @@ def test_text_and_columns(spark):
     assert by[2].text == "start of it\nshort line\n" and by[2].n_chars == len(by[2].text)
     assert by[3].text is None and by[None].text == line
     assert L.line_verdicts(frame(spark, [])).count() == 0
+
+
+def test_every_line_with_a_word_is_judged(spark, tmp_path):
+    import duckdb
+
+    rows = corpus(4) + [(3000 + d, "All rights reserved.\nHome\n\nnext page\n" + ("Home " if d % 2 else "home")) for d in range(40)]
+    want = brute(rows, min_words=1)
+    assert got(frame(spark, rows), min_words=1) == want
+    assert got(frame(spark, rows), min_words=1, scout=1, hot_lines=1) == want
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op9_line_dedup_every_line(spark, str(tmp_path))
+    columns = ["doc_id", "n_lines", "n_removed", "removed_lines"]
+    out = sorted(tuple(r) for r in out.select(columns).collect())
+    assert {d: x for d, _, _, x in out} == {d: ",".join(map(str, x)) for d, x in want.items()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(f"select {', '.join(columns)} from ({queries.oracle_sql()['op9_line_dedup_every_line']})").fetchall()
+    assert sorted(sql) == out
+
+
+def test_short_lines_are_told_apart_by_more_than_32_bits(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    low = C.Lexed([" ".join(words).encode()]).hash & C.U64(L.FULL)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])
+    assert len(at)
+    rows = [(k, f"{words[i]}\n{words[i]} b c d e") for k, i in enumerate(np.r_[order[at], order[at + 1]].tolist())]
+    assert not any(got(frame(spark, rows), min_words=1).values())
