@@ -460,9 +460,23 @@ def sentence_counts(spark, sf_dir):
 )
 def verbatim_cover(spark, sf_dir):
     """Line segments cover their document; with the second one changed, or the first, that one fails."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.lines("text").alias("l")).where("size(l) >= 2")
+    return _spoiled_cover(_document_lines(spark, sf_dir).where("size(l) >= 2"))
+
+
+@query(f"""select doc_id, case when doc_id % 3 = 0 or coalesce(len(l), 0) < 2 then -1 when doc_id % 3 = 1 then 1 else 0 end::int fail_idx from (select doc_id, {_sql_lines("text")} l from documents)""")
+def verbatim_cover_every_document(spark, sf_dir):
+    """The same for all documents: one or no line covers its document, and is not changed."""
+    return _spoiled_cover(_document_lines(spark, sf_dir))
+
+
+def _document_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("l", text.lines("text"))
+
+
+def _spoiled_cover(rows):
     at = F.col("doc_id") % 3
-    spoiled = F.transform("l", lambda x, i: F.when((at == 1) & (i == 1) | (at == 2) & (i == 0), F.concat(x, F.lit("\x02"))).otherwise(x))
+    change = (F.size("l") >= 2) & (at != 0)
+    spoiled = F.transform("l", lambda x, i: F.when(change & (i == 2 - at), F.concat(x, F.lit("\x02"))).otherwise(x))
     return rows.select("doc_id", text.verbatim_cover("text", spoiled, 3).alias("fail_idx"))
 
 

@@ -51,3 +51,12 @@ def test_without_corpus_operators(tmp_path):
     shutil.copytree(HERE, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and not [x for x in q if x[:2] == 'op']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=to, env={**os.environ, "PYTHONPATH": str(to)}, check=True)
+
+
+def test_verbatim_cover_takes_every_document(spark, tmp_path):
+    from tessera import queries as q
+
+    texts = [(3, "a\nb"), (4, "a\nb"), (5, "a\nb"), (6, None), (7, ""), (8, "one line"), (10, " one line "), (11, "\n\n")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, q.verbatim_cover_every_document(spark, str(tmp_path)).collect()))
+    assert got == {3: -1, 4: 1, 5: 0, 6: -1, 7: -1, 8: -1, 10: -1, 11: -1}
