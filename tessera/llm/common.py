@@ -68,7 +68,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Lexed:
     """The words of some texts: hash, index of its text, byte range in buf; first[i]:first[i+1] are text i's words, begin[i] its first byte."""
 
-    def __init__(self, texts: list[bytes], seps: np.ndarray = IS_SPACE, fold: bool = False):
+    def __init__(self, texts: list[bytes], seps: np.ndarray = IS_SPACE, fold: bool = False, hashed: bool = True):
         buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         if fold:
             buf = FOLD[buf]
@@ -80,11 +80,16 @@ class Lexed:
         self.begin = begin
         self.first = np.searchsorted(self.start, begin)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.buf, n = buf, len(buf)
-        up, self._down = powers(_BASE, n)
-        self._sums = np.zeros(n + 1, U64)
-        np.cumsum((buf.astype(U64) + U64(1)) * up[:n], out=self._sums[1:])
-        self.hash = self.span(self.start, self.end)
+        self.buf = buf
+        if hashed:
+            self.rehash(buf, self.start, self.end)
+
+    def rehash(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Hash the words as they stand in buf, up to `stop`."""
+        up, self._down = powers(_BASE, len(buf))
+        self.buf, self.stop, self._sums = buf, stop, np.zeros(len(buf) + 1, U64)
+        np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=self._sums[1:])
+        self.hash = self.span(start, stop)
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
@@ -137,6 +142,12 @@ def slices(batches, limit: int = SLICE_BYTES):
     release()
 
 
+def ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indexes at[0]..at[0]+n[0]-1, at[1].., one after another."""
+    out = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n)
+    return out + np.arange(len(out))
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker that waits for its next task holds little."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -89,12 +89,6 @@ def judged(ids: np.ndarray, texts: list[bytes], into: Some, min_words: int) -> n
     return np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
 
 
-def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The indexes at[0]..at[0]+n[0]-1, at[1].., one after another."""
-    out = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n)
-    return out + np.arange(len(out))
-
-
 def distinct_lines(doc, line, n, words):
     """The first of equal lines, by place; and the places of later ones."""
     at = np.r_[0, np.cumsum(n)]
@@ -104,7 +98,7 @@ def distinct_lines(doc, line, n, words):
     leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     later = order[(doc[order] != doc[leader]) | (line[order] != line[leader])]
     keep = np.sort(order[lead])
-    return (doc[keep], line[keep], n[keep], words[_ranges(at[:-1][keep], n[keep])]), (doc[later], line[later])
+    return (doc[keep], line[keep], n[keep], words[C.ranges(at[:-1][keep], n[keep])]), (doc[later], line[later])
 
 
 def half_records(n: np.ndarray, words: np.ndarray, near: int):
@@ -129,7 +123,7 @@ def half_records(n: np.ndarray, words: np.ndarray, near: int):
 
 def variants(half: np.ndarray, at: np.ndarray, n: np.ndarray, words: np.ndarray):
     """(record, key, position) of all variants of records (half, words[at:at + n]): whole, and without one word each."""
-    flat = words[_ranges(at, n)]
+    flat = words[C.ranges(at, n)]
     start = np.r_[0, np.cumsum(n)][:-1]
     record = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(flat)) - start[record]
@@ -209,7 +203,7 @@ def _scan(parts: int, min_words: int, near: int, hot):
         order = plain[np.argsort(half[plain], kind="stable")]
         for p, r in _by_part(C.part_of(half, parts), parts, order):
             docs, idx = np.unique(doc[which[r]], return_inverse=True)
-            put(p, HALVES, C.encode(C.deltas(half[r]), C.deltas(docs), idx, line[which[r]], size[r], words[_ranges(at[r], size[r])] & C.U64(FULL)))
+            put(p, HALVES, C.encode(C.deltas(half[r]), C.deltas(docs), idx, line[which[r]], size[r], words[C.ranges(at[r], size[r])] & C.U64(FULL)))
         r = np.flatnonzero(is_hot)
         if len(r):
             record, key, pos = variants(half[r], at[r], size[r], words)

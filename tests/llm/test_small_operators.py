@@ -56,13 +56,43 @@ def test_packing_round_trip(spark, docs):
 def test_chunk_memo_equals_whole_texts():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(6)
-    marks = ["a", "B", "é", "É", "'s", "'S", "'", ",", ".", "..", "!", "9", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\xa0", "ß", "Σ", "σς", "\u0301", "x.y", "it's,", "“", "-"]
-    memo = {}
-    for _ in range(3000):
-        text = "".join(r.choice(marks) for _ in range(r.randint(1, 12))).encode()
-        packing.learn(set(text.split()).difference(memo), memo, t)
-        ids = np.frombuffer(b"".join(memo[c] for c in text.split()), "<u4").tolist()
-        assert ids == t.encode(text.decode(), add_special_tokens=False).ids, text
+    marks = ["a", "B", "é", "É", "'s", "'S", "'", ",", ".", "..", "!", "9", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\xa0", "\x85", "\u2028", "ß", "Σ", "σς", "İ", "한", "\u0301", "x.y", "it's,", "“", "-", "ª", "a,"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    texts += ["".join(r.choice("aBz") for _ in range(r.randint(1, 5))) + r.choice(",. ") for _ in range(2000)]
+    for most in (1_000_000, 700):  # the small memo forgets all the time
+        memo = packing.Memo(public_tokenizers.path("word_bpe_49k.json"), most)
+        for a in range(0, len(texts), 50):
+            some = texts[a : a + 50]
+            ids, upto = packing.token_ids([x.encode() for x in some], memo, 7)
+            for x, i, j in zip(some, upto, upto[1:]):
+                assert ids[i:j].tolist() == [*t.encode(x, add_special_tokens=False).ids, 7], x
+        assert len(memo.key) <= 1_000_000 and (most > 700 or len(memo.key) < 1100)
+        assert (np.diff(memo.key.astype(float)) >= 0).all() and len(memo.flat) == memo.size.sum()
+
+
+def test_places_equal_a_scan_over_all_open_bins():
+    r = random.Random(7)
+    for limit, most in ((10, 3), (2048, 64), (7, 1)):
+        tree, plain = packing.OpenBins(limit, most), {}  # bin: free
+        made = 0
+        for _ in range(3000):
+            n = min(limit, max(1, int(r.lognormvariate(0, 1) * limit / 4)))
+            got, offset = tree.place(n, made)
+            fits = [f for f in plain.values() if f >= n]
+            if fits:
+                assert got < made and plain[got] == min(fits) and offset == limit - plain[got]
+            else:
+                assert got == made and offset == 0
+                if n < limit and len(plain) == most:
+                    closed = set(plain) - {b for x in tree.by_free for b in x}
+                    assert len(closed) == 1 and plain[min(closed)] == min(plain.values())
+                    del plain[closed.pop()]
+                plain[got] = limit
+                made += 1
+            plain[got] -= n
+            if not plain[got]:
+                del plain[got]
+            assert len(plain) == tree.open <= most
 
 
 def check_places(rows, limit=2048):
