@@ -209,6 +209,23 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
+def xxhash64(ids: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of longs (the public XXH64 of their eight bytes, little-endian)."""
+    # fixed values: the primes of XXH64
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    rotate = lambda x, k: (x << U64(k)) | (x >> U64(64 - k))
+    h = U64(seed + p5 + 8) ^ rotate(ids.astype(np.int64).view(U64) * U64(p2), 31) * U64(p1)
+    h = rotate(h, 27) * U64(p1) + U64(p4)
+    h = (h ^ (h >> U64(33))) * U64(p2)
+    h = (h ^ (h >> U64(29))) * U64(p3)
+    return (h ^ (h >> U64(32))).view(np.int64)
+
+
+def part_of_id(ids: np.ndarray, parts: int) -> np.ndarray:
+    """pmod(xxhash64(id), parts): ids are hashed first, as they may have a stride."""
+    return np.mod(xxhash64(ids), parts)
+
+
 def by_owner(owner: np.ndarray, *columns: np.ndarray):
     """(owner, its values of each column, in order) for each distinct owner."""
     order = np.argsort(owner, kind="stable")
@@ -233,10 +250,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(docs: DataFrame, identity: str = "doc_id") -> DataFrame:
-    """doc_id and text, in Arrow batches of a few MB for the rest of the session: tasks hold a batch or two."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return docs.select(F.col(identity).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text and more of the documents that have a doc_id, in Arrow batches of a few MB.
+
+    The batch size is a setting of the session that Spark reads when the plan runs, after
+    this returns; so it is set for the session, unless the session has one of its own.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, BATCH_BYTES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).where("doc_id is not null")
 
 
 def fold_of(key: Column, n: int) -> Column:
@@ -251,9 +274,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 20) -> int:
-    """How many parts an exchange of a table's words gets; at least as many as Spark's shuffles."""
+    """How many parts an exchange of a table's words gets; at least as many as Spark's shuffles. Where Catalyst knows no size the texts are measured."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, max(conf, estimated_bytes(df) // bytes_each)))
+    size = estimated_bytes(df)
+    if not size and "text" in df.columns:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    return max(1, min(most, max(conf, size // bytes_each)))
 
 
 def shared_dir(spark: SparkSession) -> str:
