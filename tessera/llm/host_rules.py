@@ -3,14 +3,21 @@
 Each document is measured once (one scan; the measures are kept in the shared folder).
 Rule failures are then summed by host with map-side partial aggregation, so that a host
 with a third of all rows costs one partial row per task. A beta prior is fitted to the
-hosts' failure rates by moments (from sums over all hosts); a host's rate is shrunk to
-(failures + a) / (documents + a + b), and hosts at or above `reject_rate` are rejected,
-with all their documents. Verdicts are joined back without a forced broadcast: Spark
-broadcasts them if their measured size allows, and else splits skewed partitions.
-
-Defined cases: null text has no words and fails; a null host is a host of its own; with one
-host, or hosts that agree, the prior is Beta(1, 1); rows without doc_id are left out;
-repeated rows each count and are each returned.
+hosts' failure rates by moments (from sums over all hosts, what sampling alone would spread
+taken off), and a host's rate is shrunk to (failures + a) / (documents + a + b).
+
+A host is rejected, with all its documents, when its shrunk rate is beyond the prior's usual
+range: DEVIATIONS standard deviations or more above its mean. That limit is held between
+LEAST_RATE (a host of which less than half fails is never rejected, however alike the
+others are) and MOST_RATE (one that fails nearly always is, however many such hosts pull the
+prior up). Hosts whose rates differ by no more than sampling explains have a prior without
+spread: all are shrunk to the common mean. Verdicts are joined back without a forced
+broadcast: Spark broadcasts them if their measured size allows, and else splits skewed
+partitions.
+
+Defined cases: null text has no words and fails; a null host is a host of its own; one
+host alone is its own mean; rows without doc_id are left out; repeated rows each count and
+are each returned.
 """
 
 from __future__ import annotations
@@ -24,7 +31,9 @@ from . import common as C
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-REJECT_RATE = 0.9
+DEVIATIONS = 2.0
+LEAST_RATE, MOST_RATE = 0.5, 0.9
+MOST_STRENGTH = 1e6
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SYMBOLS = b"#*$%&|<>"
 _MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -71,32 +80,30 @@ def _measure(batches):
 
 def measure(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
     """One row per document: its host, measures and base_failed."""
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host")).where("doc_id is not null")
+    kept = C.texts_of(docs, F.col(host).cast("string").alias("host"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     return kept.mapInArrow(_measure, _MEASURES).withColumn("base_failed", failed)
 
 
-def host_verdicts(measures: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+def host_verdicts(measures: DataFrame, deviations: float = DEVIATIONS, least_rate: float = LEAST_RATE, most_rate: float = MOST_RATE) -> DataFrame:
     """host, n_docs, n_failed, host_rate (shrunk), host_rejected."""
     hosts = measures.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n_docs")).alias("inv")).select(
-        "m",
-        # what sampling alone would spread is taken off the spread between hosts
-        (F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv")).alias("between"),
-    )
-    strength = F.col("m") * (1 - F.col("m")) / F.col("between") - 1
-    usable = (F.col("between") > 0) & (F.col("m") > 0) & (F.col("m") < 1)
-    fitted = prior.select("m", F.when(usable, F.least(F.greatest(F.when(usable, strength), F.lit(2.0)), F.lit(1e6))).alias("k"))
-    beta = fitted.select(F.coalesce(F.col("m") * F.col("k"), F.lit(1.0)).alias("a"), F.coalesce((1 - F.col("m")) * F.col("k"), F.lit(1.0)).alias("b"))
-    shrunk = hosts.crossJoin(F.broadcast(beta))  # beta is one row
-    return shrunk.select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("a") + F.col("b"))).alias("host_rate")).withColumn("host_rejected", F.col("host_rate") >= reject_rate)
-
-
-def host_rules(docs: DataFrame, host: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
+    spread = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n_docs")).alias("inv"))
+    within = F.col("m") * (1 - F.col("m"))
+    between = F.col("v") - within * F.col("inv")
+    k = F.when((between > 0) & (within > 0), F.least(F.greatest(within / between - 1, F.lit(2.0)), F.lit(MOST_STRENGTH))).otherwise(F.lit(MOST_STRENGTH))
+    prior = spread.select("m", within.alias("within"), k.alias("k"))
+    limit = F.least(F.greatest(F.col("m") + deviations * F.sqrt(F.col("within") / (F.col("k") + 1)), F.lit(least_rate)), F.lit(most_rate))
+    fitted = prior.select((F.col("m") * F.col("k")).alias("a"), "k", limit.alias("limit"))
+    shrunk = hosts.crossJoin(F.broadcast(fitted)).withColumn("host_rate", (F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("k")))  # fitted is one row
+    return shrunk.select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") >= F.col("limit")).alias("host_rejected"))
+
+
+def host_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The measures, base_failed, host_rate and kept of each document."""
     measures = C.stash(measure(docs, host))
-    verdicts = host_verdicts(measures, reject_rate).select(F.col("host").alias("h"), "host_rate", "host_rejected")
+    verdicts = host_verdicts(measures, **limits).select(F.col("host").alias("h"), "host_rate", "host_rejected")
     joined = measures.join(verdicts, F.col("host").eqNullSafe(F.col("h")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host", "host_rate"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .host_rules import MIN_WORDS, REJECT_RATE, REPEAT_PERCENT
+from .host_rules import DEVIATIONS, LEAST_RATE, MIN_WORDS, MOST_RATE, MOST_STRENGTH, REPEAT_PERCENT
 from .line_dedup import MIN_WORDS as LINE_WORDS
 from .line_dedup import NEAR_WORDS
 
@@ -43,9 +43,9 @@ len(list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\x20\x0
 from d left join rep using (doc_id)),
 y as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words base_failed from x),
 h as (select source, count(*) n, count_if(base_failed) f from y group by source),
-p as (select avg(f / n) m, coalesce(var_samp(f / n), 0) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) between_ from h),
-q as (select m, case when between_ > 0 and m > 0 and m < 1 then least(greatest(m * (1 - m) / between_ - 1, 2), 1e6) end k from p),
-v as (select source, (f + coalesce(m * k, 1)) / (n + coalesce(m * k, 1) + coalesce((1 - m) * k, 1)) >= {REJECT_RATE} bad from h, q)
+p as (select avg(f / n) m, avg(f / n) * (1 - avg(f / n)) w, coalesce(var_samp(f / n), 0) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) between_ from h),
+q as (select m, w, case when between_ > 0 and w > 0 then least(greatest(w / between_ - 1, 2), {MOST_STRENGTH}) else {MOST_STRENGTH} end k from p),
+v as (select source, (f + m * k) / (n + k) >= least(greatest(m + {DEVIATIONS} * sqrt(w / (k + 1)), {LEAST_RATE}), {MOST_RATE}) bad from h, q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad kept from y join v on y.source is not distinct from v.source"""
 
 OP8 = f"""
