@@ -1,32 +1,36 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are what newlines divide; a line of at least MIN_WORDS words is judged by its words.
-It is removed when an earlier line (smaller doc_id, or the same document, earlier line) is
-within one edit of it: a word inserted, deleted or replaced. Lines of fewer than NEAR_WORDS
-words are removed only when an earlier line has equal words; min_words=1 judges them all so
-(`op9_line_dedup_every_line`). All is judged on the input.
+Lines are what newlines divide; every line with a word is judged by its words. It is removed
+when an earlier line (smaller doc_id, or the same document, earlier line) is within its
+edit bound: one word inserted, deleted or replaced where both lines have NEAR_WORDS words or
+more, none in shorter ones (one word in eight at most). All is judged on the input.
 
 Two lines within one edit have their first or their last `half` words in common, so a
 line's variants need to meet only other lines with the same half: a line travels twice, as
-(half, the other words), 4 bytes a word; lines of fewer than NEAR_WORDS words travel once, as
-a 64-bit hash of all their words. A part that finds two or more lines with a half
+(half, the other words), 8 bytes a word; lines of fewer than NEAR_WORDS words travel once, as
+two independent hashes of all their words. A part that finds two or more lines with a half
 emits their deletion variants as hashed keys (the other words, and those without each one
 word) and joins equal variants. Equal variants with the word deleted at the same position,
-or a variant equal to a whole line, prove an edit distance of at most one; equal variants
-deleted at different positions do not, and are told apart by the position. The earliest
-line of each proven group is kept.
+or a variant equal to a whole line, mean an edit distance of at most one; equal variants
+deleted at different positions do not, and are told apart by the position. Each line so found
+is compared with the one it was found by, half and words (64 bits each), at the position
+of the edit; the earliest line of each verified group is kept.
 
 Halves that very many different lines share would put them into one task. They are looked
 for in a fixed share of the documents (this decides routes only, never results); for them,
-the variants themselves travel, each to its own part. Equal lines are settled inside a scan
-slice, so a line with a third of all rows costs one record per slice.
+the variants themselves travel, each to its own part, and a second independent hash of the
+variant verifies them. Equal lines are settled inside a scan slice, so a line with a third of
+all rows costs one record per slice.
 
-Defined cases: null text has no lines; lines of few words, blank ones included, are kept;
-rows without doc_id are left out; rows that repeat a doc_id are one document.
+Defined cases: null text has no lines; lines without words are kept; rows without doc_id are
+left out; a document is a doc_id and a text: equal rows are one, rows that share a doc_id
+and differ in text are documents of their own, in the order of their texts' checksums.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,16 +38,19 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 NEAR_WORDS = 8
-FLUSH_WORDS = 2_500_000
+FLUSH_WORDS = 1_000_000
+PART_BYTES = 4 << 20
+AT_A_TIME = 200_000
 SCOUT = 64
 HOT_LINES = 24
 MOST_HOT = 1 << 16
 FULL = (1 << 32) - 1
-HALVES, VARIANTS, TOLD, LINES = range(4)
+HALVES, SHORT, VARIANTS, TOLD, LINES = range(5)
 _ROUTED = "part int, kind int, blob binary"
-_VERDICT = "doc_id long, n_lines long, removed binary"
+_VERDICT = "doc_id long, text_crc32 long, n_lines long, removed binary"
+_SECOND = C.U64(0xA24BAED4963EE407)
 
 
 def halves(n: np.ndarray) -> np.ndarray:
@@ -52,6 +59,39 @@ def halves(n: np.ndarray) -> np.ndarray:
     return np.where(h >= 8, h // 8 * 8, np.where(h >= 4, 4, 2))
 
 
+class Docs:
+    """Documents (doc_id, checksum of the text), by number; a larger number never stands for an earlier document."""
+
+    def __init__(self, ids: np.ndarray, crc: np.ndarray):
+        order = np.lexsort((crc, ids))
+        new = np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(crc[order]) != 0)][: len(ids)]
+        self.ids, self.crc = ids[order][new], crc[order][new]
+        self.number = np.empty(len(ids), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+
+    def part(self, parts: int) -> np.ndarray:
+        return C.part_of_id(self.ids, parts)
+
+    def pack(self, doc: np.ndarray, *columns) -> bytes:
+        """Records of documents by number, with columns of their own."""
+        some, at = np.unique(doc, return_inverse=True)
+        return C.encode(C.deltas(self.ids[some]), self.crc[some], at, *columns)
+
+
+def unpack(blobs: list) -> tuple[Docs, np.ndarray, list]:
+    """(documents, number of each record's, the other columns); the column after the line number is one of differences."""
+    ids, crc, at, rest, n = [], [], [], [], 0
+    for b in blobs:
+        i, c, k, line, *cols = C.decode(b)
+        ids.append(np.cumsum(i).astype(np.int64))
+        crc.append(c.astype(np.int64))
+        at.append(k.astype(np.int64) + n)
+        rest.append([line.astype(np.int64), *(np.cumsum(x, dtype=C.U64) for x in cols[:1]), *cols[1:]])
+        n += len(i)
+    docs = Docs(np.concatenate(ids), np.concatenate(crc))
+    return docs, docs.number[np.concatenate(at)], [np.concatenate(x) for x in zip(*rest, strict=True)]
+
+
 def _lines(lex: C.Lexed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, line number in its text) of all lines with a word."""
     newlines = np.flatnonzero(lex.buf == 10)
@@ -62,31 +102,42 @@ def _lines(lex: C.Lexed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Some:
-    """Lines, in columns: doc, line, n words, and their words' hashes one after another from `at` on."""
-
-    def __init__(self):
-        self.parts = [[], [], [], []]
-        self.words = 0
-
-    def add(self, doc, line, n, words):
-        for x, y in zip(self.parts, (doc, line, n, words), strict=True):
+    """Documents of a scan slice, and their judged lines: document, line, n words, and the words' hashes one after another."""
+
+    def __init__(self, min_words: int):
+        self.min_words = min_words
+        self.docs, self.lines, self.words = [[], [], []], [[], [], [], []], 0
+
+    def add(self, ids: np.ndarray, texts: list[bytes]) -> None:
+        lex = C.Lexed(texts)
+        first, n, line = _lines(lex)
+        keep = n >= self.min_words
+        own = lex.hash[np.repeat(keep, n)]
+        counts = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        before = sum(map(len, self.docs[0]))
+        for x, y in zip((*self.docs, *self.lines), (ids, np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)), counts, before + lex.text[first[keep]], line[keep], n[keep], own), strict=True):
             x.append(y)
-        self.words += len(words)
+        self.words += len(own)
 
     def take(self):
-        doc, line, n, words = (np.concatenate(x) for x in self.parts)
-        self.__init__()
-        return doc.astype(np.int64), line.astype(np.int64), n.astype(np.int64), words
-
-
-def judged(ids: np.ndarray, texts: list[bytes], into: Some, min_words: int) -> np.ndarray:
-    """Add the lines that are judged; lines per text."""
-    lex = C.Lexed(texts)
-    first, n, line = _lines(lex)
-    keep = n >= min_words
-    take = np.repeat(keep, n)
-    into.add(ids[lex.text[first[keep]]], line[keep], n[keep], lex.hash[take])
-    return np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        """(documents, number of each row's, lines of each row), (document, line, n, words)."""
+        ids, crc, counts = (np.concatenate(x) for x in self.docs)
+        doc, line, n, words = (np.concatenate(x) for x in self.lines)
+        docs = Docs(ids, crc)
+        self.__init__(self.min_words)
+        return (docs, docs.number, counts), (docs.number[doc], line.astype(np.int64), n.astype(np.int64), words)
+
+
+def equal_but_one(words, a, n_a, cut_a, b, n_b, cut_b) -> np.ndarray:
+    """Whether words[a:a + n_a] without the one at cut_a (FULL: whole) are words[b:b + n_b] without the one at cut_b, for each pair."""
+    size, other = n_a - (cut_a != FULL), n_b - (cut_b != FULL)
+    same = size == other
+    k = C.ranges(np.zeros(len(size), np.int64), np.where(same, size, 0))
+    pair = np.repeat(np.arange(len(size)), np.where(same, size, 0))
+    x = words[a[pair] + k + (k >= cut_a[pair])]
+    y = words[b[pair] + k + (k >= cut_b[pair])]
+    same[pair[x != y]] = False
+    return same
 
 
 def distinct_lines(doc, line, n, words):
@@ -96,38 +147,47 @@ def distinct_lines(doc, line, n, words):
     order = np.lexsort((line, doc, full))
     lead = np.r_[True, full[order][1:] != full[order][:-1]][: len(order)]
     leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-    later = order[(doc[order] != doc[leader]) | (line[order] != line[leader])]
-    keep = np.sort(order[lead])
+    whole = np.full(len(order), FULL)
+    same = np.ones(len(order), bool)
+    again = ~lead
+    x, y = order[again], leader[again]
+    same[again] = equal_but_one(words, at[:-1][x], n[x], whole[again], at[:-1][y], n[y], whole[again])
+    later = order[same & ((doc[order] != doc[leader]) | (line[order] != line[leader]))]
+    keep = np.sort(order[lead | ~same])
     return (doc[keep], line[keep], n[keep], words[C.ranges(at[:-1][keep], n[keep])]), (doc[later], line[later])
 
 
 def half_records(n: np.ndarray, words: np.ndarray, near: int):
-    """(line, hash of half, first other word, other words) of each line's records, twice or four times."""
+    """(line, hash of half, first other word, other words) of each near line's records, twice or four times."""
     at = np.r_[0, np.cumsum(n)]
     sums = C.sequence_sums(words)
     out = [[], [], [], []]
-    sizes = [(np.arange(len(n)), halves(n))]
-    step = halves(n) != halves(n - 1)
-    sizes.append((np.flatnonzero(step & (n > near)), halves(n - 1)[step & (n > near)]))  # to meet lines of one word less
-    for which, m in sizes:
+    long = np.flatnonzero(n >= near)
+    step = long[(halves(n[long]) != halves(n[long] - 1)) & (n[long] > near)]
+    for which, m in ((long, halves(n[long])), (step, halves(n[step] - 1))):  # the second to meet lines of one word less
         a, b = at[which], at[which + 1]
-        short = n[which] < near  # equal lines only: one record, all words in the half
-        m = np.where(short, n[which], m)
         for k, (x, y, rest) in enumerate(((a, a + m, a + m), (b - m, b, a))):
-            use = ~short if k else np.ones(len(m), bool)
-            h = C.mix(C.sequence_hash(sums, x[use], y[use]) + C.U64(k + 1) + (m[use].astype(C.U64) << C.U64(8)))
-            for col, v in zip(out, (which[use], h, rest[use], (n[which] - m)[use]), strict=True):
+            h = C.mix(C.sequence_hash(sums, x, y) + C.U64(k + 1) + (m.astype(C.U64) << C.U64(8)))
+            for col, v in zip(out, (which, h, rest, n[which] - m), strict=True):
                 col.append(v)
     return tuple(np.concatenate(x) for x in out)
 
 
+def short_records(n: np.ndarray, words: np.ndarray, near: int):
+    """(line, hash, second hash) of the lines that only equal ones meet."""
+    at = np.r_[0, np.cumsum(n)]
+    short = np.flatnonzero(n < near)
+    out = [C.mix(C.sequence_hash(C.sequence_sums(w), at[short], at[short + 1]) + n[short].astype(C.U64)) for w in (words, C.mix(words + _SECOND))]
+    return short, *out
+
+
 def variants(half: np.ndarray, at: np.ndarray, n: np.ndarray, words: np.ndarray):
     """(record, key, position) of all variants of records (half, words[at:at + n]): whole, and without one word each."""
     flat = words[C.ranges(at, n)]
     start = np.r_[0, np.cumsum(n)][:-1]
     record = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(flat)) - start[record]
-    up, down = C.powers(C._GRAM, len(flat) + 2)
+    _, down = C.powers(C._GRAM, len(flat) + 2)
     sums = C.sequence_sums(flat)
     # the words after the deleted one move up by one place: their sum is divided by the base
     a, i, b = start[record], np.arange(len(flat)), (start + n)[record]
@@ -139,20 +199,21 @@ def variants(half: np.ndarray, at: np.ndarray, n: np.ndarray, words: np.ndarray)
 
 
 def join_variants(key, pos, doc, line):
-    """Places of the lines that an earlier line is within one edit of."""
+    """(variant, variant it is later than) of equal variants that mean one edit at most, with the earliest such."""
+    none = np.zeros(0, np.int64)
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
     at = order[np.flatnonzero(np.r_[False, same] | np.r_[same, False])] if len(k) else order
     if not len(at):
-        return doc[:0], line[:0]
+        return none, none
     at = at[np.lexsort((line[at], doc[at], pos[at], key[at]))]
     k, p, d, x = key[at], pos[at], doc[at], line[at]
     group = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
     sub = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
     lead = sub[np.searchsorted(sub, np.arange(len(at)), side="right") - 1]
     later = lambda i, j: (d[i] > d[j]) | ((d[i] == d[j]) & (x[i] > x[j]))
-    gone = later(np.arange(len(at)), lead)
+    one = np.flatnonzero(later(np.arange(len(at)), lead))
     # whole lines against lines that have one word more
     whole = p == FULL
     n = group[-1] + 1
@@ -161,27 +222,11 @@ def join_variants(key, pos, doc, line):
     first_whole[group[w]] = w
     o = sub[~whole[sub]]
     o = o[np.lexsort((x[o], d[o], group[o]))]
-    one = np.r_[True, group[o][1:] != group[o][:-1]][: len(o)]
-    first_other[group[o[one]]] = o[one]
+    new = np.r_[True, group[o][1:] != group[o][:-1]][: len(o)]
+    first_other[group[o[new]]] = o[new]
     against = np.where(whole, first_other[group], first_whole[group])
-    gone |= (against >= 0) & later(np.arange(len(at)), against)
-    return d[gone], x[gone]
-
-
-def _places(doc, line) -> bytes:
-    order = np.lexsort((line, doc))
-    return C.encode(C.deltas(doc[order]), line[order])
-
-
-def _read_places(blob):
-    doc, line = C.decode(blob)
-    return np.cumsum(doc).astype(np.int64), line.astype(np.int64)
-
-
-def _by_part(part, parts, order):
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        yield int(p), order[cut[p] : cut[p + 1]]
+    two = np.flatnonzero((against >= 0) & later(np.arange(len(at)), against))
+    return at[np.r_[one, two]], at[np.r_[lead[one], against[two]]]
 
 
 def _scan(parts: int, min_words: int, near: int, hot):
@@ -189,59 +234,63 @@ def _scan(parts: int, min_words: int, near: int, hot):
 
     def flush(some: Some):
         out = [[], [], []]
+        (docs, row, counts), lines = some.take()
+        owner = docs.part(parts)
+
+        def put(kind, part, blob):
+            """A row for each part, blob(r) of the records r that go there, in order."""
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                r = order[cut[p] : cut[p + 1]]
+                for col, v in zip(out, (int(p), kind, blob(r)), strict=True):
+                    col.append(v)
 
-        def put(part, kind, blob):
-            for col, v in zip(out, (part, kind, blob), strict=True):
-                col.append(v)
+        def places(kind, doc, line):
+            put(kind, owner[doc], lambda r: docs.pack(doc[r], line[r]))
 
-        (doc, line, n, words), (gone_doc, gone_line) = distinct_lines(*some.take())
-        for p, d, x in C.by_owner(np.mod(gone_doc, parts), gone_doc, gone_line):
-            put(int(p), TOLD, _places(d, x))
+        places(LINES, row, counts)
+        (doc, line, n, words), gone = distinct_lines(*lines)
+        places(TOLD, *gone)
+        which, h, second = short_records(n, words, near)
+        o = np.argsort(h, kind="stable")
+        which, h, second = which[o], h[o], second[o]
+        put(SHORT, C.part_of(h, parts), lambda r: docs.pack(doc[which[r]], line[which[r]], C.deltas(h[r]), second[r]))
         which, half, at, size = half_records(n, words, near)
         is_hot = np.isin(half, hot.value)
-        plain = np.flatnonzero(~is_hot)
-        order = plain[np.argsort(half[plain], kind="stable")]
-        for p, r in _by_part(C.part_of(half, parts), parts, order):
-            docs, idx = np.unique(doc[which[r]], return_inverse=True)
-            put(p, HALVES, C.encode(C.deltas(half[r]), C.deltas(docs), idx, line[which[r]], size[r], words[C.ranges(at[r], size[r])] & C.U64(FULL)))
-        r = np.flatnonzero(is_hot)
-        if len(r):
+        hot_ones, plain = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+        plain = plain[np.argsort(half[plain], kind="stable")]
+
+        def line_blob(r):
+            r = plain[r]
+            return docs.pack(doc[which[r]], line[which[r]], C.deltas(half[r]), size[r]) + C.encode(words[C.ranges(at[r], size[r])])
+
+        put(HALVES, C.part_of(half[plain], parts), line_blob)
+        if len(hot_ones):
+            r = hot_ones
             record, key, pos = variants(half[r], at[r], size[r], words)
+            _, second, _ = variants(C.mix(half[r] + _SECOND), at[r], size[r], C.mix(words + _SECOND))
             record = which[r][record]
             # of equal variants at one position the earliest speaks for all: the others are gone
-            o = np.lexsort((line[record], doc[record], pos, key))
-            lead = np.r_[True, (key[o][1:] != key[o][:-1]) | (pos[o][1:] != pos[o][:-1])]
+            o = np.lexsort((line[record], doc[record], pos, second, key))
+            lead = np.r_[True, (key[o][1:] != key[o][:-1]) | (second[o][1:] != second[o][:-1]) | (pos[o][1:] != pos[o][:-1])]
             lead_of = o[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-            later = o[(doc[record[o]] != doc[record[lead_of]]) | (line[record[o]] != line[record[lead_of]])]
-            for p, d, x in C.by_owner(np.mod(doc[record[later]], parts), doc[record[later]], line[record[later]]):
-                put(int(p), TOLD, _places(d, x))
-            o = o[lead]
-            for p, v in _by_part(C.part_of(key, parts), parts, o):
-                docs, idx = np.unique(doc[record[v]], return_inverse=True)
-                put(p, VARIANTS, C.encode(C.deltas(key[v]), C.deltas(docs), idx, line[record[v]], pos[v]))
+            later = record[o[(doc[record[o]] != doc[record[lead_of]]) | (line[record[o]] != line[record[lead_of]])]]
+            places(TOLD, doc[later], line[later])
+            v = o[lead]
+            v_rec = record[v]
+            put(VARIANTS, C.part_of(key[v], parts), lambda r: docs.pack(doc[v_rec[r]], line[v_rec[r]], C.deltas(key[v[r]]), pos[v[r]], second[v[r]]))
         return C.rows(schema, *out)
 
     def run(batches):
-        some, ids, counts = Some(), [], []
-
-        def count():
-            d, n = np.concatenate(ids), np.concatenate(counts)
-            p, blobs = [], []
-            for part, x, y in C.by_owner(np.mod(d, parts), d, n):
-                p.append(int(part))
-                blobs.append(_places(x, y))
-            return C.rows(schema, p, [LINES] * len(p), blobs)
-
-        for i, texts in C.slices(batches):
-            ids.append(i)
-            counts.append(judged(i, texts, some, min_words))
+        some = Some(min_words)
+        for ids, texts in C.slices(batches):
+            some.add(ids, texts)
             if some.words >= FLUSH_WORDS:
                 yield flush(some)
-                yield count()
-                ids, counts = [], []
-        if ids:
+                C.release()
+        if some.docs[0]:
             yield flush(some)
-            yield count()
 
     return run
 
@@ -249,95 +298,132 @@ def _scan(parts: int, min_words: int, near: int, hot):
 def _scout(min_words: int, near: int):
     schema = C.arrow("half long")
 
-    def run(batches):
-        some = Some()
-
-        def flush():
-            (_, _, n, words), _ = distinct_lines(*some.take())
-            return C.rows(schema, half_records(n, words, near)[1].view(np.int64))
+    def flush(some: Some):
+        (_, _, n, words), _ = distinct_lines(*some.take()[1])
+        return C.rows(schema, half_records(n, words, near)[1].view(np.int64))
 
+    def run(batches):
+        some = Some(min_words)
         for ids, texts in C.slices(batches):
-            judged(ids, texts, some, min_words)
+            some.add(ids, texts)
             if some.words >= FLUSH_WORDS:
-                yield flush()
+                yield flush(some)
         if some.words:
-            yield flush()
+            yield flush(some)
 
     return run
 
 
-def _join(parts: int):
+def _gone_among_variants(blobs):
+    docs, doc, (line, key, pos, second) = unpack(blobs)
+    late, early = join_variants(key, pos.astype(np.int64), doc, line)
+    sure = late[second[late] == second[early]]
+    return docs, doc[sure], line[sure]
+
+
+def _gone_among_short(blobs):
+    docs, doc, (line, key, second) = unpack(blobs)
+    order = np.lexsort((line, doc, second, key))
+    k, s = key[order], second[order]
+    lead = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+    first = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    late = order[(doc[order] != doc[first]) | (line[order] != line[first])]
+    return docs, doc[late], line[late]
+
+
+def _some_at_a_time(half: np.ndarray, size: np.ndarray):
+    """Slices of records in order of their half: about AT_A_TIME words each, a half's records together."""
+    upto = np.cumsum(size + 1)
+    new = np.flatnonzero(np.r_[True, half[1:] != half[:-1]][: len(half)])
+    block = upto[new] // AT_A_TIME
+    cut = new[np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(new)])]
+    yield from map(slice, cut.tolist(), [*cut[1:].tolist(), len(half)])
+
+
+def _gone_among_halves(blobs):
+    docs, doc, (line, half, n, words) = unpack(blobs)
+    n = n.astype(np.int64)
+    at = np.cumsum(n) - n
+    order = np.argsort(half, kind="stable")
+    same = half[order][1:] == half[order][:-1]
+    met = order[np.r_[False, same] | np.r_[same, False]]
+    gone = [np.zeros(0, np.int64)]
+    for part in _some_at_a_time(half[met], n[met]):
+        r = met[part]
+        record, key, pos = variants(half[r], at[r], n[r], words)
+        r = r[record]
+        late, early = join_variants(key, pos, doc[r], line[r])
+        # equal lines meet at every variant: one proof of each pair is enough
+        _, one = np.unique(r[late] * len(half) + r[early], return_index=True)
+        late, early = late[one], early[one]
+        x, y = r[late], r[early]
+        sure = (half[x] == half[y]) & equal_but_one(words, at[x], n[x], pos[late], at[y], n[y], pos[early])
+        gone.append(np.unique(x[sure]))
+    gone = np.concatenate(gone)
+    return docs, doc[gone], line[gone]
+
+
+def _told(blobs):
+    docs, doc, (line,) = unpack(blobs)
+    return docs, doc, line
+
+
+_GONE = {HALVES: _gone_among_halves, SHORT: _gone_among_short, VARIANTS: _gone_among_variants, TOLD: _told}
+
+
+def _join(part):
     schema = C.arrow(_VERDICT)
-
-    def run(part):
-        keys, poss, docs, lines = [], [], [], []
-        gone, counted = [], []
-        hs, ds, ls, ns, ws = [], [], [], [], []
-        for kind, blob in zip(part["kind"].to_pylist(), part["blob"].to_pylist(), strict=True):
-            if kind == TOLD:
-                gone.append(_read_places(blob))
-            elif kind == LINES:
-                counted.append(_read_places(blob))
-            elif kind == VARIANTS:
-                k, d, idx, x, p = C.decode(blob)
-                for col, v in zip((keys, docs, lines, poss), (np.cumsum(k, dtype=C.U64), np.cumsum(d).astype(np.int64)[idx.astype(np.int64)], x.astype(np.int64), p.astype(np.int64)), strict=True):
-                    col.append(v)
-            else:
-                h, d, idx, x, n, w = C.decode(blob)
-                for col, v in zip((hs, ds, ls, ns, ws), (np.cumsum(h, dtype=C.U64), np.cumsum(d).astype(np.int64)[idx.astype(np.int64)], x.astype(np.int64), n.astype(np.int64), w), strict=True):
-                    col.append(v)
-        if hs:
-            h, d, x, n, w = (np.concatenate(c) for c in (hs, ds, ls, ns, ws))
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            r = order[np.r_[False, same] | np.r_[same, False]]
-            record, key, pos = variants(h[r], np.r_[0, np.cumsum(n)][:-1][r], n[r], w)
-            for col, v in zip((keys, poss, docs, lines), (key, pos, d[r][record], x[r][record]), strict=True):
+    by_kind: dict[int, list] = {}
+    for kind, blob in zip(part["kind"].to_pylist(), C.blobs(part["blob"]), strict=True):
+        by_kind.setdefault(kind, []).append(blob)
+    out = [[], [], [], []]
+    for kind, blobs in by_kind.items():
+        if kind == LINES:
+            docs, doc, (n,) = unpack(blobs)
+            cols = docs.ids[doc], docs.crc[doc], n, np.full(len(doc), None)
+            for col, v in zip(out, cols, strict=True):
+                col += v.tolist()
+            continue
+        docs, doc, line = _GONE[kind](blobs)
+        for d, lines in C.by_owner(doc, line):
+            for col, v in zip(out, (int(docs.ids[d]), int(docs.crc[d]), None, C.encode(np.unique(lines))), strict=True):
                 col.append(v)
-        if keys:
-            gone.append(join_variants(*(np.concatenate(c) for c in (keys, poss, docs, lines))))
-        out = [[], [], []]
-        if gone:
-            d, x = (np.concatenate(c) for c in zip(*gone, strict=True))
-            for owner, lines_ in C.by_owner(d, x):
-                for col, v in zip(out, (int(owner), None, C.encode(np.unique(lines_))), strict=True):
-                    col.append(v)
-        for d, x in counted:
-            out[0] += d.tolist()
-            out[1] += x.tolist()
-            out[2] += [None] * len(d)
-        return pa.Table.from_batches([C.rows(schema, *out)])
-
-    return run
+    C.release()
+    return pa.Table.from_batches([C.rows(schema, *out)])
 
 
 def _sum_up(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("removed", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_crc32", pa.int64()), ("n_lines", pa.int64()), ("removed", pa.list_(pa.int32()))])
     for b in batches:
-        removed = [np.unique(np.concatenate([C.decode(x)[0] for x in blobs] or [np.zeros(0, C.U64)])).astype(np.int32) for blobs in b.column(2).to_pylist()]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(removed, pa.list_(pa.int32()))], schema=schema)
+        removed = [np.unique(np.concatenate([C.decode(x)[0] for x in blobs] or [np.zeros(0, C.U64)])).astype(np.int32) for blobs in b.column(3).to_pylist()]
+        yield pa.record_batch([*b.columns[:3], pa.array(removed, pa.list_(pa.int32()))], schema=schema)
 
 
 def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, scout: int = SCOUT, hot_lines: int = HOT_LINES) -> DataFrame:
-    """doc_id, n_lines, removed: the numbers (from 0) of the lines that go, in order."""
-    spark, texts, parts = docs.sparkSession, C.texts_of(docs), C.parts_for(docs)
+    """doc_id, text_crc32, n_lines, removed: the numbers (from 0) of the lines that go, in order. One row per document."""
+    spark, texts, parts = docs.sparkSession, C.texts_of(docs), C.parts_for(docs, PART_BYTES)
     seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(scout)) == 0).mapInArrow(_scout(min_words, near_words), "half long").groupBy("half").count()
     hot = seen.where(F.col("count") >= hot_lines).orderBy(F.desc("count"), "half").limit(MOST_HOT).toArrow()["half"].to_numpy().astype(np.int64)
     shared = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     routed = texts.mapInArrow(_scan(parts, min_words, near_words, shared), _ROUTED)
-    told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_join(parts), _VERDICT)
-    by_doc = told.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.collect_list("removed").alias("removed"))
-    return by_doc.mapInArrow(_sum_up, "doc_id long, n_lines long, removed array<int>")
+    told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_join, _VERDICT)
+    by_doc = told.groupBy("doc_id", "text_crc32").agg(F.max("n_lines").alias("n_lines"), F.collect_list("removed").alias("removed"))
+    return by_doc.mapInArrow(_sum_up, "doc_id long, text_crc32 long, n_lines long, removed array<int>")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs without the removed lines; all columns and rows stay, n_chars follows the text."""
-    verdicts = line_verdicts(docs, **options).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    gone = lambda i: F.array_contains(F.col("__removed"), i)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~gone(i)), "\n")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
-    joined = docs.join(verdicts, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs without the removed lines; all columns and rows stay, n_chars follows the text.
+
+    Verdicts meet rows on doc_id and the text's checksum. Every row stays, without words too.
+    """
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("long").alias("d"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("c"))
+    verdicts = line_verdicts(docs, **options).where(F.size("removed") > 0).select(F.struct(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c")).alias("k"), F.col("removed").alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    joined = rows.join(verdicts, F.when(F.col("key.d").isNotNull(), F.col("key")) == F.col("k"), "left")
+    kept = F.array_join(F.filter(F.split(F.col("row.text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    new = {**own, "text": kept.cast(docs.schema["text"].dataType)}
+    if "n_chars" in own:
+        new["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(F.when(F.col("lines").isNull(), own[c]).otherwise(new[c]).alias(c) if new[c] is not own[c] else own[c].alias(c) for c in docs.columns))

@@ -57,21 +57,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(C.read(spark, sf_dir, "documents"))
-
-
-def _removed_lines(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+    return ngram_join(C.read(spark, sf_dir, "documents"), count_links=True).drop("text_crc32", "component_crc32")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """removed_lines: the numbers of the removed lines, from 0, comma-joined."""
-    return _removed_lines(line_verdicts(C.read(spark, sf_dir, "documents")))
-
-
-def op9_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_line_dedup, with exact copies of lines of one word or more removed too."""
-    return _removed_lines(line_verdicts(C.read(spark, sf_dir, "documents"), min_words=1))
+    verdicts = line_verdicts(C.read(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
