@@ -135,22 +135,27 @@ def hits(text, items, span=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("chunk_words", [2_000_000, 30])
-def test_decontamination(spark, docs, chunk_words):
+@pytest.mark.parametrize("options", [{}, {"broadcast_words": 30}, {"broadcast_words": 0, "most_bits": 1 << 16}])
+def test_decontamination(spark, docs, options):
     r = random.Random(9)
-    items = [(1, " ".join(LONG)), (2, "Alpha BETA"), (30, "über"), (4, None), (5, "?!"), (6, " ".join(LONG[3:15])), (7, " ".join(LONG)), (8, "the the the the the the the the the the the"), (9, "a b c")]
+    items = [("1", " ".join(LONG)), ("mmlu,law/2", "Alpha BETA"), ("30", "über"), ("4", None), ("5", "?!"), ("6", " ".join(LONG[3:15])), ("7", " ".join(LONG)), ("8", "the the the the the the the the the the the"), ("9", "a b c"), ("", "kappa lambda mu"), ("9", "xi omicron")]
     rows = [(x[0], x[1]) for x in ROWS]
     for i in range(60):
         words = [r.choice(LONG) for _ in range(r.randint(0, 8))]
         a = r.randint(0, 8)
         rows.append((1000 + i, "; ".join([*words, *LONG[a : a + r.randint(7, 14)], *words]).upper() if i % 2 else " ".join([*words, *LONG, "the " * 14])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: tuple(x)[1:] for x in decontamination.decontaminate(df, bench, chunk_words=chunk_words).collect()}
-    assert got == {d: hits(t, items) for d, t in rows}
+    bench = spark.createDataFrame([*items, (None, "tau")], "item_id string, text string")
+    want = {d: hits(t, items) for d, t in rows}
+    got = {x.doc_id: tuple(x)[1:] for x in decontamination.decontaminate(df, bench, **options).collect()}
+    assert got == want
+    odd = df.selectExpr("*", "'x' `row`", "'x' `id`", "'x' bad").union(spark.createDataFrame([(None, "alpha beta", *"xxx"), (None, None, *"xxx")], "doc_id long, text string, row string, id string, bad string"))
+    kept = decontamination.without_contaminated(odd, bench, **options)
+    assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted([*(str(d) for d in want if not want[d][-1]), "None"])
     none = decontamination.decontaminate(df, bench.limit(0)).collect()
     assert len(none) == len(rows) and not any(x.contaminated for x in none)
-    assert decontamination.decontaminate(df.limit(0), bench).count() == 0
+    assert decontamination.decontaminate(df.limit(0), bench, **options).count() == 0
+    assert decontamination.decontaminate(df.union(df), bench, **options).count() == 2 * len(rows)
 
 
 def measured(text):
