@@ -5,16 +5,17 @@ A-Z folded), hashed to 2**18 numbers; the score is the logistic of a bias and th
 so a text's length, language, source or id never enters.
 
 Fitting uses at most `sample` labelled documents (those with the lowest hash of doc_id among
-the training folds; a documented bound) and one of each group of equal texts. Feature counts
-by label are summed on the executors; only features that speak for toxicity beyond chance
-(chi-square) are kept, MOST_FEATURES at most. Each sampled sentence that names a group
+the training folds; a documented bound); equal texts are one example, toxic if any of them is
+so labelled, so the model does not depend on the order of rows. Feature counts by label are
+summed on the executors; all features that speak for toxicity beyond chance (chi-square) take
+part, and the ridge shrinks them. Each sampled sentence that names a group
 is paired with a copy in which the identity terms are swapped for others of the same kind,
 and the loss adds LAMBDA times the squared change of the logit between the two: a word
 that changes the score only because it names a group loses its weight. The whole table is
 then scored in one scan with the weights broadcast (a fixed 2 MB).
 
 Defined cases: null and empty texts score by the bias; without labels of both kinds every
-score is 0; several labels of one document count as their maximum; null labels are ignored;
+score is 0; several labels of one document, or of equal texts, count as their maximum; null labels are ignored;
 rows without doc_id are left out; repeated rows are each returned.
 """
 
@@ -30,7 +31,6 @@ from .decontamination import SEPARATORS
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 SAMPLE = 20_000
-MOST_FEATURES = 8192
 CHI_SQUARE = 12.0
 LAMBDA = 0.5
 RIDGE = 5e-5
@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     """(weights of all features, bias), from documents outside the held-out fold."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("long").alias("toxic"))
     chosen = marks.where(C.fold_of(F.col("doc_id"), folds) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = C.stash(C.texts_of(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("doc_id", "text", "toxic"))  # at most `sample` small rows are broadcast
+    labelled = C.texts_of(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows are broadcast
+    rows = C.stash(labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic"))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, toxic = total["n"], total["toxic"]
     weights = np.zeros(BUCKETS)
@@ -162,11 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     expected = F.col("n") * rate
     chi = (F.col("n_toxic") - expected) ** 2 / (expected * (1 - rate))
     best = rows.mapInArrow(_counts, "feature long, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    best = best.where((F.col("n_toxic") > expected) & (chi >= CHI_SQUARE)).orderBy(chi.desc(), "feature").limit(MOST_FEATURES)
-    known = np.array(sorted(r["feature"] for r in best.collect()), np.int64)
+    best = best.where((F.col("n_toxic") > expected) & (chi >= CHI_SQUARE)).select("feature")
+    known = np.sort(best.toArrow()["feature"].to_numpy())  # BUCKETS at most
     if not len(known):
         return weights, float(np.log(rate / (1 - rate)))
-    picked = rows.mapInArrow(_examples(rows.sparkSession.sparkContext.broadcast(known)), "doc_id long, toxic long, own binary, swap binary").orderBy("doc_id").toArrow()
+    picked = rows.mapInArrow(_examples(rows.sparkSession.sparkContext.broadcast(known)), "doc_id long, toxic long, own binary, swap binary").orderBy("doc_id", "toxic", "own", "swap").toArrow()
     read = lambda x: np.searchsorted(known, C.decode(x)[0].astype(np.int64))
     own = [read(x) for x in picked["own"].to_pylist()]
     pairs = [(i, read(x)) for i, x in enumerate(picked["swap"].to_pylist()) if x is not None]
