@@ -4,13 +4,14 @@ A node of the tree holds the rows of some number of shards. It is split along it
 metadata dimension (extent relative to the whole table's) where the weight on the left
 meets the left half's share of shards, until every leaf is one shard. Dimensions are
 the text's size and the language (by default: columns that copies have in common); a
-dimension's key is its value followed by the text's checksum, so equal texts of equal
-metadata are one point and stay together.
+dimension's key is its value followed by the text's checksum. The value is that of one row
+of a text (the least), so equal texts are one point and stay together whatever their metadata.
 
 Medians are found by refining histograms: one aggregation counts the bytes of at most BINS
 ranges per node, the range that holds the median is cut again, until a boundary is within
 TOLERANCE of the share. The driver sees nodes x BINS sums and never a row. A point that is
-heavier than that (one text with a third of all bytes) is split by a hash of doc_id.
+so heavy that a cut beside it misses the share by POINT_TOLERANCE of a shard (one text with
+a third of all bytes) is split by a hash of doc_id.
 
 Slots are dealt by a count per (shard, bucket) and a row number inside small buckets, so no
 task numbers a whole shard.
@@ -32,6 +33,7 @@ from . import common as C
 
 BINS = 1024
 TOLERANCE = 0.002
+POINT_TOLERANCE = 0.01
 BUCKET_ROWS = 4096
 DIMENSIONS = ("size", "lang")
 
@@ -82,6 +84,10 @@ def metadata(docs: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFrame:
     code = lambda c: F.shiftrightunsigned(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("\0")).cast("binary")), 2)
     values = [code(c).alias(f"d{i}") for i, c in enumerate(dimensions) if c != "size"]
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"), *values)
+    if values:
+        base = C.stash(base)
+        own = base.columns[3:]
+        base = base.drop(*own).join(base.groupBy("bytes", "text_crc32").agg(*(F.min(c).alias(c) for c in own)), ["bytes", "text_crc32"])
     size = F.least(F.col("bytes"), F.lit((1 << 30) - 1))
     keys = [(F.shiftleft(size if c == "size" else F.col(f"d{i}"), 32) + F.col("text_crc32")).alias(f"d{i}") for i, c in enumerate(dimensions)]
     return base.select("doc_id", "bytes", "text_crc32", *keys, F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("tie"))
@@ -145,7 +151,8 @@ def _refine(meta: DataFrame, root: Node, searches: list[Search]) -> list[Search]
             below += r["bytes"]
         lo, hi = r[f"lo_{s.column}"], r[f"hi_{s.column}"]
         off, off_after = abs(below - s.share), abs(below + r["bytes"] - s.share)
-        if min(off, off_after) <= s.slack or r["rows"] == 1 or (lo == hi and s.point is not None):
+        near = s.slack * (POINT_TOLERANCE / TOLERANCE if TOLERANCE and lo == hi and s.point is None else 1)
+        if min(off, off_after) <= near or r["rows"] == 1 or (lo == hi and s.point is not None):
             value = hi + 1 if off_after < off else lo
             s.node.cut, s.node.tie_cut = (value, None) if s.point is None else (s.point, value)
         elif lo == hi:  # one point is heavier than the tolerance
@@ -174,7 +181,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple = DIMENSIONS)
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").count()
     offsets = counts.select("shard", "bucket", (F.sum("count").over(W.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("offset"))
-    numbered = placed.withColumn("n", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "size")))
+    numbered = placed.withColumn("n", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")))
     return numbered.join(offsets, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

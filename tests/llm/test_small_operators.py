@@ -222,3 +222,62 @@ def test_sharding_is_even_and_keeps_copies_together(spark):
     for x in got:
         places[x.text_crc32].add(x.shard)
     assert sum(len(v) == 1 for k, v in places.items() if k != zlib.crc32(b"hot copy " * 20)) >= 0.97 * (len(places) - 1)
+
+
+def test_equal_texts_of_several_languages_stay_together(spark):
+    rows = [(2 * i + k, f"text {i} " * (i % 30 + 1), lang, "s") for i in range(2000) for k, lang in enumerate(["en", "de"])]
+    got = sharding.kd_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), 24).collect()
+    assert sum(len({r.shard for r in got if r.text_crc32 == c}) > 1 for c in {r.text_crc32 for r in got}) == 0
+    rows = [(7, f"text {i % 3}", "en", "s") for i in range(30)]  # one id and size, different texts
+    runs = [sorted((r.text_crc32, r.shard, r.slot) for r in sharding.kd_shards(spark.createDataFrame(rows[k:] + rows[:k], SCHEMA).repartition(k + 1), 2).collect()) for k in (0, 5)]
+    assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("bins", [4, 1024])
+def test_sharding_equals_a_plain_kd_tree(spark, monkeypatch, bins):
+    """Without tolerance every cut is at the weighted median's row, which plain Python finds by sorting."""
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "BINS", bins)
+    r = random.Random(8)
+    rows = [(i, f"{i % 400}" + "x" * (i % 400 * 7919 % 500), ["en", "de", "fr", None][i % 4], "s") for i in range(600)]
+    got = {x.doc_id: x.shard for x in sharding.kd_shards(spark.createDataFrame(r.sample(rows, len(rows)), SCHEMA), 7).collect()}
+    meta = [x.asDict() for x in sharding.metadata(spark.createDataFrame(rows, SCHEMA)).collect()]
+    dims = ["d0", "d1"]
+    spread = lambda some, d: max(x[d] for x in some) - min(x[d] for x in some) + 1
+    extent, want = {d: spread(meta, d) for d in dims}, {}
+
+    def split(some, first, shards):
+        if shards == 1 or not some:
+            want.update((x["doc_id"], first) for x in some)
+            return
+        dim = max(dims, key=lambda d: (spread(some, d) / extent[d], -dims.index(d)))
+        left = (shards + 1) // 2
+        share, below, cut = sum(x["bytes"] for x in some) * left / shards, 0, 0
+        some = sorted(some, key=lambda x: (x[dim], x["tie"]))
+        while below + some[cut]["bytes"] < share:
+            below += some[cut]["bytes"]
+            cut += 1
+        cut += abs(below + some[cut]["bytes"] - share) < abs(below - share)
+        split(some[:cut], first, left)
+        split(some[cut:], first + left, shards - left)
+
+    split(meta, 0, 7)
+    assert got == want
+
+
+def test_hash_of_ids_is_sparks(spark):
+    from tessera.llm import common as C
+
+    ids = [0, 1, -1, 5, 2**62, -(2**63), 123456789012345678]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in ids], "x long").selectExpr("xxhash64(x)").collect()]
+    assert C.xxhash64(np.array(ids)).tolist() == want
+    for parts in (5, 8):  # ids with a stride use all parts
+        assert np.bincount(C.part_of_id(np.arange(0, 40_000, 40), parts), minlength=parts).min() > 90
+
+
+def test_parts_of_tables_without_statistics(spark):
+    from tessera.llm import common as C
+
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "doc_id long, text string")
+    rdd = spark.createDataFrame(df.rdd, df.schema)
+    assert C.parts_for(rdd, bytes_each=1000) == 100
