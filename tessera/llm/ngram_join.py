@@ -2,9 +2,10 @@
 
 A document's set is its distinct 5-word shingles (its whole word sequence, if shorter). Two
 documents link when their sets' Jaccard similarity is 0.8 or more; the result is each
-document's component of links. No link between different sets is lost:
+document's component of links and, if asked for, its number of links. No link between
+different sets is lost:
 
-1. Classes. Documents with equal sets are one class; its smallest doc_id stands for it.
+1. Classes. Documents with equal sets are one class, named by a hash of the set.
 2. Filter. By a fixed random order of shingles, two linked sets of n and m shingles have at
    least k in common among their first n - ceil(0.8 n) + k, for each k up to the overlap. With
    k about a fifth of the set, each class sends that prefix (packed hashes); a document with
@@ -17,18 +18,25 @@ document's component of links. No link between different sets is lost:
    and blocks are the components. Common passages come last and join nobody.
 4. Signature trees. A block's sets become a tree: leaves hold bitmaps of tokens, inner nodes
    the OR of their children, with the range of set sizes. A dual traversal skips a pair of
-   nodes when their sizes are too far apart, when the largest possible overlap (common bits,
-   plus the tokens that share bits) is too small, or when both are already one component.
-   What is left is compared exactly. Blocks over BLOCK_BYTES are cut into sub-blocks by a hash
+   nodes when their sizes are too far apart, or when the largest possible overlap (common
+   bits, plus the tokens that share bits) is too small; where only components are asked for,
+   also when both are already one component. What is left is compared exactly, a pair of
+   leaves at a time. Blocks over BLOCK_BYTES or BLOCK_SETS are cut into sub-blocks by a hash
    and each pair of sub-blocks is a task of its own; their components are joined after.
 
+Components cost next to nothing in a group that links throughout. Counting links compares every
+pair of different sets that may link, spread over tasks by pairs of sub-blocks; no pair ever
+leaves a task, and copies count by their class's size.
+
 Defined cases: null and wordless texts have no set and link with nothing (n_shingles 0, a
-component of their own); rows without doc_id are left out; of rows that repeat a doc_id the
-one with the largest set counts, one row is returned.
+component of their own); rows without doc_id are left out; a document is a doc_id and a text:
+equal rows are one, rows that share a doc_id and differ in text are documents of their own.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,12 +49,15 @@ from .components import components
 GRAM = 5
 PERCENT = 80
 FLUSH = 1_200_000
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
+BLOCK_SETS = 512
 MOST_BITS = 1 << 13
-LEAF, FAN = 16, 8
+LEAF, FAN = 32, 8
+COLUMNS = 1 << 15
 BASE, LOCAL, PACKED = range(3)
 _ROUTED = "part int, kind int, blob binary"
-_TOLD = "doc_id long, n long, fp1 long, fp2 long, shared long"
+_TOLD = "doc_id long, crc long, n long, fp1 long, fp2 long, shared long"
+_SETS = "node long, n long, fp2 long, hashes binary"
 
 
 def least_overlap(n, percent: int):
@@ -91,16 +102,17 @@ class Sets:
     """Sets of a scan slice, distinct ones only, with every document's size and prints."""
 
     def __init__(self, gram: int):
-        self.gram, self.ids, self.h, self.n, self.size = gram, [], [], [], 0
+        self.gram, self.ids, self.crc, self.h, self.n, self.size = gram, [], [], [], [], 0
 
     def add(self, ids, texts):
         h, owner = shingle_sets(texts, self.gram)
-        for x, y in zip((self.ids, self.h, self.n), (ids, h, np.bincount(owner, minlength=len(ids))), strict=True):
+        crc = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
+        for x, y in zip((self.ids, self.crc, self.h, self.n), (ids, crc, h, np.bincount(owner, minlength=len(ids))), strict=True):
             x.append(y)
         self.size += len(h)
 
     def take(self):
-        out = tuple(np.concatenate(x) for x in (self.ids, self.h, self.n))
+        out = tuple(np.concatenate(x) for x in (self.ids, self.crc, self.h, self.n))
         self.__init__(self.gram)
         return out
 
@@ -145,7 +157,7 @@ def _scan(parts: int, gram: int, percent: int):
     schema = C.arrow(_ROUTED)
 
     def flush(sets: Sets):
-        ids, h, n = sets.take()
+        ids, crc, h, n = sets.take()
         fp1, fp2 = _prints(h, np.r_[0, np.cumsum(n)])
         out = [[], [], []]
 
@@ -153,7 +165,7 @@ def _scan(parts: int, gram: int, percent: int):
             for col, v in zip(out, (part, kind, blob), strict=True):
                 col.append(v)
 
-        for p, *cols in C.by_owner(np.mod(ids, parts), ids, n, fp1, fp2):
+        for p, *cols in C.by_owner(C.part_of_id(ids, parts), ids, crc, n, fp1, fp2):
             put(int(p), BASE, C.encode(*(c.astype(np.int64).view(C.U64) for c in cols)))
         # of equal sets the smallest doc_id speaks
         order = np.lexsort((ids, fp2, fp1, n))
@@ -166,7 +178,7 @@ def _scan(parts: int, gram: int, percent: int):
         order, lead, twice = _by_hash(h, doc)
         h, doc = h[order], doc[order]
         told, count = np.unique(doc[twice], return_counts=True)
-        for p, d, c in C.by_owner(np.mod(told, parts), told, count):
+        for p, d, c in C.by_owner(C.part_of_id(told, parts), told, count):
             put(int(p), LOCAL, C.encode(C.deltas(d), c))
         for p, blob in _pack_by_part(h[lead], doc[lead], twice[lead], parts):
             put(p, PACKED, blob)
@@ -198,8 +210,8 @@ def _count(part):
             docs.append(np.cumsum(d).astype(np.int64))
             counts.append(c.astype(np.int64))
         else:
-            d, n, a, b = (x.view(np.int64) for x in C.decode(blob))
-            out.append(C.rows(schema, d, n, a, b, np.zeros(len(d), np.int64)))
+            d, *cols = (x.view(np.int64) for x in C.decode(blob))
+            out.append(C.rows(schema, d, *cols, [None] * len(d)))
     if packed:
         h, doc, dup = _unpack(packed)
         order, _, twice = _by_hash(h, doc)
@@ -209,19 +221,20 @@ def _count(part):
     if docs:
         d, at = np.unique(np.concatenate(docs), return_inverse=True)
         none = [None] * len(d)
-        out.append(C.rows(schema, d, none, none, none, np.bincount(at, np.concatenate(counts)).astype(np.int64)))
+        out.append(C.rows(schema, d, none, none, none, none, np.bincount(at, np.concatenate(counts)).astype(np.int64)))
     return pa.Table.from_batches(out, schema=schema)
 
 
 def _sets_of(gram: int):
-    schema = C.arrow("doc_id long, n long, fp1 long, fp2 long, hashes binary")
+    schema = C.arrow(_SETS)
 
     def run(batches):
         for ids, texts in C.slices(batches):
             h, owner = shingle_sets(texts, gram)
             n = np.bincount(owner, minlength=len(ids))
             first = np.r_[0, np.cumsum(n)]
-            yield C.rows(schema, ids, n, *_prints(h, first), [C.encode(C.deltas(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
+            fp1, fp2 = _prints(h, first)
+            yield C.rows(schema, fp1, n, fp2, [C.encode(C.deltas(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
 
     return run
 
@@ -317,7 +330,7 @@ def _prefixes(parts: int, percent: int):
         star = np.unique(np.stack([lead_doc[~lead], doc[~lead]], 1), axis=0)
         packed = list(_pack_by_part(h[lead], doc[lead], np.zeros(lead.sum(), np.int64), parts))
         none = [None] * len(packed)
-        stars = C.rows(schema, np.mod(star[:, 0], parts), star[:, 0], star[:, 1], [None] * len(star))
+        stars = C.rows(schema, C.part_of_id(star[:, 0], parts), star[:, 0], star[:, 1], [None] * len(star))
         return pa.Table.from_batches([stars, C.rows(schema, [p for p, _ in packed], none, none, [b for _, b in packed])])
 
     return run
@@ -325,10 +338,9 @@ def _prefixes(parts: int, percent: int):
 
 def _stars(part):
     schema = C.arrow("a long, b long")
-    a, b = (part[c].to_numpy(zero_copy_only=False) for c in "ab")
-    blobs = [x for x in part["blob"].to_pylist() if x is not None]
-    told = np.array([x is None for x in part["blob"].to_pylist()], bool)
-    pairs = [np.stack([a[told], b[told]], 1).astype(np.int64)]
+    a, b = (part[c].drop_null().to_numpy() for c in "ab")  # with nulls they would become floats
+    blobs = part["blob"].drop_null().to_pylist()
+    pairs = [np.stack([a, b], 1)]
     if blobs:
         h, doc, _ = _unpack(blobs)
         order, lead, _ = _by_hash(h, doc)
@@ -342,13 +354,14 @@ def _stars(part):
 class SignatureTree:
     """Sets in leaves of LEAF, inner nodes of FAN children; all levels are arrays."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, copies: np.ndarray | None = None):
         self.percent = percent
         n = np.array([len(x) for x in sets])
         # similar sizes, then a low hash in common, make neighbours
         band = np.floor(np.log(n) / np.log(100 / percent)).astype(int)
         order = np.lexsort((n, np.array([x[0] for x in sets]), band))
         self.order, self.sets, self.n = order, [sets[i] for i in order], n[order]
+        self.weight = np.ones(len(sets), np.int64) if copies is None else copies[order]
         bits = 1 << int(min(MOST_BITS, max(256, 4 * n.max()))).bit_length() - 1
         maps = np.zeros((len(sets), bits // 64), C.U64)
         for row, x in zip(maps, self.sets, strict=True):
@@ -363,7 +376,6 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(maps, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(excess, cut)))
             size = FAN
         self.parent = np.arange(len(sets))
-        self.one = [np.arange(len(x[0])) for x in self.levels]
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -387,18 +399,6 @@ class SignatureTree:
         need = -(-self.percent * (low[a_] + low[b_]) // (100 + self.percent))
         return near & (overlap >= np.maximum(need, least * self.percent // 100))
 
-    def _link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a == b:
-            return
-        x, y = self.sets[i], self.sets[j]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        common = int((y[at] == x).sum())
-        if 100 * common >= self.percent * (len(x) + len(y) - common):
-            self.parent[max(a, b)] = min(a, b)
-
     def _whole(self, level: int, i: int) -> int:
         """The root of all sets below a node, or -1."""
         size = 1 if level == 0 else LEAF * FAN ** (level - 1)
@@ -406,109 +406,160 @@ class SignatureTree:
         first = self.root(a)
         return first if all(self.root(k) == first for k in range(a + 1, b)) else -1
 
-    def join(self, sides: np.ndarray | None = None) -> np.ndarray:
-        """The root of each set, in the order given. sides: pairs on one side (both 0, or both 1) are left to other tasks."""
+    def _overlaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles in common of each of a with each of b, some columns of the shared ones at a time."""
+        flat, owner = [], []
+        for x in (a, b):
+            flat.append(np.concatenate([self.sets[i] for i in x]))
+            owner.append(np.repeat(np.arange(len(x)), self.n[x]))
+        both = np.intersect1d(*flat)
+        out = np.zeros((len(a), len(b)), np.float32)
+        at = [np.minimum(np.searchsorted(both, f), max(0, len(both) - 1)) for f in flat]
+        held = [both[k] == f if len(both) else np.zeros(len(f), bool) for k, f in zip(at, flat, strict=True)]
+        for c in range(0, len(both), COLUMNS):
+            dense = []
+            for x, k, o, h in zip((a, b), at, owner, held, strict=True):
+                own = h & (k >= c) & (k < c + COLUMNS)
+                m = np.zeros((len(x), min(COLUMNS, len(both) - c)), np.float32)
+                m[o[own], k[own] - c] = 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+        return out.astype(np.int64)
+
+    def _roots(self, x: np.ndarray) -> np.ndarray:
+        return np.array([self.root(i) for i in x.tolist()])
+
+    def _leaves(self, a: np.ndarray, b: np.ndarray, may: np.ndarray, links: np.ndarray | None) -> None:
+        """Compare the pairs of two leaves exactly."""
+        if links is None:
+            may = may & (self._roots(a)[:, None] != self._roots(b)[None, :])
+        rows, columns = may.any(1), may.any(0)
+        if not rows.any():
+            return
+        a, b, may = a[rows], b[columns], may[rows][:, columns]
+        common = self._overlaps(a, b)
+        linked = may & (100 * common >= self.percent * (self.n[a][:, None] + self.n[b][None, :] - common))
+        if links is not None:
+            np.add.at(links, a, linked @ self.weight[b])
+            np.add.at(links, b, self.weight[a] @ linked)
+        for i, near in zip(a.tolist(), linked, strict=True):
+            if near.any():
+                roots = {self.root(i), *self._roots(b[near]).tolist()}
+                low = min(roots)
+                for r in roots:
+                    self.parent[r] = low
+
+    def join(self, sides: np.ndarray | None = None, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(the root of each set, its links) in the order given; links are 0 unless counted. sides: pairs on one side (both 0, or both 1) are left to other tasks."""
+        links = np.zeros(len(self.sets), np.int64)
         if not self.sets:
-            return np.zeros(0, int)
+            return np.zeros(0, int), links
         own = None if sides is None else sides[self.order]
-        todo = [(len(self.levels) - 1, 0, 0)]
+        todo = [(len(self.levels) - 1, 0, 0)] if len(self.sets) > 1 else []
         while todo:
             level, i, j = todo.pop()
-            if level == 0:
-                if i != j and (own is None or own[i] != own[j]):
-                    self._link(i, j)
-                continue
-            if i != j or level == 1:
+            if not count and (i != j or level == 1):
                 one = self._whole(level, i)
                 if one >= 0 and (i == j or one == self._whole(level, j)):
                     continue
             a, b = self._children(level, i), self._children(level, j)
             may = self._may_link(level - 1, a, b)
+            if level == 1:
+                if own is not None:
+                    may &= own[a][:, None] != own[b][None, :]
+                self._leaves(a, b, np.triu(may, 1) if i == j else may, links if count else None)
+                continue
             if i == j:
                 may &= a[:, None] <= b[None, :]
             x, y = np.nonzero(may)
-            if level == 1:
-                for p, q in zip(a[x].tolist(), b[y].tolist(), strict=True):
-                    if p != q and (own is None or own[p] != own[q]):
-                        self._link(p, q)
-            else:
-                # a node with itself comes off the stack first: neighbours unite early
-                pairs = sorted(zip(a[x].tolist(), b[y].tolist(), strict=True), key=lambda t: t[0] == t[1])
-                todo += [(level - 1, p, q) for p, q in pairs]
-        out = np.empty(len(self.sets), int)
-        out[self.order] = self.order[[self.root(k) for k in range(len(self.sets))]]
-        return out
+            # a node with itself comes off the stack first: neighbours unite early
+            pairs = sorted(zip(a[x].tolist(), b[y].tolist(), strict=True), key=lambda t: t[0] == t[1])
+            todo += [(level - 1, p, q) for p, q in pairs]
+        root, told = np.empty(len(self.sets), int), np.empty(len(self.sets), np.int64)
+        root[self.order], told[self.order] = self.order[self._roots(np.arange(len(self.sets)))], links
+        return root, told
 
 
-def _join_block(percent: int):
-    schema = C.arrow("doc_id long, to long")
+def _join_block(percent: int, count: bool):
+    schema = C.arrow("node long, to long, links long")
 
     def run(block):
-        ids, side = block["doc_id"].to_numpy(), block["side"].to_numpy()
+        nodes, side = block["node"].to_numpy(), block["side"].to_numpy()
         sets = [_read_set(x) for x in block["hashes"].to_pylist()]
-        # sides 0 and 1 are two sub-blocks; a task on one sub-block has only side 0, and joins it with itself
-        root = SignatureTree(sets, percent).join(side if (side == 1).any() else None)
-        group = {}
-        for r, d in zip(root.tolist(), ids.tolist(), strict=True):
-            group[r] = min(d, group.get(r, d))
-        to = [group[r] for r in root.tolist()]
-        keep = [k for k, d in enumerate(ids.tolist()) if to[k] != d]
-        return pa.Table.from_batches([C.rows(schema, ids[keep], [to[k] for k in keep])])
+        # a task on one sub-block joins it with itself, one on two joins side 0 with side 1
+        two = block["i"][0].as_py() != block["j"][0].as_py()
+        root, links = SignatureTree(sets, percent, block["copies"].to_numpy()).join(side if two else None, count)
+        keep = (root != np.arange(len(root))) | (links > 0)
+        return pa.Table.from_batches([C.rows(schema, nodes[keep], nodes[root[keep]], links[keep])])
 
     return run
 
 
 def _blocks(sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """doc_id, block: sets that may link are in one block."""
-    routed = sets.select("doc_id", "hashes").mapInArrow(_slices_of_sets(parts), "part int, slice long, kind int, blob binary")
+    """node, block: sets that may link are in one block."""
+    routed = sets.select("node", "hashes").mapInArrow(_slices_of_sets(parts), "part int, slice long, kind int, blob binary")
     counted = routed.repartition(parts, "part").groupBy("part").applyInArrow(_count_shingles, "slice long, kind int, blob binary")
     rows = counted.groupBy("slice").applyInArrow(_prefixes(parts, percent), "part int, a long, b long, blob binary")
     stars = rows.repartition(parts, "part").groupBy("part").applyInArrow(_stars, "a long, b long")
-    return components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    return components(stars).withColumnRenamed("component", "block")
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, component of the sets (doc_id, n, hashes) that link with another."""
-    parts = C.parts_for(sets)
-    placed = C.stash(sets.join(_blocks(sets, percent, parts), "doc_id"))
-    sizes = placed.groupBy("block").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("subs"))
-    placed = placed.join(sizes, "block").withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
+def linked_classes(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, count: bool = False) -> DataFrame:
+    """node, component, links of the sets (node, n, copies, hashes) that link with another."""
+    placed = C.stash(sets.join(_blocks(sets, percent, C.parts_for(sets)), "node"))
+    subs = F.ceil(F.greatest(F.sum("n") * 8 / block_bytes, F.count("*") / block_sets)).cast("int")
+    large = placed.groupBy("block").agg(subs.alias("subs")).where("subs > 1")
+    placed = placed.join(large, "block", "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
     # a sub-block meets each other one once, in the task of the pair
     other = F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("other")
-    tasks = placed.select("block", "doc_id", "hashes", "sub", other).select(
-        "block", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), (F.col("sub") > F.col("other")).cast("int").alias("side"), "doc_id", "hashes"
+    tasks = placed.select("block", "node", "copies", "hashes", "sub", other).select(
+        "block", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), (F.col("sub") > F.col("other")).cast("int").alias("side"), "node", "copies", "hashes"
     )
-    edges = tasks.groupBy("block", "i", "j").applyInArrow(_join_block(percent), "doc_id long, to long")
-    return components(edges.select(F.col("doc_id").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("doc_id"), "component")
+    by = ["block", "i", "j"]  # dealt by all three: a plan that is dealt by block alone would keep a block's tasks together
+    told = C.stash(tasks.repartition(*by).groupBy(*by).applyInArrow(_join_block(percent, count), "node long, to long, links long"))
+    found = components(told.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    links = told.groupBy("node").agg(F.sum("links").alias("links"))
+    return found.join(links, "node", "left").select("node", "component", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, count_links: bool = False) -> DataFrame:
+    """doc_id, text_crc32, n_shingles, component_id, component_crc32 (the checksum of the document that the component is named by) and, if counted, n_links."""
     texts, parts = C.texts_of(docs), C.parts_for(docs)
     routed = texts.mapInArrow(_scan(parts, gram, percent), _ROUTED)
-    told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_count, _TOLD)
-    base = F.max_by(F.struct("n", "fp1", "fp2"), F.struct("n", "fp1", "fp2")).alias("set")
-    every = C.stash(told.groupBy("doc_id").agg(base, F.sum("shared").alias("shared")).select("doc_id", "set.*", "shared"))
+    told = C.stash(routed.repartition(parts, "part").groupBy("part").applyInArrow(_count, _TOLD))
+    shared = told.where("shared is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    every = told.where("shared is null").select("doc_id", "crc", "n", "fp1", "fp2").distinct()
+    keys = ["n", "fp1", "fp2"]
     filled = every.where("n > 0")
-    classes = filled.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    classes = C.stash(filled.groupBy(*keys).agg(F.min(F.struct("doc_id", "crc")).alias("first"), F.count("*").alias("copies")))
     k = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 100)
-    alive = filled.where(F.col("shared") >= k)
-    alive = alive.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "fp1", "fp2")
-    sets = C.stash(texts.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets_of(gram), "doc_id long, n long, fp1 long, fp2 long, hashes binary").join(alive, ["doc_id", "n", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "hashes"))
-    linked = linked_classes(sets, percent, block_bytes).select(F.col("doc_id").alias("rep"), "component")
+    # a class's first document speaks for it in some slice; ids that several texts share pass the more easily
+    alive = classes.select(*keys, "copies", F.col("first.doc_id").alias("doc_id")).join(shared, "doc_id").where(F.col("shared") >= k).drop("shared")
+    hashed = texts.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets_of(gram), _SETS)
+    alive = alive.select(F.col("fp1").alias("node"), "n", "fp2", "copies")
+    sets = C.stash(hashed.join(alive, ["node", "n", "fp2"]).dropDuplicates(["node"]).select("node", "n", "copies", "hashes"))
+    linked = C.stash(linked_classes(sets, percent, block_bytes, block_sets, count_links))
+    named = classes.join(linked, F.col("fp1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp1"))
+    least = named.groupBy("component").agg(F.min("first").alias("name"))
     # written first: a plain table's join is one that Spark splits where a class has very many copies
-    labels = C.stash(classes.join(linked, "rep", "left").select("n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")))
-    keys = ["n", "fp1", "fp2"]
+    labels = C.stash(named.join(least, "component").select(*keys, "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     out = every.join(labels, keys, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    name = F.coalesce("name", F.struct("doc_id", "crc"))
+    columns = ["doc_id", F.col("crc").alias("text_crc32"), F.col("n").alias("n_shingles"), name["doc_id"].alias("component_id"), name["crc"].alias("component_crc32")]
+    return out.select(*columns, *([F.coalesce("links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that link, directly or not, with one of a smaller doc_id; all columns; rows without doc_id stay."""
+    """docs without those that link, directly or not, with an earlier one; all columns.
+
+    Of equal rows (same doc_id, same text) one stays; rows without doc_id all stay.
+    """
     groups = C.stash(ngram_join(docs, **options))
-    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(later, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    if docs.where("doc_id is not null").count() == groups.count():
-        return kept
-    known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])  # rows that repeat a doc_id are one document
-    return known.unionByName(kept.where("doc_id is null"))
+    later = groups.where("doc_id <> component_id or text_crc32 <> component_crc32").select(F.struct("doc_id", "text_crc32").alias("gone"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    identity = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(F.struct("*").alias("row"), F.when(F.col("doc_id").cast("long").isNotNull(), identity).alias("key"))
+    kept = rows.join(later, F.col("key") == F.col("gone"), "left_anti")
+    if docs.where("doc_id is not null").count() != groups.count():
+        kept = kept.where("key is not null").dropDuplicates(["key"]).unionByName(kept.where("key is null"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -54,8 +54,9 @@ s as (select distinct doc_id, array_to_string(case when len(w) < 5 then w else w
 n as (select doc_id, count(*) n from s group by doc_id),
 c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by all),
 e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
-r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on e.a = r.b)
-select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, min(r.b)) component_id from d left join n using (doc_id) join r on r.a = d.doc_id group by d.doc_id, n.n"""
+r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on e.a = r.b),
+l as (select a, count(*) n_links from e group by a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, min(r.b)) component_id, coalesce(l.n_links, 0) n_links from d left join n using (doc_id) left join l on l.a = d.doc_id join r on r.a = d.doc_id group by d.doc_id, n.n, l.n_links"""
 
 OP9 = f"""
 with l as (select doc_id, unnest(range(len(x))) line, unnest(x) t from (select doc_id, string_split(text, chr(10)) x from documents where doc_id is not null)),
