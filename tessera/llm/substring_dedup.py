@@ -7,7 +7,7 @@ earlier start) is removed; windows are judged on the input.
 1. Confirm recurring passages. Each scan task hashes its windows, settles equal ones
    among its own and sends one record per distinct window to the window's part. A part
    finds the globally first start of each window that occurs twice or more.
-2. Compile. Documents are dealt to shards by doc_id. A shard gets, per recurring window,
+2. Compile. Documents are dealt to shards by a hash of doc_id. A shard gets, per recurring window,
    a representative inside the shard and, if it lies there, the globally first start.
    Runs of consecutive windows in a representative are passages; their blocks of six
    words, fifteen apart, so that each window contains one, go into one automaton a shard.
@@ -44,10 +44,6 @@ _TOLD = "shard int, first boolean, blob binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def _shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    return np.mod(ids, shards)
-
-
 def _starts_blob(ids: np.ndarray, starts: np.ndarray) -> bytes:
     order = np.lexsort((starts, ids))
     return C.encode(C.deltas(ids[order]), starts[order])
@@ -75,7 +71,7 @@ def _scan(window: int, parts: int, shards: int):
         out = [[], [], []]
         rest = at[~lead]
         if len(rest):  # settled here: an earlier start is in this slice
-            shard = _shard_of(doc[rest], shards)
+            shard = C.part_of_id(doc[rest], shards)
             o = np.lexsort((shard, h[rest]))
             rest, shard = rest[o], shard[o]
             one = np.r_[True, (h[rest][1:] != h[rest][:-1]) | (shard[1:] != shard[:-1])]
@@ -144,7 +140,7 @@ def _confirm(shards: int):
             lead = np.r_[True, h[1:] != h[:-1]][: len(h)]
             for first, sel in ((True, lead), (False, ~lead)):
                 d, x = doc[sel], start[sel]
-                for s, dd, xx in C.by_owner(_shard_of(d, shards), d, x):
+                for s, dd, xx in C.by_owner(C.part_of_id(d, shards), d, x):
                     for col, y in zip(out, (int(s), first, _starts_blob(dd, xx)), strict=True):
                         col.append(y)
         import pyarrow as pa
@@ -249,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_confirm(shards), _TOLD)
     none = F.lit(None)
     rows = told.select("shard", F.when(F.col("first"), 1).otherwise(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "blob").unionByName(
-        texts.select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "doc_id", "text", none.cast("binary").alias("blob"))
+        texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "doc_id", "text", none.cast("binary").alias("blob"))
     )
     out = rows.repartition(shards, "shard").groupBy("shard").applyInArrow(_resolve(window, with_text), _OUT)
     return out if with_text else out.drop("kept_text")

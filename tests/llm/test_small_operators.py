@@ -167,33 +167,65 @@ def measured(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again)
 
 
+def brute_hosts(rows):
+    """The documented rule in plain Python: (base_failed by document, shrunk rate and verdict by host)."""
+    failed = {d: n < 50 or 100 * again > 50 * n for d, t, *_ in rows for n, *_, again in [measured(t)]}
+    total, fails = Counter(x[3] for x in rows), Counter(x[3] for x in rows if failed[x[0]])
+    rates = [fails[h] / n for h, n in total.items()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / (len(rates) - 1) if len(rates) > 1 else 0
+    w, between = m * (1 - m), v - m * (1 - m) * sum(1 / n for n in total.values()) / len(rates)
+    k = min(max(w / between - 1, 2), 1e6) if between > 1e-12 and w > 0 else 1e6
+    limit = min(max(m + 2 * (w / (k + 1)) ** 0.5, 0.5), 0.9)
+    rate = {h: (fails[h] + m * k) / (n + k) for h, n in total.items()}
+    return failed, rate, {h: r >= limit for h, r in rate.items()}
+
+
 def test_host_rules(spark, docs):
     got = host_rules.host_rules(docs).collect()
     assert len(got) == len(ROWS)
-    fails, total = Counter(), Counter()
-    for d, t, _, host in ROWS:
-        n, *_, again = measured(t)
-        total[host] += 1
-        fails[host] += n < 50 or 100 * again > 50 * n
+    failed, rate, bad = brute_hosts(ROWS)
     by = {r.doc_id: r for r in got}
     for d, t, _, host in ROWS:
         r, m = by[d], measured(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
-        assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
-        assert r.kept <= (not r.base_failed) and 0 < r.host_rate < 1
-        lo, hi = sorted([fails[host] / total[host], sum(fails.values()) / len(ROWS)])
-        assert lo - 0.1 <= r.host_rate <= hi + 0.1
+        assert r.base_failed == failed[d] and r.kept == (not failed[d] and not bad[host]) and r.host_rate == pytest.approx(rate[host])
     assert host_rules.host_rules(docs.limit(0)).count() == 0
 
 
-def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark):
+def hosts(**fails):
+    """100 documents of each host, of which so many fail."""
     good = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, "bad", "en", "spam") for i in range(200)] + [(200, good, "en", "spam")]
-    rows += [(1000 + i, good if i % 10 else "short", "en", f"host{i % 7}") for i in range(700)] + [(5000, "short", "en", "tiny")]
-    got = {r.doc_id: r for r in host_rules.host_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got[200].base_failed and not got[200].kept
-    assert all(got[d].kept for d, t, *_ in rows if t == good and d >= 1000)
-    assert got[5000].host_rate < 0.9
+    return [(1000 * k + i, "short" if i < n else good, "en", None if h == "none" else h) for k, (h, n) in enumerate(fails.items()) for i in range(100)]
+
+
+@pytest.mark.parametrize(
+    ("rows", "rejected"),
+    [
+        (hosts(a=10, b=12, c=9, d=11, e=10, f=8, spam=70, g=10, h=11), {"spam"}),
+        (hosts(a=10, b=12, c=9, d=11, e=10, f=8, spam=99, farm=98, none=97, g=10, h=11), {"spam", "farm", None}),
+        (hosts(a=10, b=12, c=11, d=18), set()),
+        (hosts(a=10, b=12, c=11, d=30, e=10, f=11, g=9), set()),
+        (hosts(a=99), {"a"}),
+        (hosts(a=0, b=0), set()),
+        ([*hosts(a=10, b=12, c=9, d=11, e=10, f=8), (10**6, "short", "en", "tiny"), *((2 * 10**6 + i, "bad", "en", "spam") for i in range(50)), (3 * 10**6, " ".join(f"w{i}" for i in range(60)), "en", "spam")], {"spam"}),
+    ],
+)
+def test_host_verdicts_equal_the_formula(spark, tmp_path, rows, rejected):
+    import duckdb
+
+    from tessera.llm import queries
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_host_rules(spark, str(tmp_path)).collect()}
+    failed, rate, bad = brute_hosts(rows)
+    assert {h for h, x in bad.items() if x} == rejected
+    assert all(got[d].base_failed == failed[d] and got[d].kept == (not failed[d] and not bad[h]) for d, _, _, h in rows)
+    assert sum(not r.kept and not r.base_failed for r in got.values()) == sum(not failed[d] and h in rejected for d, _, _, h in rows)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(f"select doc_id, base_failed, kept from ({queries.oracle_sql()['op6_host_rules']})").fetchall()
+    assert {d: (a, b) for d, a, b in sql} == {d: (r.base_failed, r.kept) for d, r in got.items()}
 
 
 def test_sharding(spark, docs):
