@@ -89,3 +89,8 @@ def file_fields(name: Column | str) -> Column:
 
 
 __all__ = ["event_text", "file_fields", "in_bounds", "param_string", "parse_events", "parse_response", "parse_sentinel_codes", "repair_date", "run_name", "zero_based"]
+
+
+def display_rank(column, order: list[str]):
+    """1, 2, .. in a fixed order; 0 for what it does not name."""
+    return F.array_position(F.array(*map(F.lit, order)), F.col(column) if isinstance(column, str) else column).cast("int")

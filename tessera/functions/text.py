@@ -78,16 +78,20 @@ def full_text(segments: Column) -> Column:
 
 
 def verbatim_cover(text: Column | str, segments: Column, slack: int = 2) -> Column:
-    """The index of the first segment that does not follow the one before within `slack` characters, white space collapsed; -1 if all do. What is left of the text after the last is accepted."""
-    whole = collapse_space(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(-1).alias("failed"))
+    """The index of the first segment that does not follow the one before within `slack` characters, white space collapsed; -1 if all do. What is left of the text after the last is accepted.
+
+    The fold keeps what is left of the text, so that no step reads it from its start.
+    """
+    start = F.struct(collapse_space(text).alias("left"), F.lit(0).alias("i"), F.lit(-1).alias("failed"))
 
     def step(s, segment):
         seg = collapse_space(segment)
-        found = F.position(seg, F.substring(whole, s["at"] + 1, F.length(seg) + slack))
-        ok = (s["failed"] < 0) & (found > 0)
+        size = F.char_length(seg)
+        found = F.when(s["failed"] < 0, F.when(seg == "", 1).otherwise(F.position(seg, F.substring(s["left"], F.lit(1), size + slack)))).otherwise(0)
         return F.struct(
-            F.when(ok, s["at"] + found - 1 + F.length(seg)).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"), F.when((s["failed"] < 0) & (found <= 0), s["i"]).otherwise(s["failed"]).alias("failed")
+            F.when(found > 0, F.substring(s["left"], found + size, F.char_length(s["left"]))).otherwise(F.lit("")).alias("left"),
+            (s["i"] + 1).alias("i"),
+            F.when((s["failed"] < 0) & (found == 0), s["i"]).otherwise(s["failed"]).alias("failed"),
         )
 
-    return F.aggregate(segments, start, step)["failed"]
+    return F.aggregate(segments, start, step, lambda s: s["failed"])

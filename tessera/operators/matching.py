@@ -14,11 +14,13 @@ def lexical_matches(docs: DataFrame, items: DataFrame, doc_key: str, item_key: s
     Only the rarest words of an item are indexed, so many that a match cannot avoid them all:
     frequent words never meet. The candidate pairs are then counted exactly.
     """
+    from tessera.sources.shared import stash
+
     item_words = items.select(item_key, text.tokens(column).alias("item_words")).where(F.size("item_words") > 0)
-    doc_words = docs.select(doc_key, text.tokens(column).alias("doc_words"))
+    doc_words = stash(docs.select(doc_key, text.tokens(column).alias("doc_words")))  # texts are split once
     used = item_words.select(item_key, F.explode("item_words").alias("word"))
     # how often documents use the items' words decides which are rare
-    frequency = docs.select(F.explode(text.tokens(column)).alias("word")).join(used.select("word").distinct(), "word", "left_semi").groupBy("word").count()
+    frequency = doc_words.select(F.explode("doc_words").alias("word")).join(used.select("word").distinct(), "word", "left_semi").groupBy("word").count()
     rated = used.join(frequency, "word", "left").groupBy(item_key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word"))).alias("ranked"))
     needed = F.ceil(F.lit(least) * F.size("ranked") - 1e-9)
     index = rated.select(item_key, F.explode(F.slice("ranked", F.lit(1), (F.size("ranked") - needed + 1).cast("int"))["word"]).alias("word"))
@@ -79,8 +81,3 @@ def dense(cells: DataFrame, dims: DataFrame, keys: list[str], rows: str = "n_sto
     joined = grid.withColumn("inside", F.lit(1)).join(hit, [*keys, "recall_idx", "story_idx"], "full_outer")
     value = F.when(F.col("inside").isNull(), F.raise_error(F.lit("a match is outside the matrix"))).otherwise(F.coalesce("hit", F.lit(0)))
     return joined.select(*keys, "story_idx", "recall_idx", value.cast("int").alias("value"))
-
-
-def cell_path(name: str) -> str:
-    """Where the cells of a run are kept, in place of dense matrices."""
-    return f"{name}/cells"

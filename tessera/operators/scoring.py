@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import metrics as M
@@ -104,8 +103,9 @@ def mean_and_sem(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def closest_to_mean(rows: DataFrame, group: list[str], idx: str, value: str) -> DataFrame:
     """The row of each group whose value is closest to the mean; the first on a tie. Values are rounded, so that ties are ties."""
-    mean = F.avg(value).over(W.partitionBy(*group)) if group else F.avg(value).over(W.partitionBy())
-    off = rows.withColumn("_off", F.round(F.abs(F.col(value) - mean), 9))
+    means = rows.groupBy(*group).agg(F.avg(value).alias("_mean"))
+    near = rows.join(means, group) if group else rows.crossJoin(F.broadcast(means))  # without groups: one row
+    off = near.withColumn("_off", F.round(F.abs(F.col(value) - F.col("_mean")), 9))
     return off.groupBy(*group).agg(F.min_by(idx, F.struct("_off", idx)).alias(idx), F.min_by(value, F.struct("_off", idx)).alias(value))
 
 
@@ -121,6 +121,13 @@ def plot_exclusions(counts: DataFrame, for_pearson: bool = False) -> DataFrame:
     return rated if for_pearson else rated.where(F.col("tp") + F.col("fp") > 0)
 
 
+def report_counts(counts: DataFrame) -> DataFrame:
+    """One row: recalls in all, evaluated, skipped for want of human matches, and shown in figures."""
+    rows = [counts.agg(F.count("*").alias("n_total")), rated_only(counts).agg(F.count("*").alias("n_evaluated")), plot_exclusions(counts).agg(F.count("*").alias("n_shown"))]
+    one = rows[0].crossJoin(F.broadcast(rows[1])).crossJoin(F.broadcast(rows[2]))  # one row each
+    return one.select("n_total", "n_evaluated", (F.col("n_total") - F.col("n_evaluated")).alias("n_skipped"), "n_shown")
+
+
 def usage_totals(attempts: DataFrame, prices: DataFrame, group: list[str]) -> DataFrame:
     """Tokens and cost; prices per million tokens, a model without one is free."""
     priced = attempts.join(prices.select("model", "price_in", "price_out"), "model", "left")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,68 +62,93 @@ def by_subject(rows: DataFrame, keys: list[str], subject: str, idx: str, column:
     return lists.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(subject, "segments")))).alias("subjects"))
 
 
-def merge_quotes(sentences: list[str], most: int = QUOTED_MOST) -> list[str]:
-    """Sentences between which a quotation stays open become one, unless it would be of `most` characters or more: then the first stays alone, and the next is read as inside the quotation."""
-    out, at, inside = [], 0, False
-    while at < len(sentences):
-        merged, upto = sentences[at], at + 1
-        if (merged.count('"') + inside) % 2 == 0:
-            inside = False
-        else:
-            while merged.count('"') % 2 and len(merged) < most and upto < len(sentences):
-                merged += " " + sentences[upto]
-                upto += 1
-            inside = len(merged) >= most
-            if inside:
-                merged, upto = sentences[at], at + 1
-        out.append(merged)
-        at = upto
-    return out
+def _sums(values, start: int = 0):
+    """0 and the running sums of an array of ints."""
+    return F.aggregate(values, F.array(F.lit(start)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def quoted_spans(sentences, most: int = QUOTED_MOST):
+    """Arrays (first, last) of the sentences that become one segment each.
+
+    Where a quotation is open after a sentence, the span goes on to the first sentence after
+    which as many marks were opened as closed, or to the last one. A span of `most` characters or
+    more is given up: its first sentence stands alone, and what follows is read as inside a
+    quotation. Spans come from running sums of marks and lengths; one fold walks over them.
+    """
+    marks = F.transform(sentences, lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))).cast("int"))
+    # a span's text has a space between sentences
+    upto, length = _sums(marks), _sums(F.transform(sentences, lambda x: F.char_length(x) + 1))
+    state = F.struct(F.lit(0).alias("next"), F.lit(0).alias("inside"), F.array().cast("array<array<int>>").alias("spans"), upto.alias("marks"), length.alias("length"))
+    n = F.size(sentences)
+
+    def step(s, k):
+        size = lambda last: F.get(s["length"], last + 1) - F.get(s["length"], k) - 1
+        even = lambda last: (F.get(s["marks"], last + 1) - F.get(s["marks"], k)) % 2 == 0
+        ahead = F.sequence(k, F.least(n - 1, k + most))
+        last = F.coalesce(F.get(F.filter(ahead, lambda j: even(j) | (size(j) >= most)), F.lit(0)), F.element_at(ahead, -1))
+        opens = (F.get(s["marks"], k + 1) - F.get(s["marks"], k) + s["inside"]) % 2 == 1
+        too_long = opens & (size(last) >= most)
+        stop = F.when(opens & ~too_long, last).otherwise(k)
+        skip = k < s["next"]
+        return F.struct(
+            F.when(skip, s["next"]).otherwise(stop + 1).alias("next"),
+            F.when(skip, s["inside"]).otherwise(too_long.cast("int")).alias("inside"),
+            F.when(skip, s["spans"]).otherwise(F.concat(s["spans"], F.array(F.array(k, stop)))).alias("spans"),
+            s["marks"].alias("marks"),
+            s["length"].alias("length"),
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(0), n - 1), state, step)["spans"]
+    return F.when(n > 0, walked).otherwise(F.array().cast("array<array<int>>"))
+
+
+def quotes_kept_whole(sentences, most: int = QUOTED_MOST):
+    """The sentences, quotations of fewer than `most` characters merged."""
+    return F.transform(quoted_spans(sentences, most), lambda x: F.array_join(F.slice(sentences, x[0] + 1, x[1] - x[0] + 1), " "))
 
 
 def sentence_segments(rows: DataFrame, keys: list[str], column: str = "text", least: int = SENTENCE_LEAST) -> DataFrame:
     """keys, seg_idx, text: sentences, quotations kept whole, those of `least` characters or fewer dropped."""
+    split = rows.select(*keys, text.sentences(column).alias("_s")).where(F.size("_s") > 0)
+    return explode_segments(split, keys, F.filter(quotes_kept_whole(F.col("_s")), lambda x: F.char_length(x) > least))
 
-    @F.pandas_udf("array<string>")
-    def quoted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield p.map(lambda x: [] if x is None else [s for s in merge_quotes(list(x)) if len(s) > least])
-
-    return explode_segments(rows, keys, quoted(text.sentences(column)))
-
-
-def cover_failures(transcript: str, segments: list[str], slack: int = 2) -> dict[int, str]:
-    """Which segments do not follow verbatim, and why: 'missing', then 'skipped' up to the next that is found anywhere ahead, or 'unreachable'."""
-    import re
-
-    flat = lambda x: re.sub(r"\s+", " ", x)
-    whole, parts = flat(transcript), [flat(x) for x in segments]
-    out, cursor, i = {}, 0, 0
-    while i < len(parts):
-        at = whole.find(parts[i], cursor, cursor + len(parts[i]) + slack)
-        if at >= 0:
-            cursor, i = at + len(parts[i]), i + 1
-            continue
-        out[i] = "missing"
-        ahead = next(((j, k) for j in range(i + 1, len(parts)) if (k := whole.find(parts[j], cursor)) >= 0), None)
-        if ahead is None:
-            out.update(dict.fromkeys(range(i + 1, len(parts)), "unreachable"))
-            break
-        j, k = ahead
-        out.update(dict.fromkeys(range(i + 1, j), "skipped"))
-        cursor, i = k + len(parts[j]), j + 1
-    return out
 
+def cover_failures(transcript, segments, slack: int = 2):
+    """A map of the segments that do not follow verbatim, white space collapsed, to the reason.
 
-def validated(rows: DataFrame, transcript: str = "text", segments: str = "segments") -> DataFrame:
-    """rows with fail_idx (-1 if all segments follow), valid, and failures (segment to reason) after recovery."""
+    A segment that is not within `slack` characters after the one before is 'missing'. From
+    there on, the first later segment that stands anywhere ahead is where reading goes on; those
+    passed over are 'skipped', or 'unreachable' if no such segment comes. One fold: the state
+    is what is left of the transcript, and the number of the segment since which the place is lost.
+    """
+    start = F.struct(
+        text.collapse_space(transcript).alias("left"), F.lit(0).alias("i"), F.lit(-1).alias("lost"), F.array().cast("array<struct<i:int,why:string>>").alias("notes")
+    )
+
+    def step(s, segment):
+        seg = text.collapse_space(segment)
+        lost = s["lost"] >= 0
+        near = F.when(seg == "", 1).otherwise(F.position(seg, F.substring(s["left"], F.lit(1), F.char_length(seg) + slack)))
+        found = F.when(~lost, near).when(seg == "", 1).otherwise(F.position(seg, s["left"]))
+        why = F.when(lost, F.lit("skipped")).otherwise(F.lit("missing"))
+        return F.struct(
+            F.when(found > 0, F.substring(s["left"], found + F.char_length(seg), F.char_length(s["left"]))).otherwise(s["left"]).alias("left"),
+            (s["i"] + 1).alias("i"),
+            F.when(found > 0, F.lit(-1)).when(lost, s["lost"]).otherwise(s["i"]).alias("lost"),
+            F.when(found > 0, s["notes"]).otherwise(F.concat(s["notes"], F.array(F.struct(s["i"].alias("i"), why.alias("why"))))).alias("notes"),
+        )
+
+    def reasons(s):
+        never = lambda x: (s["lost"] >= 0) & (x["i"] > s["lost"])
+        return F.map_from_entries(F.transform(s["notes"], lambda x: F.struct(x["i"].alias("key"), F.when(never(x), F.lit("unreachable")).otherwise(x["why"]).alias("value"))))
+
+    return F.aggregate(segments, start, step, reasons)
 
-    @F.pandas_udf("map<int,string>")
-    def failures(t: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else cover_failures(a, list(b)) for a, b in zip(t, s, strict=True)])
 
+def validated(rows: DataFrame, transcript: str = "text", segments: str = "segments") -> DataFrame:
+    """rows with fail_idx (-1 if all segments follow), valid, and failures (segment to reason) after recovery."""
     checked = rows.withColumn("fail_idx", text.verbatim_cover(transcript, F.col(segments))).withColumn("valid", F.col("fail_idx") < 0)
-    return checked.withColumn("failures", F.when(F.col("valid"), F.create_map().cast("map<int,string>")).otherwise(failures(F.col(transcript), F.col(segments))))
+    return checked.withColumn("failures", F.when(F.col("valid"), F.create_map().cast("map<int,string>")).otherwise(cover_failures(transcript, F.col(segments))))
 
 
 def parse_segment_reply(reply):
@@ -135,3 +157,20 @@ def parse_segment_reply(reply):
     fenced = F.regexp_extract(plain, r"(?s)^```(?:json)?(.*?)(?:```|$)", 1)
     body = text.strip(F.when(plain.startswith("```"), fenced).otherwise(plain))
     return F.when(body.startswith("["), F.from_json(body, "array<string>"))
+
+
+def labelled(rows: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """Rows whose label is one of a few names, white space and case aside."""
+    return rows.where(F.lower(text.strip(F.col(label))).isin([x.strip().lower() for x in names]))
+
+
+def text_cells(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Rows whose cell holds text, stripped; cells that spreadsheets give as numbers, dates or nothing go."""
+    cell = text.strip(F.col(column).cast("string"))
+    is_text = F.col(column).isNotNull() & (cell != "") & F.try_to_number(cell, F.lit("S999999999999.999999")).isNull() & cell.try_cast("timestamp").isNull()
+    return rows.where(is_text).withColumn(column, cell)
+
+
+def recalls_of_groups(recalls: DataFrame, files: DataFrame, label: str, subject: str) -> DataFrame:
+    """Recalls with the group that their file's label names: one equi-join on (label, subject), whatever the number of groups and subjects."""
+    return recalls.join(files.select(label, subject, *(c for c in files.columns if c not in recalls.columns)).dropDuplicates([label, subject]), [label, subject])

@@ -126,23 +126,59 @@ def test_windows(spark):
     assert {x.i: x.window for x in segments.context_windows(rows, ["s"], "i", 0).collect()}[2] == "<target> t2 </target>"
 
 
+def spans(sentences, most, at=0, inside=False):
+    """Spans of quotations, by the rule's words."""
+    if at == len(sentences):
+        return []
+    text = lambda j: " ".join(sentences[at : j + 1])
+    if (sentences[at].count('"') + inside) % 2 == 0:
+        return [[at, at], *spans(sentences, most, at + 1)]
+    ends = [j for j in range(at, len(sentences)) if text(j).count('"') % 2 == 0 or len(text(j)) >= most]
+    last = ends[0] if ends else len(sentences) - 1
+    if len(text(last)) >= most:
+        return [[at, at], *spans(sentences, most, at + 1, True)]
+    return [[at, last], *spans(sentences, most, last + 1)]
+
+
 def test_quotes_and_sentences(spark):
-    assert segments.merge_quotes(['He said "a.', 'b." Then left.', "Next."]) == ['He said "a. b." Then left.', "Next."]
     long = 'x "' + "y" * 250
-    assert segments.merge_quotes([long, "b.", 'c" d.', "e."]) == [long, "b.", 'c" d. e.']
-    rows = spark.createDataFrame([(1, 'Short. A longer sentence here! He said "one thing. And another." Right then?'), (2, None)], "k int, text string")
+    cases = [(['He said "a.', 'b." Then left.', "Next."], ['He said "a. b." Then left.', "Next."]), ([long, "b.", 'c" d.', "e."], [long, "b.", 'c" d. e.']), ([], [])]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "s array<string>").select(segments.quotes_kept_whole(F.col("s"))).collect()
+    assert [r[0] for r in rows] == [w for _, w in cases]
+    r = random.Random(3)
+    some = [[r.choice(["a.", '"b.', 'c".', '"d".', "e" * 8]) for _ in range(r.randint(0, 9))] for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in some], "s array<string>").select("s", segments.quoted_spans(F.col("s"), 14).alias("p")).collect()
+    assert all(x.p == spans(x.s, 14) for x in rows)
+    rows = spark.createDataFrame([(1, 'Short. A longer sentence here! He said "one thing. And another." Right then?'), (2, None), (3, " ")], "k int, text string")
     assert [x.text for x in segments.sentence_segments(rows, ["k"]).orderBy("seg_idx").collect()] == ["A longer sentence here!", 'He said "one thing. And another." Right then?']
 
 
 def test_cover_recovery(spark):
-    assert segments.cover_failures("a b c d e", ["a", "x", "y", "d", "e"]) == {1: "missing", 2: "skipped"}
-    assert segments.cover_failures("a b c", ["a", "x", "y"]) == {1: "missing", 2: "unreachable"}
-    assert segments.cover_failures("a  b\nc", ["a b", "c"]) == {}
+    cases = [
+        ("a b c d e", ["a", "x", "y", "d", "e"], {1: "missing", 2: "skipped"}),
+        ("a b c", ["a", "x", "y"], {1: "missing", 2: "unreachable"}),
+        ("a  b\nc", ["a b", "c"], {}),
+        ("a b c d e f", ["a", "x", "d", "y", "f", "z"], {1: "missing", 3: "missing", 5: "missing"}),
+        ("a b c d", ["x", "b", "q", "r", "a"], {0: "missing", 2: "missing", 3: "unreachable", 4: "unreachable"}),
+        ("", ["x"], {0: "missing"}),
+        ("a", ["", "a", ""], {}),
+    ]
+    rows = spark.createDataFrame([(t, s) for t, s, _ in cases], "t string, s array<string>")
+    assert [r[0] for r in rows.select(segments.cover_failures("t", F.col("s"))).collect()] == [w for *_, w in cases]
     rows = spark.createDataFrame([("a b c", ["a", "q"]), ("a b", ["a", "b"])], "text string, segments array<string>")
     got = segments.validated(rows).collect()
     assert [(x.valid, x.fail_idx, x.failures) for x in got] == [(False, 1, {1: "missing"}), (True, -1, {})]
 
 
+def test_importers(spark):
+    rows = spark.createDataFrame([("A ", " hello"), ("b", "12.5"), ("a", None), ("B", "2020-01-02 00:00:00"), ("c", "  ")], "m string, text string")
+    assert [r.text for r in segments.text_cells(rows).collect()] == ["hello"]
+    assert segments.labelled(rows, "m", ["a", " B"]).count() == 4
+    recalls = spark.createDataFrame([("a", "s1", "x"), ("a", "s2", "y"), ("z", "s1", "w")], "m string, sub string, text string")
+    files = spark.createDataFrame([("a", "s1", "f1"), ("a", "s1", "f1"), ("a", "s2", "f2")], "m string, sub string, file string")
+    assert sorted((r.sub, r.file) for r in segments.recalls_of_groups(recalls, files, "m", "sub").collect()) == [("s1", "f1"), ("s2", "f2")]
+
+
 def test_segment_replies(spark):
     cases = [('["a", "b"]', ["a", "b"]), ('```json\n["a"]\n```', ["a"]), ('```\n["x"]\n```\nmore', ["x"]), ("no", None), ('{"a": 1}', None)]
     rows = spark.createDataFrame([(c,) for c, _ in cases], "r string").select(segments.parse_segment_reply("r")).collect()
