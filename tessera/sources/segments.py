@@ -38,6 +38,12 @@ def _require(spark: SparkSession, path: str) -> str:
     return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
+def parent_folder(spark: SparkSession, path: str) -> str:
+    """The folder that a file or a folder is in."""
+    fs, p = _fs(spark, path)
+    return str(fs.makeQualified(p).getParent())
+
+
 def whole_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, name (without its last suffix), text: one row per UTF-8 file."""
     rows = spark.read.format("binaryFile").load(paths)

@@ -3,45 +3,66 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from datetime import datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .segments import _fs
 
-def write_text(path: str | Path, content: str) -> None:
-    """All or nothing: a hidden file in the same folder takes the name at the end."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.{os.getpid()}.tmp")
+
+def _context(spark: SparkSession, path: str):
+    """Hadoop's file context and the path, made whole: local names are files."""
+    jvm, p = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(p)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark._jsc.hadoopConfiguration()), whole
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """All or nothing on any file system of Hadoop's: readers see the old document or the new one."""
+    context, target = _context(spark, path)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    _fs(spark, path)[0].mkdirs(target.getParent())
+    fresh = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_writing-{uuid.uuid4().hex}")
+    out = _fs(spark, path)[0].create(fresh, False)
     try:
-        part.write_text(content, encoding="utf-8")
-        os.replace(part, path)
+        out.write(content.encode())
+        out.hsync()
     finally:
-        part.unlink(missing_ok=True)
+        out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(fresh, target, how)
 
 
-def _plain(value):
-    if hasattr(value, "item"):
-        return value.item()
-    raise TypeError(f"{type(value).__name__} does not go into JSON")
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, str(path))
+    return fs.exists(p)
 
 
-def write_json(path: str | Path, document, indent: int | None = None) -> None:
-    write_text(path, json.dumps(document, indent=indent, default=_plain, ensure_ascii=False) + "\n")
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, str(path))
+    fs.delete(p, True)
 
 
-def output_folder(recalls: str) -> Path:
-    p = Path(recalls)
-    return p if p.is_dir() else p.parent
+def write_json(spark: SparkSession, path: str, document, indent: int | None = None) -> None:
+    """Numbers of numpy are numbers; anything else that JSON lacks is an error."""
 
+    def number(x):
+        if not hasattr(x, "tolist"):
+            raise TypeError(f"{type(x).__name__} does not go into JSON")
+        return x.tolist()
 
-def result_path(folder: str | Path, matcher: str, recall_seg: str, story_seg: str, overwrite: bool = False) -> Path:
+    write_text(spark, path, json.dumps(document, indent=indent, default=number, ensure_ascii=False) + "\n")
+
+
+def result_path(spark: SparkSession, folder: str, matcher: str, recall_seg: str, story_seg: str, overwrite: bool = False) -> str:
     """Where a match result goes. An existing one is an error now, before any matching."""
-    path = Path(folder) / f"{matcher}-{recall_seg}-{story_seg}.json"
-    if path.exists() and not overwrite:
+    path = f"{str(folder).rstrip('/')}/{matcher}-{recall_seg}-{story_seg}.json"
+    if exists(spark, path) and not overwrite:
         raise FileExistsError(path)
     return path
 
@@ -55,6 +76,14 @@ def match_document(matches: DataFrame, matcher: str, story_name: str, story_seg:
     }
 
 
+def checkpoint_document(matches: DataFrame | None, total: int, *names, reason: str | None = None) -> dict:
+    """What is known of a run that did not end: the result document of the subjects done, and the progress."""
+    done = match_document(matches, *names) if matches is not None else {"matches": {}, **dict(zip(("matcher_name", "story_name", "story_segmentation", "recall_segmentation"), names, strict=False))}
+    ids = list(done["matches"])
+    progress = {"subjects_total": total, "subjects_done": len(ids), "subject_ids_done": ids, "timestamp": datetime.now().astimezone().isoformat(), **({"reason": reason} if reason else {})}
+    return {**done, "checkpoint": True, "progress": progress}
+
+
 def write_segment_csv(segments: DataFrame, path: str, key: str = "stem") -> None:
     """recall_segment (from 1), an empty story_segment and text, a folder per transcript."""
     rows = segments.select(key, (F.col("seg_idx") + 1).alias("recall_segment"), F.lit("").alias("story_segment"), "text")
@@ -70,12 +99,17 @@ def run_name(testset: str, matcher: str, model: str | None = None, repeated: boo
     return "-".join(parts)
 
 
-def write_benchmark(story: DataFrame, recall: DataFrame, ratings: DataFrame, root: str | Path, story_name: str, method: str, matcher: str = "human") -> None:
-    """Transcript, recalls and matches of one story as three documents."""
-    top = Path(root) / story_name
-    segments = [r["text"] for r in story.orderBy("story_idx").toLocalIterator()]
-    write_json(top / "transcripts" / f"{method}.json", {"type": "transcript", "segmentation_method": method, "segments": segments}, 2)
+def write_recalls(recall: DataFrame, path: str, method: str) -> None:
+    """Recalls of a few subjects as one document."""
     lists = recall.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("recall_idx", "text"))).alias("r")).orderBy("sub_id")
-    write_json(top / "recalls" / f"{method}.json", {"type": "recalls", "segmentation_method": method, "recalls": {r["sub_id"]: [x["text"] for x in r["r"]] for r in lists.toLocalIterator()}}, 2)
+    write_json(recall.sparkSession, path, {"type": "recalls", "segmentation_method": method, "recalls": {r["sub_id"]: [x["text"] for x in r["r"]] for r in lists.toLocalIterator()}}, 2)
+
+
+def write_benchmark(story: DataFrame, recall: DataFrame, ratings: DataFrame, root: str, story_name: str, method: str, matcher: str = "human") -> None:
+    """Transcript, recalls and matches of one story as three documents: what a benchmark reader takes, so small by design."""
+    spark, top = story.sparkSession, f"{str(root).rstrip('/')}/{story_name}"
+    segments = [r["text"] for r in story.orderBy("story_idx").toLocalIterator()]
+    write_json(spark, f"{top}/transcripts/{method}.json", {"type": "transcript", "segmentation_method": method, "segments": segments}, 2)
+    write_recalls(recall, f"{top}/recalls/{method}.json", method)
     doc = match_document(ratings, matcher, story_name, method, method)
-    write_json(top / "matches" / f"{method}.json", {"type": "matches", "matcher": matcher, "story_segmentation": method, "recall_segmentation": method, "n_story_segments": len(segments), "ratings": doc["matches"]}, 2)
+    write_json(spark, f"{top}/matches/{method}.json", {"type": "matches", "matcher": matcher, "story_segmentation": method, "recall_segmentation": method, "n_story_segments": len(segments), "ratings": doc["matches"]}, 2)

@@ -109,18 +109,21 @@ def test_csv_encoding_union(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     import numpy as np
 
-    sinks.write_json(tmp_path / "x" / "d.json", {"a": np.int64(3), "b": "é"})
+    top = f"{tmp_path}/x"
+    sinks.write_json(spark, f"{top}/d.json", {"a": 1})
+    sinks.write_json(spark, f"{top}/d.json", {"a": np.int64(3), "b": "é"})
     assert (tmp_path / "x" / "d.json").read_text(encoding="utf-8") == '{"a": 3, "b": "é"}\n'
     with pytest.raises(TypeError):
-        sinks.write_json(tmp_path / "x" / "e.json", {"a": object()})
-    assert [p.name for p in (tmp_path / "x").iterdir()] == ["d.json"]
-    path = sinks.result_path(tmp_path, "m", "rec", "sto")
-    assert path.name == "m-rec-sto.json"
-    path.write_text("")
+        sinks.write_json(spark, f"{top}/e.json", {"a": object()})
+    assert [p.name for p in (tmp_path / "x").iterdir() if not p.name.startswith(".")] == ["d.json"]
+    path = sinks.result_path(spark, tmp_path, "m", "rec", "sto")
+    assert path == f"{tmp_path}/m-rec-sto.json"
+    sinks.write_text(spark, path, "")
     with pytest.raises(FileExistsError):
-        sinks.result_path(tmp_path, "m", "rec", "sto")
-    assert sinks.result_path(tmp_path, "m", "rec", "sto", overwrite=True) == path
-    assert sinks.output_folder(str(path)) == tmp_path and sinks.output_folder(str(tmp_path)) == tmp_path
+        sinks.result_path(spark, tmp_path, "m", "rec", "sto")
+    assert sinks.result_path(spark, tmp_path, "m", "rec", "sto", overwrite=True) == path
+    sinks.remove(spark, path)
+    assert not sinks.exists(spark, path)
     rows = spark.createDataFrame([("t1", 0, "a"), ("t1", 1, "b,c"), ("t2", 0, "d")], "stem string, seg_idx int, text string")
     sinks.write_segment_csv(rows, str(tmp_path / "seg"))
     back = spark.read.csv(str(tmp_path / "seg"), header=True)
