@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +13,27 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("match", help="match recalls to a story")
     m.add_argument("story")
     m.add_argument("recalls")
-    s = sub.add_parser("segment", help="divide the text files of a folder into lines or sentences")
+    s = sub.add_parser("segment", help="divide the text files of a folder into lines, sentences, or as a model says")
     s.add_argument("folder")
     s.add_argument("output")
-    s.add_argument("--by", choices=["lines", "sentences"], default="sentences")
+    s.add_argument("--by", choices=["lines", "sentences", "model"], default="sentences")
     e = sub.add_parser("evaluate", help="score a backend on a benchmark story")
     e.add_argument("root")
     e.add_argument("testset")
-    e.add_argument("--repeats", type=int, default=1)
-    for x in (m, e):
+    e.add_argument("--repeats", type=int, default=5, help="repeats of each recall in repeat mode")
+    e.add_argument("--repeat-reliability", action="store_true", help="match each recall several times and compare the results")
+    e.add_argument("--output", default="data/eval")
+    e.add_argument("--dry-run", action="store_true")
+    for x in (m, e, s):
         x.add_argument("--matcher", default="lexical")
         x.add_argument("--model")
         x.add_argument("--prompt")
         x.add_argument("--window", type=int, default=5)
         x.add_argument("--max-retries", type=int)
     m.add_argument("--output", help="folder of the result; by default beside the recalls, never among a folder's recalls")
+    m.add_argument("--story-name", help="instead of the story's file name")
+    m.add_argument("--story-segmentation", help="instead of the method that the story's file names")
+    m.add_argument("--recall-segmentation", help="instead of the method that the recalls name")
     m.add_argument("--overwrite", action="store_true")
     m.add_argument("--dry-run", action="store_true")
     return p
@@ -42,43 +46,60 @@ def _backend(args):
     return get_backend(args.matcher, **{k: v for k, v in given.items() if v is not None})
 
 
-def run(args: argparse.Namespace, spark: SparkSession):
-    if args.command == "segment":
-        from tessera.functions import text
-        from tessera.operators.segments import explode_segments, sentence_segments
-        from tessera.sources.segments import list_files, whole_files
-        from tessera.sources.sinks import write_segment_csv
-
-        files = whole_files(spark, [f for f in list_files(spark, args.folder) if f.endswith(".txt")]).withColumnRenamed("name", "stem")
-        rows = sentence_segments(files, ["stem"]) if args.by == "sentences" else explode_segments(files, ["stem"], text.lines("text"))
-        return write_segment_csv(rows, args.output)
+def _segment(args, spark: SparkSession) -> None:
+    from tessera.functions import text
+    from tessera.operators.segments import explode_segments, sentence_segments
+    from tessera.plans.segmentation import segment_texts
+    from tessera.sources.segments import list_files, whole_files
+    from tessera.sources.sinks import write_segment_csv
+
+    files = whole_files(spark, [f for f in list_files(spark, args.folder) if f.endswith(".txt")]).withColumnRenamed("name", "stem")
+    if args.by == "sentences":
+        rows = sentence_segments(files, ["stem"])
+    elif args.by == "lines":
+        rows = explode_segments(files, ["stem"], text.lines("text"))
+    else:
+        rows = explode_segments(segment_texts(files, ["stem"], _backend(args)), ["stem"], F.col("segments"))
+    write_segment_csv(rows, args.output)
+
+
+def _match(args, spark: SparkSession):
+    from tessera.plans.matching import estimate, match
     from tessera.sources import segments as src
+    from tessera.sources.sinks import checkpoint_document, exists, match_document, remove, result_path, write_json
 
     backend = _backend(args)
-    if args.command == "match":
-        from tessera.plans.matching import estimate, match
-        from tessera.sources.sinks import match_document, result_path, write_json
-
-        story, recall = src.read_story(spark, args.story), src.read_recalls(spark, args.recalls)
-        name, method = story.select("story_name", "story_seg_method").first()
-        own = recall.withColumn("story_name", F.lit(name))
-        if args.dry_run:
-            return estimate(story, own, backend).first().asDict()
-        folder = Path(args.output) if args.output else Path(args.recalls).resolve().parent
-        recall_method = recall.select("recall_seg_method").first()[0]
-        path = result_path(folder, args.matcher, recall_method, method, args.overwrite)
+    story, recall = src.read_story(spark, args.story), src.read_recalls(spark, args.recalls)
+    found = story.select("story_name", "story_seg_method").first()
+    name, method = args.story_name or found["story_name"], args.story_segmentation or found["story_seg_method"]
+    recall_method = args.recall_segmentation or recall.select("recall_seg_method").first()[0]
+    story, own = story.withColumn("story_name", F.lit(name)), recall.withColumn("story_name", F.lit(name))
+    if args.dry_run:
+        return estimate(story, own, backend).first().asDict()
+    path = result_path(spark, args.output or src.parent_folder(spark, args.recalls), args.matcher, recall_method, method, args.overwrite)
+    checkpoint = f"{path.removesuffix('.json')}.checkpoint.json"
+    names = (args.matcher, name, method, recall_method, args.model)
+    total = recall.select("sub_id").distinct().count()
+    try:
         matches, _ = match(story, own, backend)
-        write_json(path, match_document(matches, args.matcher, name, method, recall_method, args.model))
-        return path
-    from tessera.plans.evaluation import TESTSETS, evaluate
-
-    every = [(r["story_name"], src.read_benchmark_story(spark, args.root, args.testset, r["story_name"], TESTSETS[args.testset])) for r in src.read_dataset(spark, f"{args.root}/{args.testset}/dataset.json").collect()]
-    tables = {}
-    for part in ("story", "recall", "ratings"):
-        for name, x in every:
-            one = x[part].withColumn("story_name", F.lit(name))
-            tables[part] = tables[part].unionByName(one) if part in tables else one
-    return evaluate(**tables, backends=[backend] * args.repeats, strict=args.repeats > 1)["macro"].first().asDict()
+        document = match_document(matches, *names)
+    except KeyboardInterrupt:
+        write_json(spark, checkpoint, checkpoint_document(None, total, *names, reason="KeyboardInterrupt"), 2)
+        raise
+    write_json(spark, path, document)
+    if exists(spark, checkpoint):
+        remove(spark, checkpoint)
+    return path
+
+
+def _evaluate(args, spark: SparkSession):
+    from tessera.plans.evaluation import run_evaluation
+
+    return run_evaluation(spark, args.root, args.testset, lambda: _backend(args), args.repeats, args.repeat_reliability, args.output, args.dry_run)
+
+
+def run(args: argparse.Namespace, spark: SparkSession):
+    return {"match": _match, "segment": _segment, "evaluate": _evaluate}[args.command](args, spark)
 
 
 def main(argv: list[str] | None = None) -> None:
