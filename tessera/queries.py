@@ -348,8 +348,8 @@ def repeat_overall(spark, sf_dir):
 
 @query(f"select count(*) n_total, count_if(tp + fn > 0) n_evaluated, count_if(tp + fn = 0) n_skipped, count_if(tp + fn > 0 and tp + fp > 0) n_shown from {_SQL_REPEAT_COUNTS}")
 def evaluation_counts(spark, sf_dir):
-    human, model = F.col("tp") + F.col("fn") > 0, F.col("tp") + F.col("fp") > 0
-    return _repeat_counts(spark, sf_dir).agg(F.count("*").alias("n_total"), F.count_if(human).alias("n_evaluated"), F.count_if(~human).alias("n_skipped"), F.count_if(human & model).alias("n_shown"))
+    counts = scoring.score(_repeat_counts(spark, sf_dir))
+    return scoring.report_counts(counts)
 
 
 _SQL_GRID = "(select distinct least(conv_id % 7, 5) g, turn recall_idx, length(text) % 4 story_idx from conversations)"
@@ -455,29 +455,46 @@ def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).cast("long").alias("n_sentences"))
 
 
-@query(
-    f"""select doc_id, case when doc_id % 3 = 0 or len(l) < 2 then -1 when doc_id % 3 = 1 then 1 else 0 end::int fail_idx from (select doc_id, {_sql_lines("text")} l from documents) where len(l) >= 2"""
-)
-def verbatim_cover(spark, sf_dir):
-    """Line segments cover their document; with the second one changed, or the first, that one fails."""
-    return _spoiled_cover(_document_lines(spark, sf_dir).where("size(l) >= 2"))
+#: Documents' lines, a quarter of them as they are, one with its second line changed, one without it, one with all lines stripped.
+_SPOILED = f"""select doc_id, coalesce(text, '') t, case doc_id % 4 when 1 then list_transform(l, lambda v, i: case when i = 2 then v || chr(2) else v end) when 2 then l[:1] || l[3:] when 3 then list_transform(l, lambda v: {_sql_strip("v")}) else l end l
+from (select doc_id, text, coalesce({_sql_lines("text")}, []) l from documents)"""
+#: The rule step by step: segment i is looked for from the place after the one before, two characters further at most.
+_SQL_COVER = f"""with recursive d as materialized (select doc_id, regexp_replace(t, '{_WS}+', ' ', 'g') t, list_transform(l, lambda v: regexp_replace(v, '{_WS}+', ' ', 'g')) l from ({_SPOILED})),
+r as (select doc_id, 0 i, 0::bigint place, false failed from d union all
+select doc_id, i + 1, place + p + len(l[i + 1]) - 1, p = 0 from (select r.*, l, strpos(substr(t, place + 1, len(l[i + 1]) + 2), l[i + 1]) p from r join d using (doc_id) where not failed and i < len(l))),
+cover as (select doc_id, coalesce(max(case when failed then i - 1 end), -1)::int fail_idx from r group by doc_id)"""
 
 
-@query(f"""select doc_id, case when doc_id % 3 = 0 or coalesce(len(l), 0) < 2 then -1 when doc_id % 3 = 1 then 1 else 0 end::int fail_idx from (select doc_id, {_sql_lines("text")} l from documents)""")
-def verbatim_cover_every_document(spark, sf_dir):
-    """The same for all documents: one or no line covers its document, and is not changed."""
-    return _spoiled_cover(_document_lines(spark, sf_dir))
+@query(_SQL_COVER + " select doc_id, fail_idx from cover")
+def verbatim_cover(spark, sf_dir):
+    """Whether lines cover their document, whole documents: some are spoiled."""
+    return _spoiled_lines(spark, sf_dir).select("doc_id", text.verbatim_cover("text", F.col("l")).alias("fail_idx"))
+
 
+def _spoiled_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("l", text.lines("text"))
+    at = F.col("doc_id") % 4
+    changed = F.transform("l", lambda x, i: F.when(i == 1, F.concat(x, F.lit("\x02"))).otherwise(x))
+    without = F.filter("l", lambda x, i: i != 1)
+    return rows.withColumn("l", F.when(at == 1, changed).when(at == 2, without).when(at == 3, F.transform("l", text.strip)).otherwise(F.col("l")))
 
-def _document_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("l", text.lines("text"))
 
+@query(
+    _SQL_COVER
+    + """ select doc_id, case when doc_id % 5 = 3 then 'unparsed' when fail_idx >= 0 then 'invalid' else 'ok' end status, case when doc_id % 5 = 3 then 0 else len(l) end::int n_segments, case when doc_id % 5 = 3 then -1 else fail_idx end::int fail_idx,
+case when doc_id % 5 = 3 or fail_idx < 0 then null else 'missing' end why from cover join d using (doc_id)"""
+)
+def model_segmentation(spark, sf_dir):
+    """A recorded model's segments of whole documents, parsed and validated; why is the reason of the first failure."""
+    from tessera.plans.backends import Replay
+    from tessera.plans.segmentation import segment_texts
 
-def _spoiled_cover(rows):
-    at = F.col("doc_id") % 3
-    change = (F.size("l") >= 2) & (at != 0)
-    spoiled = F.transform("l", lambda x, i: F.when(change & (i == 2 - at), F.concat(x, F.lit("\x02"))).otherwise(x))
-    return rows.select("doc_id", text.verbatim_cover("text", spoiled, 3).alias("fail_idx"))
+    rows = _spoiled_lines(spark, sf_dir)
+    reply, at = F.to_json("l"), F.col("doc_id") % 5
+    reply = F.when(at == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(at == 2, F.concat(F.lit(" \n"), reply, F.lit("\n"))).when(at == 3, F.concat(F.lit("Here: "), reply)).otherwise(reply)
+    backend = Replay(rows.select("doc_id", F.lit(0).alias("attempt"), reply.alias("response")), ["doc_id"])
+    out = segment_texts(rows, ["doc_id"], backend)
+    return out.select("doc_id", "status", F.size("segments").alias("n_segments"), "fail_idx", F.when(F.col("fail_idx") >= 0, F.col("failures")[F.col("fail_idx")]).alias("why"))
 
 
 @query("""select turn, list_sort(list_distinct(list(length(text) % 10))) lengths from conversations group by turn""")
@@ -611,13 +628,71 @@ def union_disjoint(spark, sf_dir):
     return union_recalls([a, b]).groupBy("sub_id").agg(F.count("*").alias("n"))
 
 
-@query("select model, rank from (values ('large', 1), ('small', 2)) t(model, rank)")
+@query("select doc_id, lang, list_position(['fr', 'en', 'de'], lang)::int rank from documents")
 def display_order(spark, sf_dir):
-    order = F.array(F.lit("large"), F.lit("small"))
-    return spark.createDataFrame([("small",), ("large",)], "model string").select("model", F.array_position(order, F.col("model")).cast("int").alias("rank"))
+    """Rows in a fixed order of a category; others have no rank."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif(codes.display_rank("lang", ["fr", "en", "de"]), F.lit(0)).alias("rank"))
 
 
 @query("select conv_id, list_slice(list(turn order by turn), 1, 3) || [-1] preview from conversations group by conv_id having count(*) > 3")
 def preview_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).where("size(t) > 3")
     return rows.select("conv_id", F.concat(F.slice("t", 1, 3), F.array(F.lit(-1).cast("long"))).alias("preview"))
+
+
+# Files: the driver's tables written as stories, recalls and ratings, and read again
+
+
+def _stories(spark, sf_dir):
+    """Lines of benchmark items as stories of 40 items each, their conversations as recalls, and ratings."""
+    story = segments.explode_segments(table(spark, sf_dir, "benchmark"), ["item_id"], text.lines("text"))
+    recall = table(spark, sf_dir, "conversations").where(~text.is_blank("text")).select(F.col("conv_id").cast("string").alias("sub_id"), F.col("turn").alias("recall_idx"), "text")
+    return story, recall
+
+
+_SQL_RECALLS = f"select conv_id::varchar sub_id, (row_number() over (partition by conv_id order by turn) - 1)::int recall_idx, md5(text) text_md5 from conversations where {_sql_strip('text')} <> ''"
+
+
+@query(_SQL_RECALLS)
+def recall_json_round_trip(spark, sf_dir):
+    """Recalls of all conversations written as one document, read by the JSON reader."""
+    from tessera.sources import segments as src
+    from tessera.sources import shared, sinks
+
+    _, recall = _stories(spark, sf_dir)
+    top = shared.shared_dir(spark)
+    sinks.write_recalls(recall, f"{top}/recalls.json", "turns")
+    return src.read_recalls(spark, f"{top}/recalls.json").select("sub_id", "recall_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    f"""select sub_id, recall_idx, recall_idx % 3 = 0 rated, text_md5, (select count(*) from (select unnest({_sql_lines("text")}) from benchmark)) n_story from ({_SQL_RECALLS}) where sub_id::bigint % 2 = 0"""
+)
+def benchmark_story_round_trip(spark, sf_dir):
+    """A benchmark tree of story, recalls and ratings of every other conversation, written and read: unrated subjects are left out."""
+    from tessera.sources import segments as src
+    from tessera.sources import shared, sinks
+
+    story, recall = _stories(spark, sf_dir)
+    story = story.select(F.row_number().over(W.orderBy("item_id", "seg_idx")).alias("story_idx"), "text")  # one story of a benchmark's size
+    numbered = segments.count_within(recall, ["sub_id"], "recall_idx", "n").select("sub_id", (F.col("n") - 1).alias("recall_idx"), "text")
+    ratings = numbered.where("cast(sub_id as bigint) % 2 = 0").select("sub_id", "recall_idx", F.when(F.col("recall_idx") % 3 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("story_idxs"))
+    top = shared.shared_dir(spark)
+    sinks.write_benchmark(story, numbered, ratings, f"{top}/set", "all", "turns")
+    got = src.read_benchmark_story(spark, top, "set", "all", ("turns.json",) * 3)
+    n_story = got["story"].agg(F.count("*").alias("n_story"))
+    marks = got["ratings"].select("sub_id", "recall_idx", (F.size("story_idxs") > 0).alias("rated"))
+    rows = got["recall"].join(marks, ["sub_id", "recall_idx"]).crossJoin(F.broadcast(n_story))  # one row
+    return rows.select("sub_id", "recall_idx", "rated", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_story")
+
+
+@query(f"select item_id, (unnest(range(len(l))) + 1)::int recall_segment, md5(unnest(l)) text_md5 from (select item_id, {_sql_lines('text')} l from benchmark)")
+def segment_csv_round_trip(spark, sf_dir):
+    """Lines of items as segment CSV files, read by the CSV reader."""
+    from tessera.sources import shared, sinks
+
+    story, _ = _stories(spark, sf_dir)
+    top = shared.shared_dir(spark)
+    sinks.write_segment_csv(story.withColumnRenamed("item_id", "stem"), top)
+    rows = spark.read.schema("recall_segment int, story_segment string, text string, stem string").csv(top, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.select(F.col("stem").cast(story.schema["item_id"].dataType).alias("item_id"), "recall_segment", F.md5(F.col("text").cast("binary")).alias("text_md5"))

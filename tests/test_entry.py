@@ -53,10 +53,25 @@ def test_without_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=to, env={**os.environ, "PYTHONPATH": str(to)}, check=True)
 
 
-def test_verbatim_cover_takes_every_document(spark, tmp_path):
+def test_without_what_corpus_operators_need(tmp_path):
+    """Where a library that only they need is missing, all other queries are still there."""
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and not [x for x in q if x[:2] == 'op']; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=HERE, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{HERE}"}, check=True)
+
+
+def test_cover_and_segmentation_equal_sql(spark, tmp_path):
+    import duckdb
+
     from tessera import queries as q
 
-    texts = [(3, "a\nb"), (4, "a\nb"), (5, "a\nb"), (6, None), (7, ""), (8, "one line"), (10, " one line "), (11, "\n\n")]
+    lines = ["a", "b c", " d ", "e\tf", "g\u00a0h", "x" * 30]
+    texts = [(k, "\n".join(lines[: k % 7]) + ("\n\n" if k % 3 else "")) for k in range(40)] + [(40, None), (41, ""), (43, "one line"), (46, " one line "), (47, "\n\n")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = dict(map(tuple, q.verbatim_cover_every_document(spark, str(tmp_path)).collect()))
-    assert got == {3: -1, 4: 1, 5: 0, 6: -1, 7: -1, 8: -1, 10: -1, 11: -1}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("verbatim_cover", "model_segmentation"):
+        got = getattr(q, name)(spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({q.oracle_sql()[name]})").fetchall()
+        rows = sorted(map(tuple, got.collect()), key=str)
+        assert rows == sorted(want, key=str) and len({r[1] for r in rows}) > 1
