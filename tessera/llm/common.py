@@ -6,14 +6,13 @@ many small records (hash, document, position) travel as byte-plane packed blobs:
 one row for each slice and target, a third of the bytes of plain rows.
 
 Every operator takes doc_id as a long. Rows without doc_id have no identity to
-report on and are left out; rows that share a doc_id count as one document.
+report on and are left out.
 """
 
 from __future__ import annotations
 
 import ctypes
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import drop_stash, shared_dir, stash  # noqa: F401
+
 SPACES = (0x20, *range(0x09, 0x0E))
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = "4m"
+MOST_PARTITIONS = 1 << 16
+SPLIT_BYTES = 16 << 20
+MOST_TASKS = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -273,7 +277,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 20) -> int:
+def parts_for(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 30) -> int:
     """How many parts an exchange of a table's words gets; at least as many as Spark's shuffles. Where Catalyst knows no size the texts are measured."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(df)
@@ -282,27 +286,98 @@ def parts_for(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 20) ->
     return max(1, min(most, max(conf, size // bytes_each)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder where all executors can read and write: below spark.checkpoint.dir."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+def pack_by_part(h: np.ndarray, doc: np.ndarray, extra: np.ndarray, parts: int):
+    """(part, blob) of records with a hash, in its order, a document and a number."""
+    cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        a, b = cut[p], cut[p + 1]
+        docs, idx = np.unique(doc[a:b], return_inverse=True)
+        yield int(p), encode(deltas(h[a:b]), deltas(docs), idx, extra[a:b])
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
+def unpack(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, number) of the records of packed blobs."""
+    h, doc, extra = [], [], []
+    for b in blobs:
+        x, docs, idx, e = decode(b)
+        h.append(np.cumsum(x, dtype=U64))
+        doc.append(np.cumsum(docs).astype(np.int64)[idx.astype(np.int64)])
+        extra.append(e.astype(np.int64))
+    return tuple(np.concatenate(x) for x in (h, doc, extra))
+
+
+def repack(kind: int, blobs: list, parts: int):
+    """The records of some blobs, packed for finer parts."""
+    h, doc, extra = unpack(blobs)
+    order = np.argsort(h, kind="stable")
+    yield from pack_by_part(h[order], doc[order], extra[order], parts)
+
 
+def _split(schema: pa.Schema, packed: tuple, merge, fine: int, inner: int, most_bytes: int):
+    """Rows of a partition for its finer parts: records of packed kinds are dealt anew, a bounded number of bytes at a time."""
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stash that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def run(batches):
+        held, size, turn = {}, 0, 0
+
+        def flush():
+            out = [[], [], []]
+            for kind, blobs in held.items():
+                for p, blob in merge(kind, blobs, fine):
+                    for col, v in zip(out, (p, kind, blob), strict=True):
+                        col.append(v)
+            return rows(schema, *out)
+
+        for b in batches:
+            through = [[], [], []]
+            for part, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind in packed:
+                    held.setdefault(kind, []).append(blob)
+                    size += len(blob)
+                else:  # these meet in no part, any will do
+                    turn += 1
+                    for col, v in zip(through, (part * inner + turn % inner, kind, blob), strict=True):
+                        col.append(v)
+            yield rows(schema, *through)
+            if size >= most_bytes:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _by_part(f):
+    """f over the rows of each part, where rows come in the order of parts."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            part = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, z in zip(cut, cut[1:], strict=False):
+                if held and z > a and held[0].column(0)[0].as_py() != part[a]:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def exchange(routed, parts: int, f, schema: str, out: str, packed: tuple, merge=repack) -> DataFrame:
+    """f over the rows (part, kind, blob) of each part, one shuffle whatever the number of parts.
+
+    routed(n) gives the rows for n parts. A scan flush makes a blob for each part, so parts that
+    grow with the input would leave blobs of a record or two. Spark gets MOST_PARTITIONS at most;
+    beyond that a partition's records are dealt to its own finer parts after the shuffle, and
+    sorted by part by Spark, which spills.
+    """
+    coarse = min(parts, MOST_PARTITIONS)
+    inner = -(-parts // coarse)
+    dealt = routed(coarse).repartition(coarse, "part")
+    if inner == 1:
+        return dealt.groupBy("part").applyInArrow(f, out)
+    return dealt.mapInArrow(_split(arrow(schema), packed, merge, coarse * inner, inner, SPLIT_BYTES), schema).sortWithinPartitions("part").mapInArrow(_by_part(f), out)

@@ -423,7 +423,7 @@ def _meet(group):
 
 def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, parts = docs.sparkSession, C.parts_for(docs, PART_BYTES)
+    spark, parts = docs.sparkSession, C.parts_for(docs, PART_BYTES, C.MOST_TASKS)
     fold = C.fold_of(F.col("doc_id"), folds)
     texts = C.texts_of(docs).select("doc_id", "text", (fold != held_out).alias("train"))
     by_part = lambda df: df.repartition(parts, "part").groupBy("part")

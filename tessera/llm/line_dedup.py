@@ -229,6 +229,49 @@ def join_variants(key, pos, doc, line):
     return at[np.r_[one, two]], at[np.r_[lead[one], against[two]]]
 
 
+def _rows(out: list, kind: int, part: np.ndarray, parts: int, blob) -> None:
+    """A row for each part, blob(r) of the records r that go there, in order."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        r = order[cut[p] : cut[p + 1]]
+        for col, v in zip(out, (int(p), kind, blob(r)), strict=True):
+            col.append(v)
+
+
+def _put_short(out, parts, docs, doc, line, key, second):
+    o = np.argsort(key, kind="stable")
+    _rows(out, SHORT, C.part_of(key[o], parts), parts, lambda r: docs.pack(doc[o[r]], line[o[r]], C.deltas(key[o[r]]), second[o[r]]))
+
+
+def _put_halves(out, parts, docs, doc, line, half, at, n, words):
+    o = np.argsort(half, kind="stable")
+
+    def blob(r):
+        r = o[r]
+        return docs.pack(doc[r], line[r], C.deltas(half[r]), n[r]) + C.encode(words[C.ranges(at[r], n[r])])
+
+    _rows(out, HALVES, C.part_of(half[o], parts), parts, blob)
+
+
+def _put_variants(out, parts, docs, doc, line, key, pos, second):
+    o = np.argsort(key, kind="stable")
+    _rows(out, VARIANTS, C.part_of(key[o], parts), parts, lambda r: docs.pack(doc[o[r]], line[o[r]], C.deltas(key[o[r]]), pos[o[r]], second[o[r]]))
+
+
+def _repack(kind: int, blobs: list, parts: int):
+    """The records of some blobs, packed for finer parts."""
+    out = [[], [], []]
+    docs, doc, (line, key, *rest) = unpack(blobs)
+    if kind == HALVES:
+        n, words = rest[0].astype(np.int64), rest[1]
+        _put_halves(out, parts, docs, doc, line, key, np.cumsum(n) - n, n, words)
+    else:
+        (_put_short if kind == SHORT else _put_variants)(out, parts, docs, doc, line, key, *rest)
+    for p, _, blob in zip(*out, strict=True):
+        yield p, blob
+
+
 def _scan(parts: int, min_words: int, near: int, hot):
     schema = C.arrow(_ROUTED)
 
@@ -237,37 +280,20 @@ def _scan(parts: int, min_words: int, near: int, hot):
         (docs, row, counts), lines = some.take()
         owner = docs.part(parts)
 
-        def put(kind, part, blob):
-            """A row for each part, blob(r) of the records r that go there, in order."""
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)):
-                r = order[cut[p] : cut[p + 1]]
-                for col, v in zip(out, (int(p), kind, blob(r)), strict=True):
-                    col.append(v)
-
         def places(kind, doc, line):
-            put(kind, owner[doc], lambda r: docs.pack(doc[r], line[r]))
+            _rows(out, kind, owner[doc], parts, lambda r: docs.pack(doc[r], line[r]))
 
         places(LINES, row, counts)
         (doc, line, n, words), gone = distinct_lines(*lines)
         places(TOLD, *gone)
         which, h, second = short_records(n, words, near)
-        o = np.argsort(h, kind="stable")
-        which, h, second = which[o], h[o], second[o]
-        put(SHORT, C.part_of(h, parts), lambda r: docs.pack(doc[which[r]], line[which[r]], C.deltas(h[r]), second[r]))
+        _put_short(out, parts, docs, doc[which], line[which], h, second)
         which, half, at, size = half_records(n, words, near)
         is_hot = np.isin(half, hot.value)
-        hot_ones, plain = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
-        plain = plain[np.argsort(half[plain], kind="stable")]
-
-        def line_blob(r):
-            r = plain[r]
-            return docs.pack(doc[which[r]], line[which[r]], C.deltas(half[r]), size[r]) + C.encode(words[C.ranges(at[r], size[r])])
-
-        put(HALVES, C.part_of(half[plain], parts), line_blob)
-        if len(hot_ones):
-            r = hot_ones
+        r = np.flatnonzero(~is_hot)
+        _put_halves(out, parts, docs, doc[which[r]], line[which[r]], half[r], at[r], size[r], words)
+        r = np.flatnonzero(is_hot)
+        if len(r):
             record, key, pos = variants(half[r], at[r], size[r], words)
             _, second, _ = variants(C.mix(half[r] + _SECOND), at[r], size[r], C.mix(words + _SECOND))
             record = which[r][record]
@@ -278,8 +304,7 @@ def _scan(parts: int, min_words: int, near: int, hot):
             later = record[o[(doc[record[o]] != doc[record[lead_of]]) | (line[record[o]] != line[record[lead_of]])]]
             places(TOLD, doc[later], line[later])
             v = o[lead]
-            v_rec = record[v]
-            put(VARIANTS, C.part_of(key[v], parts), lambda r: docs.pack(doc[v_rec[r]], line[v_rec[r]], C.deltas(key[v[r]]), pos[v[r]], second[v[r]]))
+            _put_variants(out, parts, docs, doc[record[v]], line[record[v]], key[v], pos[v], second[v])
         return C.rows(schema, *out)
 
     def run(batches):
@@ -405,16 +430,17 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(scout)) == 0).mapInArrow(_scout(min_words, near_words), "half long").groupBy("half").count()
     hot = seen.where(F.col("count") >= hot_lines).orderBy(F.desc("count"), "half").limit(MOST_HOT).toArrow()["half"].to_numpy().astype(np.int64)
     shared = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
-    routed = texts.mapInArrow(_scan(parts, min_words, near_words, shared), _ROUTED)
-    told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_join, _VERDICT)
+    told = C.exchange(lambda n: texts.mapInArrow(_scan(n, min_words, near_words, shared), _ROUTED), parts, _join, _ROUTED, _VERDICT, (HALVES, SHORT, VARIANTS), _repack)
     by_doc = told.groupBy("doc_id", "text_crc32").agg(F.max("n_lines").alias("n_lines"), F.collect_list("removed").alias("removed"))
     return by_doc.mapInArrow(_sum_up, "doc_id long, text_crc32 long, n_lines long, removed array<int>")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs without the removed lines; all columns and rows stay, n_chars follows the text.
+    """docs without the removed lines; all columns stay, n_chars follows the text.
 
-    Verdicts meet rows on doc_id and the text's checksum. Every row stays, without words too.
+    Verdicts meet rows on doc_id and the text's checksum. A document all of whose words were in
+    removed lines goes with them: earlier documents hold all of it. Others stay, those without
+    words from the start too.
     """
     text = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").cast("long").alias("d"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("c"))
@@ -422,6 +448,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
     joined = rows.join(verdicts, F.when(F.col("key.d").isNotNull(), F.col("key")) == F.col("k"), "left")
     kept = F.array_join(F.filter(F.split(F.col("row.text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    joined = joined.where(F.col("lines").isNull() | kept.rlike("[^ \\t-\\r]"))
     own = {c: F.col("row").getField(c) for c in docs.columns}
     new = {**own, "text": kept.cast(docs.schema["text"].dataType)}
     if "n_chars" in own:

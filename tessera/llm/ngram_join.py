@@ -125,25 +125,6 @@ def _prefix(n, k, percent):
     return np.repeat(first - np.r_[0, np.cumsum(p)[:-1]], p) + np.arange(len(owner)), owner
 
 
-def _pack_by_part(h, doc, extra, parts):
-    """h is in order."""
-    cut = np.searchsorted(C.part_of(h, parts), np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        a, b = cut[p], cut[p + 1]
-        docs, idx = np.unique(doc[a:b], return_inverse=True)
-        yield int(p), C.encode(C.deltas(h[a:b]), C.deltas(docs), idx, extra[a:b])
-
-
-def _unpack(blobs):
-    h, doc, extra = [], [], []
-    for b in blobs:
-        x, docs, idx, e = C.decode(b)
-        h.append(np.cumsum(x, dtype=C.U64))
-        doc.append(np.cumsum(docs).astype(np.int64)[idx.astype(np.int64)])
-        extra.append(e.astype(np.int64))
-    return (np.concatenate(x) for x in (h, doc, extra))
-
-
 def _by_hash(h, doc):
     """order by (h, doc); the first of each hash; whether its hash is there twice."""
     order = np.lexsort((doc, h))
@@ -180,7 +161,7 @@ def _scan(parts: int, gram: int, percent: int):
         told, count = np.unique(doc[twice], return_counts=True)
         for p, d, c in C.by_owner(C.part_of_id(told, parts), told, count):
             put(int(p), LOCAL, C.encode(C.deltas(d), c))
-        for p, blob in _pack_by_part(h[lead], doc[lead], twice[lead], parts):
+        for p, blob in C.pack_by_part(h[lead], doc[lead], twice[lead], parts):
             put(p, PACKED, blob)
         return C.rows(schema, *out)
 
@@ -213,7 +194,7 @@ def _count(part):
             d, *cols = (x.view(np.int64) for x in C.decode(blob))
             out.append(C.rows(schema, d, *cols, [None] * len(d)))
     if packed:
-        h, doc, dup = _unpack(packed)
+        h, doc, dup = C.unpack(packed)
         order, _, twice = _by_hash(h, doc)
         doc = doc[order][twice & (dup[order] == 0)]
         docs.append(doc)
@@ -328,7 +309,7 @@ def _prefixes(parts: int, percent: int):
         h, doc = h[order], doc[order]
         lead_doc = doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
         star = np.unique(np.stack([lead_doc[~lead], doc[~lead]], 1), axis=0)
-        packed = list(_pack_by_part(h[lead], doc[lead], np.zeros(lead.sum(), np.int64), parts))
+        packed = list(C.pack_by_part(h[lead], doc[lead], np.zeros(lead.sum(), np.int64), parts))
         none = [None] * len(packed)
         stars = C.rows(schema, C.part_of_id(star[:, 0], parts), star[:, 0], star[:, 1], [None] * len(star))
         return pa.Table.from_batches([stars, C.rows(schema, [p for p, _ in packed], none, none, [b for _, b in packed])])
@@ -342,7 +323,7 @@ def _stars(part):
     blobs = part["blob"].drop_null().to_pylist()
     pairs = [np.stack([a, b], 1)]
     if blobs:
-        h, doc, _ = _unpack(blobs)
+        h, doc, _ = C.unpack(blobs)
         order, lead, _ = _by_hash(h, doc)
         doc = doc[order]
         lead_doc = doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
@@ -506,7 +487,7 @@ def _blocks(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
 def linked_classes(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, count: bool = False) -> DataFrame:
     """node, component, links of the sets (node, n, copies, hashes) that link with another."""
-    placed = C.stash(sets.join(_blocks(sets, percent, C.parts_for(sets)), "node"))
+    placed = C.stash(sets.join(_blocks(sets, percent, C.parts_for(sets, most=C.MOST_TASKS)), "node"))
     subs = F.ceil(F.greatest(F.sum("n") * 8 / block_bytes, F.count("*") / block_sets)).cast("int")
     large = placed.groupBy("block").agg(subs.alias("subs")).where("subs > 1")
     placed = placed.join(large, "block", "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
@@ -525,8 +506,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block_bytes: int = B
 def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, count_links: bool = False) -> DataFrame:
     """doc_id, text_crc32, n_shingles, component_id, component_crc32 (the checksum of the document that the component is named by) and, if counted, n_links."""
     texts, parts = C.texts_of(docs), C.parts_for(docs)
-    routed = texts.mapInArrow(_scan(parts, gram, percent), _ROUTED)
-    told = C.stash(routed.repartition(parts, "part").groupBy("part").applyInArrow(_count, _TOLD))
+    told = C.stash(C.exchange(lambda n: texts.mapInArrow(_scan(n, gram, percent), _ROUTED), parts, _count, _ROUTED, _TOLD, (PACKED,)))
     shared = told.where("shared is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     every = told.where("shared is null").select("doc_id", "crc", "n", "fp1", "fp2").distinct()
     keys = ["n", "fp1", "fp2"]

@@ -85,14 +85,9 @@ def _scan(window: int, parts: int, shards: int):
         lead_of = np.zeros(len(h), bool)
         lead_of[at[lead]] = True
         h, doc, start, dup = h[keep], doc[keep], start[keep], lead_of[keep]
-        part = C.part_of(h, parts)
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cut)):
-            a, b = cut[p], cut[p + 1]
-            docs, idx = np.unique(doc[a:b], return_inverse=True)
-            out[0].append(int(p))
-            out[1].append(-1)
-            out[2].append(C.encode(C.deltas(h[a:b]), C.deltas(docs), idx, start[a:b] * 2 + dup[a:b]))
+        for p, blob in C.pack_by_part(h, doc, start * 2 + dup, parts):
+            for col, v in zip(out, (p, -1, blob), strict=True):
+                col.append(v)
         return C.rows(schema, *out)
 
     def run(batches):
@@ -118,18 +113,15 @@ def _confirm(shards: int):
 
     def run(part):
         out = [[], [], []]
-        hs, ds, ss = [], [], []
+        packed = []
         for shard, blob in zip(part["shard"].to_pylist(), part["blob"].to_pylist(), strict=True):
             if shard >= 0:
                 for x, y in zip(out, (shard, False, blob), strict=True):
                     x.append(y)
             else:
-                h, docs, idx, start = C.decode(blob)
-                hs.append(np.cumsum(h, dtype=np.uint64))
-                ds.append(np.cumsum(docs).astype(np.int64)[idx.astype(np.int64)])
-                ss.append(start.astype(np.int64))
-        if hs:
-            h, doc, start = np.concatenate(hs), np.concatenate(ds), np.concatenate(ss)
+                packed.append(blob)
+        if packed:
+            h, doc, start = C.unpack(packed)
             order = np.argsort(h, kind="stable")
             h = h[order]
             same = h[1:] == h[:-1]
@@ -240,9 +232,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces as kept_text."""
     texts = C.texts_of(docs)
     parts = C.parts_for(docs)
-    shards = parts | 1
-    routed = texts.mapInArrow(_scan(window, parts, shards), _ROUTED)
-    told = routed.repartition(parts, "part").groupBy("part").applyInArrow(_confirm(shards), _TOLD)
+    shards = min(parts, C.MOST_TASKS) | 1
+    told = C.exchange(lambda n: texts.mapInArrow(_scan(window, n, shards), _ROUTED), parts, _confirm(shards), _ROUTED, _TOLD, (-1,))
     none = F.lit(None)
     rows = told.select("shard", F.when(F.col("first"), 1).otherwise(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "blob").unionByName(
         texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "doc_id", "text", none.cast("binary").alias("blob"))

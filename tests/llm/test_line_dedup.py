@@ -78,9 +78,9 @@ def test_hot_halves_travel_as_variants(spark):
 
 def test_text_and_columns(spark):
     line = "one two three four five six seven eight nine"
-    rows = [(1, f"{line}\n\nshort line"), (2, f"start of it\n{line} ten\nshort line\n"), (None, line), (3, None), (3, None)]
+    rows = [(1, f"{line}\n\nshort line"), (2, f"start of it\n{line} ten\nshort line\n"), (None, line), (3, None), (3, None), (4, f" \n{line}\n\t\u00a0"), (5, "\n"), (6, f"{line}\n \r")]
     out = sorted(L.dedup_lines(frame(spark, rows)).collect(), key=str)
-    assert len(out) == 5 and out[0].asDict().keys() == {"doc_id", "text", "n_chars", "removed"}
+    assert len(out) == 7 and {r.doc_id for r in out} == {None, 1, 2, 3, 4, 5}  # nothing is left of 6 and out[0].asDict().keys() == {"doc_id", "text", "n_chars", "removed"}
     by = {r.doc_id: r for r in out}
     assert by[1].text == rows[0][1]
     assert by[2].text == "start of it\n" and by[2].n_chars == len(by[2].text)
@@ -140,7 +140,7 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
     line, other = "one two three four five six seven eight nine", "this other row holds a wholly different line of words"
     rows = [(0, line), (1, line), (1, other), (1, other), (2, f"{other}\nnew")]
     out = sorted((r.doc_id, r.text) for r in L.dedup_lines(frame(spark, rows)).collect())
-    assert out == [(0, line), (1, ""), (1, other), (1, other), (2, "new")]
+    assert out == [(0, line), (1, other), (1, other), (2, "new")]  # the copy of 0 is gone whole
     verdicts = {(r.doc_id, r.text_crc32): list(r.removed) for r in L.line_verdicts(frame(spark, rows)).collect()}
     crc = lambda t: zlib.crc32(t.encode())
     assert verdicts == {(0, crc(line)): [], (1, crc(line)): [0], (1, crc(other)): [], (2, crc(f"{other}\nnew")): [0]}
@@ -157,3 +157,11 @@ def test_columns_that_clash(spark):
 def test_strided_ids_use_all_parts():
     docs = L.Docs(np.arange(0, 5000, 5), np.zeros(1000, int))
     assert np.bincount(docs.part(5), minlength=5).min() > 150
+
+
+def test_more_parts_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_PARTITIONS", 3)
+    rows = corpus(5)
+    assert got(frame(spark, rows)) == brute(rows)
+    monkeypatch.setattr(C, "SPLIT_BYTES", 2000)
+    assert got(frame(spark, rows), scout=1, hot_lines=2) == brute(rows)

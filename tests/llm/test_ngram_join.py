@@ -190,3 +190,10 @@ def test_ids_beyond_the_integers_of_doubles(spark):
     rows = [(2**60 + 3 * i, " ".join([*words[:i], "new", *words[i + 1 :]])) for i in range(0, 60, 7)]
     rows += [(2**60 + 1 + 3 * i, " ".join(words)) for i in range(3)]
     assert got(frame(spark, rows)) == brute(rows)
+
+
+def test_more_parts_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(C, "SPLIT_BYTES", 2000)
+    rows = corpus(6, 30)
+    assert got(frame(spark, rows)) == brute(rows)

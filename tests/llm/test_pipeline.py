@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 
 from . import test_line_dedup, test_ngram_join, test_small_operators
-from .fixtures import ODD_TEXTS
+from .fixtures import ODD_TEXTS, WORD
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,6 +32,12 @@ def folder(spark, tmp_path_factory):
     docs += [(1000 + d, docs[d][1]) for d in range(0, 60, 2)] + [(2000 + d, docs[d][1] + " tail end") for d in range(0, 60, 3)]
     short = "\n".join(text(4) for _ in range(30))  # lines too short for line dedup
     docs += [(4000 + i, short + f"\n{text(3)}") for i in range(6)]
+    long = [r.choice(vocab) for _ in range(200)]
+    for i in range(8):  # near copies, further than one edit from each other
+        words = list(long)
+        for k in (3 * i + 10, 3 * i + 100):
+            words[k] = f"own{i}"
+        docs.append((5000 + i, " ".join(words)))
     docs += [(3000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, text(20))]
     top = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], COLUMNS).repartition(3).write.parquet(f"{top}/documents.parquet")
@@ -65,6 +71,7 @@ def test_each_stage(spark, folder, tmp_path):
         elif name == "line_dedup":
             gone = test_line_dedup.brute(list(held.items()))
             want = {d: x if not gone.get(d) else "\n".join(y for i, y in enumerate(x.split("\n")) if i not in gone[d]) for d, x in held.items()}
+            want = {d: x for d, x in want.items() if not gone.get(d) or WORD.search(x)}
         elif name == "ngram_jaccard_join":
             group = test_ngram_join.brute(list(held.items()))
             want = {d: x for d, x in held.items() if d is None or group[d][1] == d}
@@ -72,7 +79,7 @@ def test_each_stage(spark, folder, tmp_path):
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{top}/benchmark.parquet").collect()]
             want = {d: x for d, x in held.items() if not test_small_operators.hits(x, bench)[-1]}
         assert now == want and len(rows) == frame.count()
-        assert len(want) < len(held) or name == "line_dedup"
+        assert len(want) < len(held)
         held = now
 
 
@@ -84,6 +91,39 @@ def test_run_and_empty(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_columns_repeated_ids_and_nulls(spark, folder, tmp_path):
+    """Every stage on odd rows: names that operators use, rows that share an id, nulls in any column, a very long text."""
+    top, *_ = folder
+    rows = [(9001, "a b c d e f", "en", "s", 11), (9001, "a b c d e f", "en", "s", 11), (9001, "of its own kind", None, None, None), (9002, None, None, "s", None), (None, "no id " * 5, "en", None, 30), (None, None, None, None, None), (9003, "word " * 60_000, "en", "s", 300_000), (9004, "", "en", "s", 0)]
+    plain = spark.createDataFrame(rows, COLUMNS)
+    clash = plain
+    names = "__id __removed row key lines k gone id bad n_words part blob score length packer turn".split()
+    for c in names:
+        clash = clash.selectExpr("*", f"'x' `{c}`")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, clash, top)
+        assert out.columns == clash.columns, name
+        got = sorted(map(str, out.select(plain.columns).collect()))
+        assert got == sorted(map(str, stage(spark, plain, top).collect())), name
+        assert all(r == "x" for r in out.select(names).distinct().first())
+        kept = [r for r in out.collect() if r.doc_id == 9001]
+        assert {r.text for r in kept} == {"a b c d e f", "of its own kind"} and len(kept) == (2 if name == "ngram_jaccard_join" else 3), name
+        assert out.where("doc_id is null").count() == 2
+        assert stage(spark, clash.limit(0), top).count() == 0
+    assert P.pack(spark, clash, top).where("doc_id = 9001").count() == 3
+
+
+def test_stages_leave_nothing_but_the_last_ones_tables(spark, folder, tmp_path, monkeypatch):
+    import glob
+
+    from tessera.sources import shared
+
+    top, *_ = folder
+    monkeypatch.setattr(shared, "shared_dir", lambda spark, n=iter(range(10**6)): f"{tmp_path}/t{next(n)}")
+    assert P.run(spark, top).count() > 100
+    assert len(glob.glob(f"{tmp_path}/t*")) <= 2  # the last stage's input and its pieces
+
+
 def test_repeated_rows_are_one_document(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13)] * 2 + [(None, "x", "en", "s", 1)] * 2, COLUMNS)
     from tessera.llm.ngram_join import one_of_each

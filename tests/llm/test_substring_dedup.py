@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from tessera.llm import common as C
 from tessera.llm.substring_dedup import substring_dedup
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,3 +82,11 @@ def test_kept_text(spark):
     rows = [(1, "p q r s t " * 5), (2, "z " + "p q r s t " * 5)]
     text = {r.doc_id: r.kept_text for r in substring_dedup(spark.createDataFrame(rows, SCHEMA), with_text=True).collect()}
     assert text[2] == "z"
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 24, 2000])
+def test_more_parts_than_partitions(spark, monkeypatch, split_bytes):
+    monkeypatch.setattr(C, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(C, "SPLIT_BYTES", split_bytes)
+    rows = corpus()
+    assert got(substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
