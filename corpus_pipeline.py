@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import common as C
 from tessera.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from tessera.llm.queries import vocabulary
+from tessera.sources.shared import drop_stash, keep, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go; every document stays."""
+    """Lines that repeat an earlier line go, long ones within one edit of one too; documents of which nothing is left go, others stay."""
     return line_dedup.dedup_lines(docs)
 
 
@@ -41,9 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = C.stash(docs)
-    return docs
+    """Each stage's output is written and read again; what a stage left in the shared folder goes once its output is written, and its input once the next one's is."""
+    docs, before = C.read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch():
+            out = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_stash(before)
+        docs = before = out
+    return STAGES[-1][1](spark, docs, sf_dir)
