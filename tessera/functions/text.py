@@ -42,6 +42,11 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(text, f"(?U){SPACE}+", -1), lambda x: x != "")
 
 
+def gaps(text: Column | str) -> Column:
+    """The runs of white space."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?U){SPACE}+"), F.lit(0)), F.array().cast("array<string>"))
+
+
 def word_windows(words: Column, width: int = 55, step: int = 21) -> Column:
     """Windows of words, the last ones shorter; none without words."""
     starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))

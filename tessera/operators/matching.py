@@ -31,21 +31,42 @@ def lexical_matches(docs: DataFrame, items: DataFrame, doc_key: str, item_key: s
     return counted.where(F.col("score") >= least)
 
 
+def _holders(units: DataFrame, wanted: DataFrame, doc_key: str, item_key: str) -> DataFrame | None:
+    """doc_key, item_key where a unit (doc_key, word) of the document holds the item's piece: pieces of the distinct units, of just the lengths that are wanted, meet them on equal keys."""
+    lengths = sorted(r[0] for r in wanted.select(F.length("piece")).distinct().collect())  # lengths of words or gaps: a few numbers
+    if not lengths:
+        return None
+    none, size = F.array().cast("array<string>"), F.char_length("word")
+
+    def of(n):
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("word", i, F.lit(n)))).otherwise(none) if n else F.array(F.lit(""))
+
+    distinct = units.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(of, lengths)))).alias("piece"))
+    return units.join(distinct.join(wanted, "piece").select(item_key, "word"), "word").select(doc_key, item_key)
+
+
 def containment(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, column: str = "text") -> DataFrame:
     """doc_key, item_key where the document holds the item verbatim.
 
     An item's inner words are whole words of the document, so documents and items meet on the
-    item's longest inner word; items without one (two words at most) are looked for in all.
+    item's longest inner word. The words of an item of one or two may be parts of the
+    document's: its longer one is looked for in the distinct words of the documents. An item
+    of white space alone is looked for in their distinct gaps. All joins are on equal keys.
     """
-    clean = items.where(f"{column} is not null").select(item_key, F.col(column).alias("item_text"))
-    inner = F.slice(text.words("item_text"), 2, F.greatest(F.size(text.words("item_text")) - 2, F.lit(0)))
-    longest = F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word"))))
-    keyed = clean.withColumn("word", F.get(longest, F.lit(0))["word"])
-    doc_words = docs.select(doc_key, F.explode(F.array_distinct(text.words(column))).alias("word"))
-    pairs = doc_words.join(keyed.where("word is not null"), "word").select(doc_key, item_key).distinct()
-    long = pairs.join(docs.select(doc_key, F.col(column).alias("doc_text")), doc_key).join(clean, item_key)
-    short = docs.select(doc_key, F.col(column).alias("doc_text")).join(keyed.where("word is null").drop("word"), F.contains("doc_text", "item_text"))
-    return long.where(F.contains("doc_text", "item_text")).select(doc_key, item_key).unionByName(short.select(doc_key, item_key))
+    clean = items.where(F.col(column).isNotNull()).select(item_key, F.col(column).alias("item_text"), text.words(column).alias("_words"))
+    inner = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
+    longest = lambda ws: F.get(F.array_sort(F.transform(ws, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), F.lit(0))["word"]
+    words = docs.select(doc_key, F.explode(F.array_distinct(text.words(column))).alias("word"))
+    gaps = docs.where(F.col(column).isNotNull()).select(doc_key, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), text.gaps(column)))).alias("word"))
+    pairs = words.join(clean.where(F.size("_words") > 2).select(item_key, longest(inner).alias("word")), "word").select(doc_key, item_key)
+    for units, wanted in (
+        (words, clean.where(F.size("_words").isin(1, 2)).select(item_key, longest(F.col("_words")).alias("piece"))),
+        (gaps, clean.where(F.size("_words") == 0).select(item_key, F.col("item_text").alias("piece"))),
+    ):
+        more = _holders(units, wanted, doc_key, item_key)
+        pairs = pairs if more is None else pairs.unionByName(more)
+    met = pairs.distinct().join(docs.select(doc_key, F.col(column).alias("doc_text")), doc_key).join(clean.drop("_words"), item_key)
+    return met.where(F.contains("doc_text", "item_text")).select(doc_key, item_key)
 
 
 def parse_attempts(attempts: DataFrame, n_story) -> DataFrame:

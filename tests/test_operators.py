@@ -193,3 +193,15 @@ def test_fill_count_offset(spark):
     made = segments.by_subject(spark.createDataFrame([("g", "s2", 1, "b"), ("g", "s2", 0, "a"), ("g", "s1", 0, "c")], "g string, s string, i int, text string"), ["g"], "s", "i").first()
     assert made.subjects == {"s1": ["c"], "s2": ["a", "b"]} and list(made.subjects) == ["s1", "s2"]
     assert rows.select(F.count("*")).first()[0] == 4
+
+
+def test_containment_equals_a_plain_search(spark):
+    from tessera.operators import matching
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(["ab", "abc", "cab", "b", "xabx", "é", "c\tab"]) for _ in range(r.randint(0, 6)))) for i in range(60)] + [(99, None)]
+    items = [(i, x) for i, x in enumerate(["ab", "b c", "ab ab", "abc b cab", " ab", "é ", "c\tab b", "", " ", "zz", None, "a", "ab abc b xabx"])]
+    got = matching.containment(spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i")
+    assert sorted(map(tuple, got.collect())) == sorted((d, i) for d, t in docs for i, x in items if t is not None and x is not None and x in t)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
