@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .decontamination import decontaminate
 from .host_rules import host_rules
+from .importance_resampling import importance_resample
 from .language_model import deleted_interpolation
 from .line_dedup import line_verdicts
 from .ngram_join import ngram_join
@@ -70,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
