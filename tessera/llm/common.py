@@ -146,6 +146,23 @@ def slices(batches, limit: int = SLICE_BYTES):
     release()
 
 
+def pieces(text: bytes, seps: np.ndarray, limit: int = SLICE_BYTES) -> list[bytes]:
+    """A text cut before separators into pieces of at most limit bytes; only a word that is longer makes a longer piece, of its own."""
+    if len(text) <= limit:
+        return [text]
+    gap = np.flatnonzero(seps[np.frombuffer(text, np.uint8)])
+    out, a = [], 0
+    while len(text) - a > limit:
+        k = np.searchsorted(gap, a + limit, "right") - 1
+        if k < 0 or gap[k] <= a:  # a word that begins here and goes on beyond the limit
+            k += 1
+        if k >= len(gap):
+            break
+        out.append(text[a : gap[k]])
+        a = int(gap[k])
+    return [*out, text[a:]]
+
+
 def ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The indexes at[0]..at[0]+n[0]-1, at[1].., one after another."""
     out = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n)

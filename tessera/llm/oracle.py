@@ -68,4 +68,16 @@ min(case when pos <> -1 and n > {NEAR_WORDS} then doc_id * 1000000 + line end) o
 gone as (select distinct doc_id, line from f where same < place or (pos = -1 and n >= {NEAR_WORDS} and longer < place) or (pos <> -1 and n > {NEAR_WORDS} and whole < place))
 select d.doc_id, len(string_split(coalesce(text, ''), chr(10))) n_lines, count(line) n_removed, coalesce(string_agg(line::varchar, ',' order by line), '') removed_lines from documents d left join gone using (doc_id) where d.doc_id is not null group by d.doc_id, text"""
 
-SQL = {"op1_substring_dedup": OP1, "op5_winnowing_decontamination": OP5, "op6_host_rules": OP6, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9}
+_OP11_TERMS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""
+with d as (select row_number() over () r, doc_id, {_OP11_TERMS} w from documents where doc_id is not null),
+n as (select r, doc_id, len(w)::bigint n from d where len(w) > 0),
+s as (select count(*) docs, sum(n)::bigint terms from n),
+i as (select item_id, t, count(*) times from (select item_id, unnest({_OP11_TERMS}) t from (select distinct item_id, text from benchmark where item_id is not null)) group by all),
+p as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from i) group by all),
+f as (select t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint weight from p, s group by t, docs),
+x as (select r, doc_id, 100 - 75 + (75 * n * docs) // terms m from n, s),
+score as (select item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from i join f using (t) join p using (t) join x using (r) group by item_id, r, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from score where score > 0 qualify "rank" <= 10"""
+
+SQL = {"op1_substring_dedup": OP1, "op5_winnowing_decontamination": OP5, "op6_host_rules": OP6, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9, "op11_lexical_search": OP11}

@@ -12,6 +12,7 @@ from .decontamination import decontaminate
 from .host_rules import host_rules
 from .importance_resampling import importance_resample
 from .language_model import deleted_interpolation
+from .lexical_search import lexical_search
 from .line_dedup import line_verdicts
 from .ngram_join import ngram_join
 from .oracle import SQL
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
 
