@@ -17,6 +17,7 @@ from .line_dedup import line_verdicts
 from .ngram_join import ngram_join
 from .oracle import SQL
 from .packing import pack_documents
+from .pii import KINDS, find_pii
 from .sharding import kd_shards
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -76,6 +77,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the base spans; spans has the tagger's too."""
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = find_pii(C.read(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS)
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
 
