@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's notions of white space and of line ends, as Java regexes.
 SPACE = r"[\s\x1c-\x1f]"
+_NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\u0085\\u2028\\u2029]"
 
 
@@ -15,7 +17,8 @@ def strip(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    return strip(text) == ""
+    """No character that is not white space."""
+    return ~F.col(text).rlike(_NOT_SPACE) if isinstance(text, str) else ~text.rlike(_NOT_SPACE)
 
 
 def collapse_space(text: Column | str) -> Column:
@@ -82,21 +85,61 @@ def full_text(segments: Column) -> Column:
     return F.array_join(F.transform(segments, strip), " ")
 
 
-def verbatim_cover(text: Column | str, segments: Column, slack: int = 2) -> Column:
-    """The index of the first segment that does not follow the one before within `slack` characters, white space collapsed; -1 if all do. What is left of the text after the last is accepted.
-
-    The fold keeps what is left of the text, so that no step reads it from its start.
+def _collapsed(text: str) -> str:
+    """As collapse_space(), of one Python string."""
+    words = text.split()
+    if not words:
+        return " " if text else ""
+    return (" " if text[0].isspace() else "") + " ".join(words) + (" " if text[-1].isspace() else "")
+
+
+def _walk(whole: str, segments: list[str | None], slack: int) -> list[tuple[int, str]]:
+    """(segment, reason) of those that do not follow, with the search resumed at the first later segment that stands anywhere ahead."""
+    place, gap, out, absent = 0, None, [], set()
+    for i, s in enumerate(segments):
+        if s is None or s in absent:
+            at = -1
+        elif gap is None:
+            at = whole.find(s, place, place + len(s) + slack)
+        else:
+            at = whole.find(s, place)
+            if at < 0:
+                absent.add(s)  # nor is it anywhere further ahead
+        if at >= 0:
+            place, gap = at + len(s), None
+        elif gap is None:
+            gap = i
+            out.append((i, "missing"))
+        else:
+            out.append((i, "skipped"))
+    return [(i, "unreachable" if gap is not None and i > gap else why) for i, why in out]
+
+
+def cover(text: Column | str, segments: Column | str, slack: int = 2) -> Column:
+    """fail_idx and failures of segments that should follow a text verbatim, white space collapsed.
+
+    A segment that is not within `slack` characters after the one before is 'missing'; fail_idx is the first such, -1 if there is
+    none. From there on, the first later segment that stands anywhere ahead is where reading goes on; those passed over
+    are 'skipped', or 'unreachable' if no such segment comes. What is left of the text after the last one is accepted. One pass
+    over text and segments in Arrow batches: the place is a number, so a step costs the length of its segment; only the search
+    for where to go on reads further.
     """
-    start = F.struct(collapse_space(text).alias("left"), F.lit(0).alias("i"), F.lit(-1).alias("failed"))
-
-    def step(s, segment):
-        seg = collapse_space(segment)
-        size = F.char_length(seg)
-        found = F.when(s["failed"] < 0, F.when(seg == "", 1).otherwise(F.position(seg, F.substring(s["left"], F.lit(1), size + slack)))).otherwise(0)
-        return F.struct(
-            F.when(found > 0, F.substring(s["left"], found + size, F.char_length(s["left"]))).otherwise(F.lit("")).alias("left"),
-            (s["i"] + 1).alias("i"),
-            F.when((s["failed"] < 0) & (found == 0), s["i"]).otherwise(s["failed"]).alias("failed"),
-        )
-
-    return F.aggregate(segments, start, step, lambda s: s["failed"])
+    kind = pa.struct([("fail_idx", pa.int32()), ("failures", pa.map_(pa.int32(), pa.string()))])
+
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for whole, parts in zip(texts, lists, strict=True):
+            if whole.is_valid and parts.is_valid:
+                failures = _walk(_collapsed(whole.as_py()), [x if x is None else _collapsed(x) for x in parts.as_py()], slack)
+                out.append({"fail_idx": failures[0][0] if failures else -1, "failures": failures})
+            else:
+                out.append(None)
+        return pa.array(out, kind)
+
+    check = F.arrow_udf(run, "struct<fail_idx:int,failures:map<int,string>>")
+    return check(text, segments)
+
+
+def verbatim_cover(text: Column | str, segments: Column | str, slack: int = 2) -> Column:
+    """The index of the first segment that does not follow the one before; -1 if all do."""
+    return cover(text, segments, slack)["fail_idx"]

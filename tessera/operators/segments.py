@@ -114,41 +114,14 @@ def sentence_segments(rows: DataFrame, keys: list[str], column: str = "text", le
 
 
 def cover_failures(transcript, segments, slack: int = 2):
-    """A map of the segments that do not follow verbatim, white space collapsed, to the reason.
-
-    A segment that is not within `slack` characters after the one before is 'missing'. From
-    there on, the first later segment that stands anywhere ahead is where reading goes on; those
-    passed over are 'skipped', or 'unreachable' if no such segment comes. One fold: the state
-    is what is left of the transcript, and the number of the segment since which the place is lost.
-    """
-    start = F.struct(
-        text.collapse_space(transcript).alias("left"), F.lit(0).alias("i"), F.lit(-1).alias("lost"), F.array().cast("array<struct<i:int,why:string>>").alias("notes")
-    )
-
-    def step(s, segment):
-        seg = text.collapse_space(segment)
-        lost = s["lost"] >= 0
-        near = F.when(seg == "", 1).otherwise(F.position(seg, F.substring(s["left"], F.lit(1), F.char_length(seg) + slack)))
-        found = F.when(~lost, near).when(seg == "", 1).otherwise(F.position(seg, s["left"]))
-        why = F.when(lost, F.lit("skipped")).otherwise(F.lit("missing"))
-        return F.struct(
-            F.when(found > 0, F.substring(s["left"], found + F.char_length(seg), F.char_length(s["left"]))).otherwise(s["left"]).alias("left"),
-            (s["i"] + 1).alias("i"),
-            F.when(found > 0, F.lit(-1)).when(lost, s["lost"]).otherwise(s["i"]).alias("lost"),
-            F.when(found > 0, s["notes"]).otherwise(F.concat(s["notes"], F.array(F.struct(s["i"].alias("i"), why.alias("why"))))).alias("notes"),
-        )
-
-    def reasons(s):
-        never = lambda x: (s["lost"] >= 0) & (x["i"] > s["lost"])
-        return F.map_from_entries(F.transform(s["notes"], lambda x: F.struct(x["i"].alias("key"), F.when(never(x), F.lit("unreachable")).otherwise(x["why"]).alias("value"))))
-
-    return F.aggregate(segments, start, step, reasons)
+    """A map of the segments that do not follow verbatim to the reason: 'missing', 'skipped' or 'unreachable'."""
+    return text.cover(transcript, segments, slack)["failures"]
 
 
 def validated(rows: DataFrame, transcript: str = "text", segments: str = "segments") -> DataFrame:
-    """rows with fail_idx (-1 if all segments follow), valid, and failures (segment to reason) after recovery."""
-    checked = rows.withColumn("fail_idx", text.verbatim_cover(transcript, F.col(segments))).withColumn("valid", F.col("fail_idx") < 0)
-    return checked.withColumn("failures", F.when(F.col("valid"), F.create_map().cast("map<int,string>")).otherwise(cover_failures(transcript, F.col(segments))))
+    """rows with fail_idx (-1 if all segments follow), valid, and failures (segment to reason) after recovery; one pass."""
+    checked = rows.withColumn("_cover", text.cover(transcript, F.col(segments)))
+    return checked.withColumns({"fail_idx": F.col("_cover.fail_idx"), "valid": F.col("_cover.fail_idx") < 0, "failures": F.col("_cover.failures")}).drop("_cover")
 
 
 def parse_segment_reply(reply):

@@ -455,14 +455,18 @@ def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).cast("long").alias("n_sentences"))
 
 
-#: Documents' lines, a quarter of them as they are, one with its second line changed, one without it, one with all lines stripped.
-_SPOILED = f"""select doc_id, coalesce(text, '') t, case doc_id % 4 when 1 then list_transform(l, lambda v, i: case when i = 2 then v || chr(2) else v end) when 2 then l[:1] || l[3:] when 3 then list_transform(l, lambda v: {_sql_strip("v")}) else l end l
+#: Documents' lines: as they are, one changed, one left out, all stripped, two changed in a row, all from the third on changed.
+_SPOILED = f"""select doc_id, coalesce(text, '') t, case doc_id % 6 when 1 then list_transform(l, lambda v, i: case when i = 2 then v || chr(2) else v end) when 2 then l[:1] || l[3:] when 3 then list_transform(l, lambda v: {_sql_strip("v")})
+when 4 then list_transform(l, lambda v, i: case when i in (2, 3) then v || chr(2) else v end) when 5 then list_transform(l, lambda v, i: case when i > 2 then v || chr(2) else v end) else l end l
 from (select doc_id, text, coalesce({_sql_lines("text")}, []) l from documents)"""
-#: The rule step by step: segment i is looked for from the place after the one before, two characters further at most.
+#: The rule step by step: segment i is looked for from the place after the one before, two characters further at most; once the place is lost, anywhere ahead.
 _SQL_COVER = f"""with recursive d as materialized (select doc_id, regexp_replace(t, '{_WS}+', ' ', 'g') t, list_transform(l, lambda v: regexp_replace(v, '{_WS}+', ' ', 'g')) l from ({_SPOILED})),
-r as (select doc_id, 0 i, 0::bigint place, false failed from d union all
-select doc_id, i + 1, place + p + len(l[i + 1]) - 1, p = 0 from (select r.*, l, strpos(substr(t, place + 1, len(l[i + 1]) + 2), l[i + 1]) p from r join d using (doc_id) where not failed and i < len(l))),
-cover as (select doc_id, coalesce(max(case when failed then i - 1 end), -1)::int fail_idx from r group by doc_id)"""
+r as (select doc_id, 0 i, 0::bigint place, -1 lost, false found from d union all
+select doc_id, i + 1, case when p > 0 then place + p + len(l[i + 1]) - 1 else place end, case when p > 0 then -1 when lost < 0 then i else lost end, p > 0
+from (select r.*, l, strpos(case when lost < 0 then substr(t, place + 1, len(l[i + 1]) + 2) else substr(t, place + 1) end, l[i + 1]) p from r join d using (doc_id) where i < len(l))),
+last as (select doc_id, arg_max(lost, i) lost from r group by doc_id),
+why as (select doc_id, i - 1 seg, case when r.lost = i - 1 then 'missing' when last.lost >= 0 and i - 1 > last.lost then 'unreachable' else 'skipped' end why from r join last using (doc_id) where i > 0 and not found),
+cover as (select d.doc_id, coalesce(min(seg), -1)::int fail_idx, coalesce(string_agg(seg::varchar || ' ' || why, ',' order by seg), '') reasons from d left join why using (doc_id) group by d.doc_id)"""
 
 
 @query(_SQL_COVER + " select doc_id, fail_idx from cover")
@@ -473,19 +477,20 @@ def verbatim_cover(spark, sf_dir):
 
 def _spoiled_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("l", text.lines("text"))
-    at = F.col("doc_id") % 4
-    changed = F.transform("l", lambda x, i: F.when(i == 1, F.concat(x, F.lit("\x02"))).otherwise(x))
+    at = F.col("doc_id") % 6
+    changed = lambda some: F.transform("l", lambda x, i: F.when(some(i), F.concat(x, F.lit("\x02"))).otherwise(x))
     without = F.filter("l", lambda x, i: i != 1)
-    return rows.withColumn("l", F.when(at == 1, changed).when(at == 2, without).when(at == 3, F.transform("l", text.strip)).otherwise(F.col("l")))
+    spoiled = F.when(at == 1, changed(lambda i: i == 1)).when(at == 2, without).when(at == 3, F.transform("l", text.strip)).when(at == 4, changed(lambda i: i.isin(1, 2))).when(at == 5, changed(lambda i: i > 1))
+    return rows.withColumn("l", spoiled.otherwise(F.col("l")))
 
 
 @query(
     _SQL_COVER
     + """ select doc_id, case when doc_id % 5 = 3 then 'unparsed' when fail_idx >= 0 then 'invalid' else 'ok' end status, case when doc_id % 5 = 3 then 0 else len(l) end::int n_segments, case when doc_id % 5 = 3 then -1 else fail_idx end::int fail_idx,
-case when doc_id % 5 = 3 or fail_idx < 0 then null else 'missing' end why from cover join d using (doc_id)"""
+case when doc_id % 5 = 3 then '' else reasons end reasons from cover join d using (doc_id)"""
 )
 def model_segmentation(spark, sf_dir):
-    """A recorded model's segments of whole documents, parsed and validated; why is the reason of the first failure."""
+    """A recorded model's segments of whole documents, parsed and validated, with the reason of each failure."""
     from tessera.plans.backends import Replay
     from tessera.plans.segmentation import segment_texts
 
@@ -494,7 +499,8 @@ def model_segmentation(spark, sf_dir):
     reply = F.when(at == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(at == 2, F.concat(F.lit(" \n"), reply, F.lit("\n"))).when(at == 3, F.concat(F.lit("Here: "), reply)).otherwise(reply)
     backend = Replay(rows.select("doc_id", F.lit(0).alias("attempt"), reply.alias("response")), ["doc_id"])
     out = segment_texts(rows, ["doc_id"], backend)
-    return out.select("doc_id", "status", F.size("segments").alias("n_segments"), "fail_idx", F.when(F.col("fail_idx") >= 0, F.col("failures")[F.col("fail_idx")]).alias("why"))
+    why = F.array_join(F.transform(F.array_sort(F.map_entries("failures")), lambda x: F.concat_ws(" ", x["key"].cast("string"), x["value"])), ",")
+    return out.select("doc_id", "status", F.size("segments").alias("n_segments"), "fail_idx", why.alias("reasons"))
 
 
 @query("""select turn, list_sort(list_distinct(list(length(text) % 10))) lengths from conversations group by turn""")

@@ -66,7 +66,7 @@ def test_cover_and_segmentation_equal_sql(spark, tmp_path):
     from tessera import queries as q
 
     lines = ["a", "b c", " d ", "e\tf", "g\u00a0h", "x" * 30]
-    texts = [(k, "\n".join(lines[: k % 7]) + ("\n\n" if k % 3 else "")) for k in range(40)] + [(40, None), (41, ""), (43, "one line"), (46, " one line "), (47, "\n\n")]
+    texts = [(k * 7, "\n".join(lines[: k % 7]) + ("\n\n" if k % 3 else "")) for k in range(40)] + [(401, None), (412, ""), (433, "one line"), (467, " one line "), (472, "\n\n")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")

@@ -84,6 +84,22 @@ def test_verbatim_cover(spark):
     assert all(x.f == plain_cover(x.t, x.s) for x in got)
 
 
+def test_verbatim_cover_is_linear(spark):
+    import time
+
+    lines = [f"line {i} of a long text that goes on" for i in range(40_000)]
+    rows = spark.createDataFrame([(1, "\n".join(lines))], "k int, t string").withColumn("s", text.lines("t"))
+    rows.select(text.verbatim_cover("t", F.col("s"))).first()
+    began = time.perf_counter()
+    assert rows.select(text.verbatim_cover("t", F.col("s"))).first()[0] == -1
+    assert time.perf_counter() - began < 4
+    spaces = "a\x1c\u2028 b\u00a0\u0085c\x0b \t\n\x1f\u3000\u200b\u2003"
+    odd = ["", " ", spaces, f" {spaces}", f"{spaces} ", "\u2003"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(text.collapse_space("t"), text.is_blank("t"), text.strip("t") == "").collect()
+    assert [x[0] for x in got] == [text._collapsed(t) for t in odd] and all(x[1] == x[2] for x in got)
+    assert text._walk("a b", ["a", None, "b"], 2) == [(1, "missing")]
+
+
 def test_event_and_rating_codes(spark):
     cases = [("3", [2]), ("1.2,3", [0, 1, 2]), ("003004005", [2, 3, 4]), ("1234567", []), ("0, 5, 11", [4]), ("", []), (None, []), ("2,2", [1]), ("010999", []), ("100999", []), ("101002", [1])]
     rows = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(codes.parse_events("c", 10)).collect()
