@@ -6,6 +6,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+MATCHES = "sub_id string, recall_idx int, story_idxs array<bigint>"
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
@@ -66,7 +68,7 @@ def _segment(args, spark: SparkSession) -> None:
 def _match(args, spark: SparkSession):
     from tessera.plans.matching import estimate, match
     from tessera.sources import segments as src
-    from tessera.sources.sinks import checkpoint_document, exists, match_document, remove, result_path, write_json
+    from tessera.sources.sinks import exists, progress_of, remove, result_path, write_matches
 
     backend = _backend(args)
     story, recall = src.read_story(spark, args.story), src.read_recalls(spark, args.recalls)
@@ -82,11 +84,10 @@ def _match(args, spark: SparkSession):
     total = recall.select("sub_id").distinct().count()
     try:
         matches, _ = match(story, own, backend)
-        document = match_document(matches, *names)
+        write_matches(matches, path, *names)
     except KeyboardInterrupt:
-        write_json(spark, checkpoint, checkpoint_document(None, total, *names, reason="KeyboardInterrupt"), 2)
+        write_matches(spark.createDataFrame([], MATCHES), checkpoint, *names, progress=progress_of([], total, "KeyboardInterrupt"))
         raise
-    write_json(spark, path, document)
     if exists(spark, checkpoint):
         remove(spark, checkpoint)
     return path

@@ -80,13 +80,7 @@ def load_testset(spark: SparkSession, root: str, testset: str) -> dict[str, Data
     """story, recall and ratings of all stories of a test set."""
     if testset not in TESTSETS:
         raise ValueError(f"Invalid testset {testset!r}; there are {', '.join(TESTSETS)}")
-    names = [r["story_name"] for r in src.read_dataset(spark, f"{root}/{testset}/dataset.json").collect()]
-    out: dict[str, DataFrame] = {}
-    for name in names:
-        for part, x in src.read_benchmark_story(spark, root, testset, name, TESTSETS[testset]).items():
-            one = x.withColumn("story_name", F.lit(name))
-            out[part] = out[part].unionByName(one) if part in out else one
-    return out
+    return src.read_benchmark(spark, root, testset, TESTSETS[testset])
 
 
 def _lists(scored: DataFrame, columns: dict[str, str]) -> dict:

@@ -661,35 +661,37 @@ _SQL_RECALLS = f"select conv_id::varchar sub_id, (row_number() over (partition b
 
 @query(_SQL_RECALLS)
 def recall_json_round_trip(spark, sf_dir):
-    """Recalls of all conversations written as one document, read by the JSON reader."""
+    """Recalls of all conversations written as a folder of documents, read by the JSON reader."""
     from tessera.sources import segments as src
     from tessera.sources import shared, sinks
 
     _, recall = _stories(spark, sf_dir)
     top = shared.shared_dir(spark)
-    sinks.write_recalls(recall, f"{top}/recalls.json", "turns")
-    return src.read_recalls(spark, f"{top}/recalls.json").select("sub_id", "recall_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    sinks.write_recalls(recall, top, "turns", F.concat(F.lit("part "), (F.crc32("sub_id") % 7).cast("string"), F.lit(".json")))
+    return src.read_recalls(spark, top).select("sub_id", "recall_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(
-    f"""select sub_id, recall_idx, recall_idx % 3 = 0 rated, text_md5, (select count(*) from (select unnest({_sql_lines("text")}) from benchmark)) n_story from ({_SQL_RECALLS}) where sub_id::bigint % 2 = 0"""
+    f"""select 'tale %' || (sub_id::bigint % 5)::varchar story_name, sub_id, recall_idx, recall_idx % 3 = 0 rated, text_md5, n_story from ({_SQL_RECALLS})
+join (select item_id % 5 tale, sum(len({_sql_lines("text")}))::bigint n_story from benchmark group by tale) on tale = sub_id::bigint % 5 where sub_id::bigint % 2 = 0"""
 )
 def benchmark_story_round_trip(spark, sf_dir):
-    """A benchmark tree of story, recalls and ratings of every other conversation, written and read: unrated subjects are left out."""
+    """A benchmark tree of several stories, with recalls and ratings of every other conversation, written in one job and read by one scan a part: unrated subjects are left out."""
     from tessera.sources import segments as src
     from tessera.sources import shared, sinks
 
     story, recall = _stories(spark, sf_dir)
-    story = story.select(F.row_number().over(W.orderBy("item_id", "seg_idx")).alias("story_idx"), "text")  # one story of a benchmark's size
-    numbered = segments.count_within(recall, ["sub_id"], "recall_idx", "n").select("sub_id", (F.col("n") - 1).alias("recall_idx"), "text")
-    ratings = numbered.where("cast(sub_id as bigint) % 2 = 0").select("sub_id", "recall_idx", F.when(F.col("recall_idx") % 3 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("story_idxs"))
+    tale = lambda c: F.concat(F.lit("tale %"), (c % 5).cast("string")).alias("story_name")
+    story = story.select(tale(F.col("item_id")), F.struct("item_id", "seg_idx").alias("story_idx"), "text")
+    numbered = segments.count_within(recall, ["sub_id"], "recall_idx", "n").select(tale(F.col("sub_id").cast("long")), "sub_id", (F.col("n") - 1).alias("recall_idx"), "text")
+    ratings = numbered.where("cast(sub_id as bigint) % 2 = 0").select("story_name", "sub_id", "recall_idx", F.when(F.col("recall_idx") % 3 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("story_idxs"))
     top = shared.shared_dir(spark)
-    sinks.write_benchmark(story, numbered, ratings, f"{top}/set", "all", "turns")
-    got = src.read_benchmark_story(spark, top, "set", "all", ("turns.json",) * 3)
-    n_story = got["story"].agg(F.count("*").alias("n_story"))
-    marks = got["ratings"].select("sub_id", "recall_idx", (F.size("story_idxs") > 0).alias("rated"))
-    rows = got["recall"].join(marks, ["sub_id", "recall_idx"]).crossJoin(F.broadcast(n_story))  # one row
-    return rows.select("sub_id", "recall_idx", "rated", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_story")
+    sinks.write_benchmark(story, numbered, ratings, f"{top}/set", method="turns")
+    got = src.read_benchmark(spark, top, "set", ("turns.json",) * 3)
+    n_story = got["story"].groupBy("story_name").agg(F.count("*").alias("n_story"))
+    marks = got["ratings"].select("story_name", "sub_id", "recall_idx", (F.size("story_idxs") > 0).alias("rated"))
+    rows = got["recall"].join(marks, ["story_name", "sub_id", "recall_idx"]).join(n_story, "story_name")
+    return rows.select("story_name", "sub_id", "recall_idx", "rated", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_story")
 
 
 @query(f"select item_id, (unnest(range(len(l))) + 1)::int recall_segment, md5(unnest(l)) text_md5 from (select item_id, {_sql_lines('text')} l from benchmark)")

@@ -48,7 +48,7 @@ def whole_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, name (without its last suffix), text: one row per UTF-8 file."""
     rows = spark.read.format("binaryFile").load(paths)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return rows.select("path", F.try_url_decode(name).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", name.alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
 def decoded(content: Column) -> Column:
@@ -79,15 +79,21 @@ def _parsed(files: DataFrame) -> DataFrame:
     return files.withColumn("doc", F.parse_json("text"))
 
 
+def _stories(files: DataFrame, is_json: bool) -> DataFrame:
+    """path, name, method, segments."""
+    if is_json:
+        rows = _parsed(files).select("path", "name", _method(F.col("doc")).alias("method"), _texts(F.try_variant_get("doc", "$.segments", "array<variant>")).alias("segments"))
+    else:
+        rows = files.select("path", "name", F.lit("lines").alias("method"), text.lines("text").alias("segments"))
+    empty = rows.where(F.coalesce(F.size("segments"), F.lit(-1)) <= 0).select("path").first()
+    if empty is not None:
+        raise ValueError(f"no segments in {empty['path']}")
+    return rows
+
+
 def read_story(spark: SparkSession, path: str) -> DataFrame:
     _require(spark, path)
-    files = whole_files(spark, path)
-    if path.lower().endswith(".json"):
-        rows = _parsed(files).select("name", _method(F.col("doc")).alias("method"), _texts(F.try_variant_get("doc", "$.segments", "array<variant>")).alias("segments"))
-    else:
-        rows = files.select("name", F.lit("lines").alias("method"), text.lines("text").alias("segments"))
-    if rows.where(F.coalesce(F.size("segments"), F.lit(-1)) <= 0).count():
-        raise ValueError(f"no segments in {path}")
+    rows = _stories(whole_files(spark, path), path.lower().endswith(".json"))
     return rows.select(F.col("name").alias("story_name"), F.col("method").alias("story_seg_method"), F.posexplode("segments").alias("story_idx", "text"))
 
 
@@ -140,11 +146,37 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 RATINGS = "n_story_segments int, ratings map<string,array<array<string>>>"
 
 
+def _ratings(spark: SparkSession, paths) -> DataFrame:
+    """path, sub_id, recall_idx, story_idxs, n_story."""
+    rows = spark.read.schema(RATINGS).json(paths, multiLine=True).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "*")  # a URI's escapes, where a plus is itself
+    pairs = rows.select("path", "n_story_segments", F.explode("ratings").alias("sub_id", "pairs")).select("path", "n_story_segments", "sub_id", F.explode("pairs").alias("pair"))
+    return pairs.select("path", "sub_id", F.col("pair")[0].cast("int").alias("recall_idx"), F.from_json(F.col("pair")[1], "array<bigint>").alias("story_idxs"), F.col("n_story_segments").alias("n_story"))
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """sub_id, recall_idx, story_idxs, n_story, from a file of human matches."""
-    rows = spark.read.schema(RATINGS).json(path, multiLine=True)
-    pairs = rows.select("n_story_segments", F.explode("ratings").alias("sub_id", "pairs")).select("n_story_segments", "sub_id", F.explode("pairs").alias("pair"))
-    return pairs.select("sub_id", F.col("pair")[0].cast("int").alias("recall_idx"), F.from_json(F.col("pair")[1], "array<bigint>").alias("story_idxs"), F.col("n_story_segments").alias("n_story"))
+    return _ratings(spark, path).drop("path")
+
+
+def read_benchmark(spark: SparkSession, root: str, testset: str, files: tuple[str, str, str]) -> dict[str, DataFrame]:
+    """story, recall (only of rated subjects) and ratings of all stories that dataset.json lists, with story_name: one scan for each, whatever the number of stories."""
+    top = f"{str(root).rstrip('/')}/{testset}"
+    listed = read_dataset(spark, f"{top}/dataset.json").distinct()
+    own = F.element_at(F.split("path", "/"), -3).alias("story_name")
+    docs = lambda part, name: whole_files(spark, f"{top}/*/{part}/{name}").join(listed.withColumnRenamed("story_name", "_listed"), own == F.col("_listed"), "left_semi")
+    found = docs("transcripts", files[0])
+    missing = listed.join(found.select(own), "story_name", "left_anti").first()
+    if missing is not None:
+        raise FileNotFoundError(f"{top}/{missing['story_name']}/transcripts/{files[0]}")
+    story = _stories(found, files[0].lower().endswith(".json")).select(own, F.col("method").alias("story_seg_method"), F.posexplode("segments").alias("story_idx", "text"))
+    ratings = _ratings(spark, f"{top}/*/matches/{files[2]}").select(own, "*").drop("path").join(listed, "story_name", "left_semi")
+    lists = _json_recalls(docs("recalls", files[1])).select(own, "*")
+    empty = lists.where(F.coalesce(F.size("segments"), F.lit(-1)) <= 0).select("story_name", "sub_id").first()
+    if empty is not None:
+        raise ValueError(f"no segments for {empty['sub_id']} of {empty['story_name']}")
+    rated = lists.join(ratings.select("story_name", "sub_id").distinct(), ["story_name", "sub_id"], "left_semi")
+    recall = rated.select("story_name", "sub_id", F.col("method").alias("recall_seg_method"), F.posexplode("segments").alias("recall_idx", "text"))
+    return {"story": story, "recall": recall, "ratings": ratings}
 
 
 def read_benchmark_story(spark: SparkSession, root: str, testset: str, story: str, files: tuple[str, str, str]) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import documents
 from .segments import _fs
 
 
@@ -67,21 +68,29 @@ def result_path(spark: SparkSession, folder: str, matcher: str, recall_seg: str,
     return path
 
 
-def match_document(matches: DataFrame, matcher: str, story_name: str, story_seg: str, recall_seg: str, model: str | None = None) -> dict:
-    """The result document of one story; its subjects in order."""
-    rows = matches.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("recall_idx", "story_idxs"))).alias("m")).orderBy("sub_id")
-    return {
-        "matcher_name": matcher, "story_name": story_name, "story_segmentation": story_seg, "recall_segmentation": recall_seg, **({"model_name": model} if model else {}),
-        "matches": {r["sub_id"]: [[x["recall_idx"], list(x["story_idxs"])] for x in r["m"]] for r in rows.toLocalIterator()},
-    }
+def _split(path: str) -> tuple[str, str]:
+    top, _, name = str(path).rpartition("/")
+    return top, name
 
 
-def checkpoint_document(matches: DataFrame | None, total: int, *names, reason: str | None = None) -> dict:
-    """What is known of a run that did not end: the result document of the subjects done, and the progress."""
-    done = match_document(matches, *names) if matches is not None else {"matches": {}, **dict(zip(("matcher_name", "story_name", "story_segmentation", "recall_segmentation"), names, strict=False))}
-    ids = list(done["matches"])
-    progress = {"subjects_total": total, "subjects_done": len(ids), "subject_ids_done": ids, "timestamp": datetime.now().astimezone().isoformat(), **({"reason": reason} if reason else {})}
-    return {**done, "checkpoint": True, "progress": progress}
+def _matched(rows: DataFrame, document, head: dict, body: str) -> DataFrame:
+    item = F.concat(F.lit("["), F.col("recall_idx").cast("string"), F.lit(", "), documents.json_list(F.col("story_idxs")), F.lit("]"))
+    return documents.lines(rows, document, {k: v if not isinstance(v, str) else documents.quoted(F.lit(v)) for k, v in head.items()}, body, item, ["recall_idx"], "sub_id")
+
+
+def write_matches(matches: DataFrame, path: str, matcher: str, story_name: str, story_seg: str, recall_seg: str, model: str | None = None, progress: dict | None = None) -> None:
+    """The result document of one story, its subjects in order; with progress, the checkpoint of a run that did not end."""
+    spark, (top, name) = matches.sparkSession, _split(path)
+    head = {"matcher_name": matcher, "story_name": story_name, "story_segmentation": story_seg, "recall_segmentation": recall_seg, **({"model_name": model} if model else {})}
+    extra = {"checkpoint": True, "progress": progress} if progress is not None else {}
+    made = _matched(matches, F.lit(name), head | {k: F.lit(json.dumps(v, ensure_ascii=False)) for k, v in extra.items()}, "matches")
+    if not documents.write_documents(made, top):
+        write_json(spark, path, {**head, **extra, "matches": {}})
+
+
+def progress_of(done: list[str], total: int, reason: str | None = None) -> dict:
+    """What is known of a run that did not end."""
+    return {"subjects_total": total, "subjects_done": len(done), "subject_ids_done": sorted(done), "timestamp": datetime.now().astimezone().isoformat(), **({"reason": reason} if reason else {})}
 
 
 def write_segment_csv(segments: DataFrame, path: str, key: str = "stem") -> None:
@@ -99,17 +108,28 @@ def run_name(testset: str, matcher: str, model: str | None = None, repeated: boo
     return "-".join(parts)
 
 
-def write_recalls(recall: DataFrame, path: str, method: str) -> None:
-    """Recalls of a few subjects as one document."""
-    lists = recall.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("recall_idx", "text"))).alias("r")).orderBy("sub_id")
-    write_json(recall.sparkSession, path, {"type": "recalls", "segmentation_method": method, "recalls": {r["sub_id"]: [x["text"] for x in r["r"]] for r in lists.toLocalIterator()}}, 2)
-
-
-def write_benchmark(story: DataFrame, recall: DataFrame, ratings: DataFrame, root: str, story_name: str, method: str, matcher: str = "human") -> None:
-    """Transcript, recalls and matches of one story as three documents: what a benchmark reader takes, so small by design."""
-    spark, top = story.sparkSession, f"{str(root).rstrip('/')}/{story_name}"
-    segments = [r["text"] for r in story.orderBy("story_idx").toLocalIterator()]
-    write_json(spark, f"{top}/transcripts/{method}.json", {"type": "transcript", "segmentation_method": method, "segments": segments}, 2)
-    write_recalls(recall, f"{top}/recalls/{method}.json", method)
-    doc = match_document(ratings, matcher, story_name, method, method)
-    write_json(spark, f"{top}/matches/{method}.json", {"type": "matches", "matcher": matcher, "story_segmentation": method, "recall_segmentation": method, "n_story_segments": len(segments), "ratings": doc["matches"]}, 2)
+def write_recalls(recall: DataFrame, path: str, method: str, document=None) -> list[str]:
+    """Recalls as one document, or, given a column that names them, as documents below path."""
+    top, name = (str(path), None) if document is not None else _split(path)
+    head = {"type": F.lit('"recalls"'), "segmentation_method": documents.quoted(F.lit(method))}
+    made = documents.lines(recall, F.lit(name) if document is None else document, head, "recalls", documents.quoted(F.col("text")), ["recall_idx"], "sub_id")
+    return documents.write_documents(made, top)
+
+
+def write_benchmark(story: DataFrame, recall: DataFrame, ratings: DataFrame, root: str, story_name: str | None = None, method: str = "lines", matcher: str = "human", replace: bool = False) -> list[str]:
+    """Transcripts, recalls and matches of all stories (rows carry story_name unless one is given) and the list of stories.
+
+    All documents are made in one job and appear together at its commit; with replace, what else the folder holds goes then, but for its README.
+    """
+    if story_name is not None:
+        story, recall, ratings = (x.withColumn("story_name", F.lit(story_name)) for x in (story, recall, ratings))
+    place = lambda part: F.concat("story_name", F.lit(f"/{part}/{method}.json"))
+    kind = lambda x: F.lit(json.dumps(x))
+    segments = documents.lines(story, place("transcripts"), {"type": kind("transcript"), "segmentation_method": kind(method)}, "segments", documents.quoted(F.col("text")), ["story_idx"])
+    recalls = documents.lines(recall, place("recalls"), {"type": kind("recalls"), "segmentation_method": kind(method)}, "recalls", documents.quoted(F.col("text")), ["recall_idx"], "sub_id")
+    sizes = story.groupBy("story_name").agg(F.count("*").cast("string").alias("_size"))
+    head = {"type": "matches", "matcher": matcher, "story_segmentation": method, "recall_segmentation": method, "n_story_segments": F.col("_size")}
+    matches = _matched(ratings.join(sizes, "story_name"), place("matches"), head, "ratings")
+    names = documents.lines(story.select("story_name").distinct(), F.lit("dataset.json"), {"type": kind("dataset")}, "stories", documents.quoted(F.col("story_name")), ["story_name"])
+    every = segments.unionByName(recalls).unionByName(matches).unionByName(names)
+    return documents.write_documents(every, str(root), replace)

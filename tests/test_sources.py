@@ -24,6 +24,7 @@ def story(spark, path):
 def test_story_text(spark, tmp_path):
     assert story(spark, put(tmp_path / "my story.txt", "one\n\n  \n two \n")) == (["one", " two "], "lines")
     assert src.read_story(spark, put(tmp_path / "my story.txt", "x")).first().story_name == "my story"
+    assert src.read_story(spark, put(tmp_path / "a+b %20c.txt", "x")).first().story_name == "a+b %20c"
     with pytest.raises(ValueError):
         src.read_story(spark, put(tmp_path / "e.txt", " \n"))
     with pytest.raises(FileNotFoundError):
@@ -87,7 +88,6 @@ def test_benchmark_round_trip(spark, tmp_path):
     recall = spark.createDataFrame([("s1", "m", 0, "x"), ("s1", "m", 1, "y"), ("s2", "m", 0, "z")], "sub_id string, recall_seg_method string, recall_idx int, text string")
     ratings = spark.createDataFrame([("s1", 0, [0, 1]), ("s1", 1, [])], "sub_id string, recall_idx int, story_idxs array<bigint>")
     sinks.write_benchmark(story_rows, recall, ratings, tmp_path / "set", "s", "m")
-    put(tmp_path / "set" / "dataset.json", {"stories": ["s"]})
     assert [r[0] for r in src.read_dataset(spark, str(tmp_path / "set" / "dataset.json")).collect()] == ["s"]
     got = src.read_benchmark_story(spark, str(tmp_path), "set", "s", ("m.json",) * 3)
     assert {r.sub_id for r in got["recall"].collect()} == {"s1"}
@@ -95,6 +95,53 @@ def test_benchmark_round_trip(spark, tmp_path):
     assert sorted((r.sub_id, r.recall_idx, tuple(r.story_idxs), r.n_story) for r in got["ratings"].collect()) == [("s1", 0, (0, 1), 2), ("s1", 1, (), 2)]
 
 
+def test_documents_of_many_stories(spark, tmp_path):
+    """Odd names and texts, several documents in one job, an older tree replaced but for its notes, and one scan a part to read them."""
+    from tessera.sources import documents
+
+    names = ["a b+", "c%d", "é=ü"]
+    story = spark.createDataFrame([(n, i, f'{n} "{i}"\n\\') for n in names for i in range(12)], "story_name string, story_idx int, text string").repartition(4)
+    recall = spark.createDataFrame([(n, s, i, f"{s}{i}\x01") for n in names for s in ("s 2", 's"1') for i in range(11)], "story_name string, sub_id string, recall_idx int, text string").repartition(3)
+    ratings = spark.createDataFrame([(n, "s 2", i, [i, 0][: i % 3]) for n in names for i in range(11)], "story_name string, sub_id string, recall_idx int, story_idxs array<bigint>")
+    put(tmp_path / "set" / "README.md", "notes")
+    put(tmp_path / "set" / "old" / "x.json", {})
+    made = sinks.write_benchmark(story, recall, ratings, tmp_path / "set", method="m", replace=True)
+    assert made == sorted(["dataset.json", *(f"{n}/{p}/m.json" for n in names for p in ("transcripts", "recalls", "matches"))])
+    assert sorted(p.name for p in (tmp_path / "set").iterdir() if not p.name.startswith(".")) == sorted(["README.md", "dataset.json", *names])
+    for n in names:
+        doc = json.loads((tmp_path / "set" / n / "recalls" / "m.json").read_text(encoding="utf-8"))
+        assert doc == {"type": "recalls", "segmentation_method": "m", "recalls": {s: [f"{s}{i}\x01" for i in range(11)] for s in ('s"1', "s 2")}} and list(doc["recalls"]) == sorted(doc["recalls"])
+        assert json.loads((tmp_path / "set" / n / "transcripts" / "m.json").read_text(encoding="utf-8"))["segments"] == [f'{n} "{i}"\n\\' for i in range(12)]
+        doc = json.loads((tmp_path / "set" / n / "matches" / "m.json").read_text(encoding="utf-8"))
+        assert doc["n_story_segments"] == 12 and doc["ratings"] == {"s 2": [[i, [i, 0][: i % 3]] for i in range(11)]}
+    got = src.read_benchmark(spark, str(tmp_path), "set", ("m.json",) * 3)
+    assert sorted(map(tuple, got["story"].select("story_name", "story_idx", "text").collect())) == sorted(map(tuple, story.collect()))
+    assert {(r.story_name, r.sub_id) for r in got["recall"].collect()} == {(n, "s 2") for n in names}
+    assert {(r.n_story, tuple(r.story_idxs)) for r in got["ratings"].collect()} == {(12, tuple([i, 0][: i % 3])) for i in range(11)}
+    put(tmp_path / "set" / "dataset.json", {"stories": ["a b+", "none"]})
+    with pytest.raises(FileNotFoundError):
+        src.read_benchmark(spark, str(tmp_path), "set", ("m.json",) * 3)
+    with pytest.raises(ValueError, match="0 parts|2 parts"):
+        documents.write_documents(spark.createDataFrame([("d", "x"), ("d", "y")], "document string, line string").repartition(2), f"{tmp_path}/two")
+
+
+def test_failed_job_leaves_documents_as_they_were(spark, tmp_path):
+    """A task that ends amid its documents: no part of a new one is there, and the old ones stay."""
+    top = tmp_path / "docs"
+    rows = spark.range(4000).select(F.concat(F.lit("d"), (F.col("id") % 5).cast("string"), F.lit(".json")).alias("document"), "id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    old = rows.where("id < 10")
+    write = lambda df: sinks.documents.write_documents(sinks.documents.lines(df, F.col("document"), {}, "items", sinks.documents.quoted(F.col("text")), ["id"]), str(top))
+    write(old)
+    before = {p.name: p.read_text() for p in top.glob("*.json")}
+    assert len(before) == 5
+    stop = F.when(F.col("id") > 3500, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("text"))
+    with pytest.raises(Exception, match="stop"):
+        write(rows.withColumn("text", stop))
+    assert {p.name: p.read_text() for p in top.glob("*.json")} == before
+    assert not [p for p in top.iterdir() if p.name.startswith("_writing")]
+    assert len(write(rows)) == 5 and json.loads((top / "d1.json").read_text())["items"] == [f"t{i}" for i in range(1, 4000, 5)]
+
+
 def test_csv_encoding_union(spark, tmp_path):
     path = put(tmp_path / "c.csv", 'segment,events,text\n1,"1.2,3","a ""q"" b"\n2,,c\n')
     assert [tuple(r) for r in src.read_csv(spark, path).collect()] == [(1, "1.2,3", 'a "q" b'), (2, None, "c")]
