@@ -70,6 +70,11 @@ def repair_date(cell: Column | str) -> Column:
     return F.coalesce(F.when(day.isNotNull(), F.concat(F.month(day).cast("string"), F.lit(","), F.dayofmonth(day).cast("string"))), cell, F.lit(""))
 
 
+def repair_cell(cell: Column) -> Column:
+    """As repair_date, of a spreadsheet's cell (kind, text): only what the sheet holds as a date is one."""
+    return F.when(cell["kind"] == "date", repair_date(cell["text"])).otherwise(F.coalesce(cell["text"], F.lit("")))
+
+
 def param_string(matcher: Column | str, recall_seg: Column | str, story_seg: Column | str) -> Column:
     return F.concat_ws("-", matcher, recall_seg, story_seg)
 

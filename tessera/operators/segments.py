@@ -138,10 +138,10 @@ def labelled(rows: DataFrame, label: str, names: list[str]) -> DataFrame:
 
 
 def text_cells(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Rows whose cell holds text, stripped; cells that spreadsheets give as numbers, dates or nothing go."""
-    cell = text.strip(F.col(column).cast("string"))
-    is_text = F.col(column).isNotNull() & (cell != "") & F.try_to_number(cell, F.lit("S999999999999.999999")).isNull() & cell.try_cast("timestamp").isNull()
-    return rows.where(is_text).withColumn(column, cell)
+    """Rows whose cell holds text, stripped. Of a spreadsheet's cells (kind, text) numbers, dates and the like go by their kind; text stays, whatever it looks like."""
+    kind = rows.schema[column].dataType.typeName()
+    typed = F.when(F.col(column)["kind"] == "text", F.col(column)["text"]) if kind == "struct" else F.col(column).cast("string")
+    return rows.withColumn(column, text.strip(typed)).where(F.col(column) != "")
 
 
 def recalls_of_groups(recalls: DataFrame, files: DataFrame, label: str, subject: str) -> DataFrame:

@@ -671,6 +671,18 @@ def recall_json_round_trip(spark, sf_dir):
     return src.read_recalls(spark, top).select("sub_id", "recall_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(_SQL_RECALLS)
+def recall_json_splits(spark, sf_dir):
+    """Recalls of all conversations written as one document, read in parallel by splits of it."""
+    from tessera.sources import segments as src
+    from tessera.sources import shared, sinks
+
+    _, recall = _stories(spark, sf_dir)
+    path = f"{shared.shared_dir(spark)}/recalls.json"
+    sinks.write_recalls(recall, path, "turns")
+    return src.read_recalls(spark, path, split_over=0).select("sub_id", "recall_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query(
     f"""select 'tale %' || (sub_id::bigint % 5)::varchar story_name, sub_id, recall_idx, recall_idx % 3 = 0 rated, text_md5, n_story from ({_SQL_RECALLS})
 join (select item_id % 5 tale, sum(len({_sql_lines("text")}))::bigint n_story from benchmark group by tale) on tale = sub_id::bigint % 5 where sub_id::bigint % 2 = 0"""
@@ -704,3 +716,36 @@ def segment_csv_round_trip(spark, sf_dir):
     sinks.write_segment_csv(story.withColumnRenamed("item_id", "stem"), top)
     rows = spark.read.schema("recall_segment int, story_segment string, text string, stem string").csv(top, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.select(F.col("stem").cast(story.schema["item_id"].dataType).alias("item_id"), "recall_segment", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    """select item_id, 'Sheet ' || (item_id % 6)::varchar || '.xlsx' file, (row_number() over (partition by item_id % 6 order by item_id) + 1)::int sheet_row, md5(coalesce(text, '')) text_md5, item_id::varchar || '-01-02' as_text, case when item_id % 3 = 0 then ((item_id % 12) + 1)::varchar || ',' || ((item_id % 28) + 1)::varchar when item_id % 3 = 1 then (item_id % 9 + 1)::varchar || ',4' else '' end code,
+item_id / 8.0 eighth, item_id % 2 = 0 even, (case when item_id % 3 = 0 then 'date' when item_id % 3 = 1 then 'text' else 'none' end) code_kind from benchmark"""
+)
+def sheet_round_trip(spark, sf_dir):
+    """Items as spreadsheets, made and read by the executors: text that looks like a date stays text, codes that a sheet took for dates are repaired by their kind."""
+    from tessera.sources import shared, sheets
+
+    item = F.col("item_id")
+    code = F.when(item % 3 == 1, F.concat((item % 9 + 1).cast("string"), F.lit(",4")))
+    day = F.when(item % 3 == 0, F.make_timestamp(F.lit(2020), item % 12 + 1, item % 28 + 1, F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Sheet "), (item % 6).cast("string"), F.lit(".xlsx")).alias("file"), "text", F.concat(item.cast("string"), F.lit("-01-02")).alias("as_text"), code.alias("code"), day.alias("day"), (item / 8).alias("eighth"), (item % 2 == 0).alias("even"))
+    top = shared.shared_dir(spark)
+    sheets.write_sheets(rows, top, "file", ["item_id"], ["item_id", "text", "as_text", "code", "day", "eighth", "even"])
+    got = sheets.read_sheets(spark, top).withColumn("item", F.coalesce(F.col("cells")["code"], F.col("cells")["day"]))
+    return got.select(
+        sheets.cell("item_id", "number").cast("bigint").alias("item_id"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("row").alias("sheet_row"), F.md5(F.coalesce(sheets.cell("text", "text"), F.lit("")).cast("binary")).alias("text_md5"),
+        sheets.cell("as_text", "text").alias("as_text"), codes.repair_cell(F.col("item")).alias("code"), sheets.cell("eighth", "number").cast("double").alias("eighth"), sheets.cell("even", "bool").cast("boolean").alias("even"), F.coalesce(F.col("item")["kind"], F.lit("none")).alias("code_kind"),
+    )
+
+
+@query("select vec_id, label, len(embedding)::int width, md5(array_to_string(list_transform(embedding, lambda x: round(x::double * 1000)::bigint), ',')) values_md5 from embeddings")
+def array_round_trip(spark, sf_dir):
+    """Embeddings as structured .npy files, written by the executors and read by ranges of rows."""
+    from tessera.sources import arrays, shared
+
+    top = shared.shared_dir(spark)
+    arrays.write_arrays(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), top, most_rows=700)
+    got = arrays.read_arrays(spark, top, part_bytes=1 << 16)
+    thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string"))
+    return got.select("vec_id", "label", F.size("embedding").alias("width"), F.md5(F.array_join(thousandths, ",").cast("binary")).alias("values_md5"))

@@ -120,9 +120,21 @@ def _checked(rows: DataFrame) -> DataFrame:
     return rows.select("sub_id", F.lit(methods["method"]).alias("recall_seg_method"), F.posexplode("segments").alias("recall_idx", "text"))
 
 
-def read_recalls(spark: SparkSession, path: str) -> DataFrame:
+#: JSON documents of more bytes are read in parallel, by splits; the rows are the same.
+SPLIT_OVER = 32 << 20
+
+
+def _largest(spark: SparkSession, paths: list[str]) -> int:
+    return max((int(fs.getFileStatus(p).getLen()) for fs, p in (_fs(spark, x) for x in paths)), default=0)
+
+
+def read_recalls(spark: SparkSession, path: str, split_over: int = SPLIT_OVER) -> DataFrame:
     """Recalls of one .json or text file, or of a folder of either kind, not both."""
+    from .json_splits import read_split_recalls
+
     if _require(spark, path) == "file":
+        if path.lower().endswith(".json") and _largest(spark, [path]) > split_over:
+            return read_split_recalls(spark, path)
         files = whole_files(spark, path)
         if path.lower().endswith(".json"):
             return _checked(_json_recalls(files))
@@ -131,6 +143,8 @@ def read_recalls(spark: SparkSession, path: str) -> DataFrame:
     of = lambda suffix: [f for f in files if f.endswith(suffix)]
     if of(".json") and of(".txt"):
         raise ValueError(f"both .json and .txt files in {path}")
+    if of(".json") and _largest(spark, of(".json")) > split_over:
+        return read_split_recalls(spark, of(".json"))
     if of(".json"):
         return _checked(_json_recalls(whole_files(spark, of(".json"))))
     if of(".txt"):
@@ -193,10 +207,10 @@ def read_csv(spark: SparkSession, path: str, schema: str = "segment int, events
 
 
 def read_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A spreadsheet, read on the driver by pandas (which needs a reader of its own for it); small files only."""
-    import pandas as pd
+    """The named columns of spreadsheets, cast; see sheets.read_sheets for cells with their kinds."""
+    from .sheets import read_sheets, sheet_columns
 
-    return spark.createDataFrame(pd.read_excel(path, dtype=str), schema)
+    return sheet_columns(read_sheets(spark, path), schema).drop("path", "sheet", "row")
 
 
 def union_recalls(parts: list[DataFrame]) -> DataFrame:

@@ -172,7 +172,9 @@ def test_cover_recovery(spark):
 
 def test_importers(spark):
     rows = spark.createDataFrame([("A ", " hello"), ("b", "12.5"), ("a", None), ("B", "2020-01-02 00:00:00"), ("c", "  ")], "m string, text string")
-    assert [r.text for r in segments.text_cells(rows).collect()] == ["hello"]
+    assert [r.text for r in segments.text_cells(rows).collect()] == ["hello", "12.5", "2020-01-02 00:00:00"]
+    typed = spark.createDataFrame([(("text", "2020"),), (("number", "2020"),), (("date", "2019-05-01 00:00:00"),), (("text", " a b "),), (("text", "2019-05-01"),), (None,), (("text", " "),)], "text struct<kind:string,text:string>")
+    assert [r.text for r in segments.text_cells(typed).collect()] == ["2020", "a b", "2019-05-01"]
     assert segments.labelled(rows, "m", ["a", " B"]).count() == 4
     recalls = spark.createDataFrame([("a", "s1", "x"), ("a", "s2", "y"), ("z", "s1", "w")], "m string, sub string, text string")
     files = spark.createDataFrame([("a", "s1", "f1"), ("a", "s1", "f1"), ("a", "s2", "f2")], "m string, sub string, file string")
