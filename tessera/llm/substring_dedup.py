@@ -20,7 +20,9 @@ per shard, never a record per pair of documents.
 
 Defined cases: null or empty text has no words (sha256 of the empty string); documents
 of fewer than 20 words lose nothing; rows without doc_id are left out; rows that repeat
-a doc_id are judged as the same document, each returned.
+doc_id and text are one document, each returned; rows that share a doc_id and differ in text
+are documents of their own, in the order of a hash of the text: a start carries the number of its text
+among those of its id (0 nearly always, so it takes no room). Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import re
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,6 +40,8 @@ from . import common as C
 WINDOW = 20
 FLUSH = 2_500_000
 BLOCK = 6
+#: A start is the number of the document's text among those of its id, above these bits, and a word's number.
+PLACE_BITS = 40
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ROUTED = "part int, shard int, blob binary"
 _TOLD = "shard int, first boolean, blob binary"
@@ -92,16 +96,19 @@ def _scan(window: int, parts: int, shards: int):
 
     def run(batches):
         held, n = ([], [], []), 0
-        for ids, texts in C.slices(batches):
-            lex = C.Lexed(texts)
-            at, h = lex.grams(window)
-            owner = lex.text[at]
-            for x, y in zip(held, (h, ids[owner], at - lex.first[owner]), strict=True):
-                x.append(y)
-            n += len(at)
-            if n >= FLUSH:
-                yield flush(*held)
-                held, n = ([], [], []), 0
+        for b in batches:
+            turns, done = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), 0
+            for ids, texts in C.slices([b]):
+                lex = C.Lexed(texts)
+                at, h = lex.grams(window)
+                owner = lex.text[at]
+                for x, y in zip(held, (h, ids[owner], turns[done + owner] << PLACE_BITS | at - lex.first[owner]), strict=True):
+                    x.append(y)
+                done += len(ids)
+                n += len(at)
+                if n >= FLUSH:
+                    yield flush(*held)
+                    held, n = ([], [], []), 0
         if n:
             yield flush(*held)
 
@@ -151,7 +158,8 @@ def _resolve(window: int, with_text: bool):
         if blobs:
             ids, starts = (np.concatenate(x) for x in zip(*map(_read_starts, blobs), strict=True))
             for d, x in C.by_owner(ids, starts):
-                out[int(d)] = np.unique(x)
+                for turn, at in C.by_owner(x >> PLACE_BITS, x & (1 << PLACE_BITS) - 1):
+                    out[int(d), int(turn)] = np.unique(at)
         return out
 
     def passages(firsts, texts):
@@ -198,13 +206,9 @@ def _resolve(window: int, with_text: bool):
         blobs = shard["blob"].to_pylist()
         origin = starts_by_doc([blobs[i] for i in np.flatnonzero(kind == 1)])
         recurring = starts_by_doc([blobs[i] for i in np.flatnonzero(kind == 2)])
-        ids, texts = shard["doc_id"].to_pylist(), shard["text"].to_pylist()
+        ids, texts, turns = shard["doc_id"].to_pylist(), shard["text"].to_pylist(), shard["turn"].to_pylist()
         rows = np.flatnonzero(kind == 0)
-        # of documents that share an id, the longest text has all starts that were told
-        holders = {}
-        for i in rows:
-            if ids[i] in recurring and len(texts[i] or "") >= len(holders.get(ids[i], "")):
-                holders[ids[i]] = texts[i] or ""
+        holders = {(ids[i], turns[i]): texts[i] or "" for i in rows if (ids[i], turns[i]) in recurring}
         runs, automaton = passages(recurring, holders)
         out = [[] for _ in schema]
         for i in rows:
@@ -212,7 +216,7 @@ def _resolve(window: int, with_text: bool):
             line = f" {' '.join(words)} "
             n = len(words)
             if automaton is not None and n >= window and (found := locate(words, line, runs, automaton)):
-                found.difference_update(origin.get(ids[i], np.zeros(0, np.int64)).tolist())
+                found.difference_update(origin.get((ids[i], turns[i]), np.zeros(0, np.int64)).tolist())
                 edge = np.zeros(n + 1, np.int32)
                 at = np.fromiter(found, np.int64, len(found))
                 np.add.at(edge, at, 1)
@@ -228,15 +232,26 @@ def _resolve(window: int, with_text: bool):
     return run
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts with turn: the number of the text among the different texts of its doc_id, 0 nearly always."""
+    h = F.xxhash64("text")
+    several = texts.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("not a <=> b").select("doc_id")
+    rows = texts.select("doc_id", h.alias("h")).join(several, "doc_id", "left_semi").distinct()
+    later = C.stash(rows.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).where("turn > 0"))
+    if later.isEmpty():  # every id has one text: no join
+        return texts.withColumn("turn", F.lit(0))
+    return texts.withColumn("h", h).join(later, ["doc_id", "h"], "left").select("doc_id", "text", F.coalesce("turn", F.lit(0)).alias("turn"))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces as kept_text."""
-    texts = C.texts_of(docs)
+    texts = _numbered(C.texts_of(docs))
     parts = C.parts_for(docs)
     shards = min(parts, C.MOST_TASKS) | 1
     told = C.exchange(lambda n: texts.mapInArrow(_scan(window, n, shards), _ROUTED), parts, _confirm(shards), _ROUTED, _TOLD, (-1,))
     none = F.lit(None)
-    rows = told.select("shard", F.when(F.col("first"), 1).otherwise(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "blob").unionByName(
-        texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "doc_id", "text", none.cast("binary").alias("blob"))
+    rows = told.select("shard", F.when(F.col("first"), 1).otherwise(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), none.cast("int").alias("turn"), "blob").unionByName(
+        texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "doc_id", "text", "turn", none.cast("binary").alias("blob"))
     )
     out = rows.repartition(shards, "shard").groupBy("shard").applyInArrow(_resolve(window, with_text), _OUT)
     return out if with_text else out.drop("kept_text")

@@ -90,3 +90,26 @@ def test_more_parts_than_partitions(spark, monkeypatch, split_bytes):
     monkeypatch.setattr(C, "SPLIT_BYTES", split_bytes)
     rows = corpus()
     assert got(substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, parts):
+    """Each is judged on its own words; among themselves the one with the smaller hash comes first."""
+    from pyspark.sql import functions as F
+
+    a, x = " ".join(f"a{i}" for i in range(30)), " ".join(f"x{i}" for i in range(60))
+    rows = [(0, a), (1, a), (1, x)]
+    out = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(parts), with_text=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == sorted([(0, 30, 0, a), (1, 30, 30, ""), (1, 60, 0, x)])
+    docs = corpus(4, 60)
+    r = random.Random(9)
+    rows = [(r.randint(0, 40), t) for _, t in docs] + [(7, docs[3][1])] * 3 + [(7, None)] * 2
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("h", F.xxhash64("text"))
+    held = sorted({(x.doc_id, x.h, x.text) for x in df.collect()}, key=lambda k: k[:2])
+    want = brute([(k, t) for k, (_, _, t) in enumerate(held)])
+    one = {(d, t): want[k][0] for k, (d, _, t) in enumerate(held)}
+    expect = {}
+    for d, t in rows:
+        expect.setdefault(d, []).append(one[d, t])
+    found = got(substring_dedup(df.drop("h").repartition(parts)))
+    assert {d: sorted(v) for d, v in found.items()} == {d: sorted(v) for d, v in expect.items()}
