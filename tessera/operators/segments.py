@@ -57,9 +57,8 @@ def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def by_subject(rows: DataFrame, keys: list[str], subject: str, idx: str, column: str = "text") -> DataFrame:
-    """keys, subjects: a map of subject to its segments in order."""
-    lists = ordered_list(rows, [*keys, subject], idx, column)
-    return lists.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(subject, "segments")))).alias("subjects"))
+    """keys, subject, segments: each subject's segments in order, a row a subject. (A document of all of them is written by sources.documents.)"""
+    return ordered_list(rows, [*keys, subject], idx, column)
 
 
 def _sums(values, start: int = 0):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -569,11 +570,11 @@ def first_subject(spark, sf_dir):
     return segments.first_of_each(rows, ["item_id"], "conv_id")
 
 
-@query("select role, count(distinct conv_id) n_subjects, count(*) n_segments, md5(string_agg(text, chr(30) order by conv_id, turn)) text_md5 from conversations group by role")
+@query("select role, conv_id, count(*) n_segments, md5(string_agg(text, chr(30) order by turn)) text_md5 from conversations group by role, conv_id")
 def subject_lists(spark, sf_dir):
+    """Each subject's segments in order, a row a subject: no row holds a group of subjects."""
     rows = segments.by_subject(table(spark, sf_dir, "conversations"), ["role"], "conv_id", "turn")
-    flat = F.flatten(F.map_values("subjects"))
-    return rows.select("role", F.size("subjects").cast("long").alias("n_subjects"), F.size(flat).cast("long").alias("n_segments"), F.md5(F.array_join(flat, "\x1e")).alias("text_md5"))
+    return rows.select("role", "conv_id", F.size("segments").cast("long").alias("n_segments"), F.md5(F.array_join("segments", "\x1e")).alias("text_md5"))
 
 
 @query("select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then '' when l_linenumber % 3 = 1 then month(l_shipdate)::varchar || ',' || day(l_shipdate)::varchar else l_suppkey::varchar || ',4' end code, count(*) n from lineitem group by all")
@@ -749,3 +750,44 @@ def array_round_trip(spark, sf_dir):
     got = arrays.read_arrays(spark, top, part_bytes=1 << 16)
     thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string"))
     return got.select("vec_id", "label", F.size("embedding").alias("width"), F.md5(F.array_join(thousandths, ",").cast("binary")).alias("values_md5"))
+
+
+_ENCODED = "case when not regexp_matches(text, '[^\\x00-\\x7F]') then 'US-ASCII' when doc_id % 3 = 0 then 'UTF-8' when doc_id % 3 = 1 then 'windows-1252' else 'macintosh' end"
+
+
+@query(f"select encoding, count(*) n, true found from (select {_ENCODED} encoding from documents where text <> '') group by encoding")
+def detected_encodings(spark, sf_dir):
+    """Whole documents in one of three encodings by doc_id: whether of each at least 99 in 100 are found and decoded to the text they were made of."""
+    from tessera.sources import encodings
+
+    def run(texts: pa.Array, turns: pa.Array) -> pa.Array:
+        names = ("utf-8", "cp1252", "mac_roman")
+        return pa.array([t.as_py().encode(names[k.as_py()]) for t, k in zip(texts, turns, strict=True)], pa.binary())
+
+    encode = F.arrow_udf(run, "binary")
+    rows = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.col("text").rlike("[^\\x00-\\x7F]").alias("high"), encode("text", (F.col("doc_id") % 3).cast("int")).alias("content"))
+    own = F.when(~F.col("high"), "US-ASCII").when(F.col("doc_id") % 3 == 0, "UTF-8").when(F.col("doc_id") % 3 == 1, "windows-1252").otherwise("macintosh")
+    got = encodings.decoded(rows, encodings.learn(rows))
+    right = (F.col("encoding") == own) & (F.md5(F.col("text").cast("binary")) == F.col("md5"))
+    return got.groupBy(own.alias("own")).agg(F.count("*").alias("n"), (F.avg(right.cast("double")) >= 0.99).alias("found")).withColumnRenamed("own", "encoding")
+
+
+_SQL_ABBREVIATIONS = rf"""t as (select unnest(list_transform({_sql_words("text")}, lambda v: lower(v))) token from documents),
+u as (select regexp_replace(token, '\.$', '') word, token like '%.' stop from t where regexp_matches(token, '^\p{{L}}[\p{{L}}.]*$')),
+c as (select word, count_if(stop) n_stop, count_if(not stop) n_bare, len(word) - len(replace(word, '.', '')) inner_stops from u group by word),
+p as (select sum(n_stop) / sum(n_stop + n_bare) share from c),
+a as (select word from (select word, -2 * (n_stop * ln(share) + n_bare * ln(1 - share) - n_stop * ln(0.99) - n_bare * ln(1 - 0.99)) * exp(-(len(word) - inner_stops)::double) * (inner_stops + 1) * pow((len(word) - inner_stops)::double, -n_bare::double) score from c, p where n_stop > 0)
+where score >= 0.3 order by score desc, word limit 1000)"""
+
+
+@query(
+    rf"""with {_SQL_ABBREVIATIONS}, s as (select doc_id, list_filter(string_split_regex(regexp_replace({_sql_strip("text")}, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda v: v <> '') l from documents),
+e as (select doc_id, unnest(l[:-2]) x from s)
+select doc_id, len(l) - coalesce(k, 0) n_sentences from s left join (select doc_id, count(*) k from e join a on a.word = lower(regexp_extract(x, '([^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+)\.$', 1)) group by doc_id) using (doc_id)"""
+)
+def learnt_sentence_counts(spark, sf_dir):
+    """Sentences of whole documents, where abbreviations learnt from all of them end none."""
+    from tessera.operators import sentences
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(sentences.split_sentences("text", sentences.learn_abbreviations(docs))).cast("long").alias("n_sentences"))

@@ -192,8 +192,8 @@ def test_fill_count_offset(spark):
     assert [x.v for x in segments.forward_fill(rows, ["run"], "o", ["v"]).orderBy("o").collect()] == ["a", "a", "b", "b"]
     assert [x.c for x in segments.count_within(rows, ["run"], "o", "c").orderBy("o").collect()] == [1, 2, 1, 2]
     assert [x.n for x in segments.continue_run(rows, "run", "n").orderBy("o").collect()] == [1, 2, 3, 4]
-    made = segments.by_subject(spark.createDataFrame([("g", "s2", 1, "b"), ("g", "s2", 0, "a"), ("g", "s1", 0, "c")], "g string, s string, i int, text string"), ["g"], "s", "i").first()
-    assert made.subjects == {"s1": ["c"], "s2": ["a", "b"]} and list(made.subjects) == ["s1", "s2"]
+    made = segments.by_subject(spark.createDataFrame([("g", "s2", 1, "b"), ("g", "s2", 0, "a"), ("g", "s1", 0, "c")], "g string, s string, i int, text string"), ["g"], "s", "i")
+    assert {r.s: r.segments for r in made.collect()} == {"s1": ["c"], "s2": ["a", "b"]}
     assert rows.select(F.count("*")).first()[0] == 4
 
 
