@@ -6,8 +6,6 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-MATCHES = "sub_id string, recall_idx int, story_idxs array<bigint>"
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
@@ -36,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--story-name", help="instead of the story's file name")
     m.add_argument("--story-segmentation", help="instead of the method that the story's file names")
     m.add_argument("--recall-segmentation", help="instead of the method that the recalls name")
+    m.add_argument("--batch", type=int, default=500, help="subjects that are matched together; what is finished is not asked again after a stop")
     m.add_argument("--overwrite", action="store_true")
     m.add_argument("--dry-run", action="store_true")
     return p
@@ -66,7 +65,8 @@ def _segment(args, spark: SparkSession) -> None:
 
 
 def _match(args, spark: SparkSession):
-    from tessera.plans.matching import estimate, match
+    from tessera.plans.matching import estimate
+    from tessera.plans.resumable import finished, interruptible, match_in_batches
     from tessera.sources import segments as src
     from tessera.sources.sinks import exists, progress_of, remove, result_path, write_matches
 
@@ -82,14 +82,18 @@ def _match(args, spark: SparkSession):
     checkpoint = f"{path.removesuffix('.json')}.checkpoint.json"
     names = (args.matcher, name, method, recall_method, args.model)
     total = recall.select("sub_id").distinct().count()
+    ledger = f"{path.removesuffix('.json')}.ledger"
     try:
-        matches, _ = match(story, own, backend)
-        write_matches(matches, path, *names)
+        with interruptible(spark):
+            write_matches(match_in_batches(story, own, backend, ledger, args.batch), path, *names)
     except KeyboardInterrupt:
-        write_matches(spark.createDataFrame([], MATCHES), checkpoint, *names, progress=progress_of([], total, "KeyboardInterrupt"))
+        done = finished(spark, ledger).select("sub_id", "recall_idx", "story_idxs")
+        ids = [r["sub_id"] for r in done.select("sub_id").distinct().collect()]  # names of subjects, for the progress of the document
+        write_matches(done, checkpoint, *names, progress=progress_of(ids, total, "KeyboardInterrupt"))
         raise
-    if exists(spark, checkpoint):
-        remove(spark, checkpoint)
+    for left in (checkpoint, ledger):
+        if exists(spark, left):
+            remove(spark, left)
     return path
 
 

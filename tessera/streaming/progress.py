@@ -16,7 +16,7 @@ def recall_stream(spark: SparkSession, folder: str, most_files: int = 100) -> Da
     """sub_id, recall_idx, text of each text file of a folder, as a stream."""
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFilesPerTrigger", most_files).option("pathGlobFilter", "*.txt").load(folder)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return files.select(F.try_url_decode(name).alias("sub_id"), F.posexplode(text.lines(F.decode("content", "UTF-8"))).alias("recall_idx", "text"))
+    return files.select(name.alias("sub_id"), F.posexplode(text.lines(F.decode("content", "UTF-8"))).alias("recall_idx", "text"))
 
 
 def match_stream(spark: SparkSession, story: DataFrame, folder: str, backend: Backend, output: str, checkpoint: str):
