@@ -31,18 +31,26 @@ def lexical_matches(docs: DataFrame, items: DataFrame, doc_key: str, item_key: s
     return counted.where(F.col("score") >= least)
 
 
+ANCHOR = 8
+
+
 def _holders(units: DataFrame, wanted: DataFrame, doc_key: str, item_key: str) -> DataFrame | None:
-    """doc_key, item_key where a unit (doc_key, word) of the document holds the item's piece: pieces of the distinct units, of just the lengths that are wanted, meet them on equal keys."""
-    lengths = sorted(r[0] for r in wanted.select(F.length("piece")).distinct().collect())  # lengths of words or gaps: a few numbers
+    """doc_key, item_key where a unit (doc_key, word) of the document holds the item's piece.
+
+    Pieces and the distinct units meet on the piece's anchor, its first characters (ANCHOR at most, so that a
+    unit costs a short string a character, however long it or the pieces are); what meets is then searched for the whole piece.
+    """
+    anchored = wanted.withColumn("anchor", F.substring("piece", 1, ANCHOR))
+    lengths = sorted(r[0] for r in anchored.select(F.length("anchor")).distinct().collect())  # ANCHOR + 1 numbers at most
     if not lengths:
         return None
-    none, size = F.array().cast("array<string>"), F.char_length("word")
-
-    def of(n):
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("word", i, F.lit(n)))).otherwise(none) if n else F.array(F.lit(""))
-
-    distinct = units.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(of, lengths)))).alias("piece"))
-    return units.join(distinct.join(wanted, "piece").select(item_key, "word"), "word").select(doc_key, item_key)
+    of = lambda n: F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
+    distinct = units.select("word").distinct().withColumn("unit", F.xxhash64("word"))
+    # a unit's anchors travel with its hash, not with the unit
+    places = distinct.select("unit", F.explode(F.array_distinct(F.concat(*map(of, lengths)))).alias("anchor"))
+    met = places.join(anchored.select(item_key, "anchor"), "anchor").select("unit", item_key).distinct()
+    found = met.join(distinct, "unit").join(wanted, item_key).where(F.contains("word", "piece")).select(item_key, "word")
+    return units.join(found, "word").select(doc_key, item_key)
 
 
 def containment(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, column: str = "text") -> DataFrame:

@@ -197,6 +197,22 @@ def test_fill_count_offset(spark):
     assert rows.select(F.count("*")).first()[0] == 4
 
 
+def test_containment_of_very_long_words(spark):
+    """A word of 120,000 characters and a piece of 60,000: a short string a character, not all pieces of that length."""
+    import time
+
+    from tessera.operators import matching
+
+    r = random.Random(5)
+    word = "".join(r.choice("abcdef\U0001f600é") for _ in range(120_000))
+    docs = spark.createDataFrame([(1, f"x {word} y"), (2, word[:70_000]), (3, "short")], "d int, text string")
+    items = spark.createDataFrame([(1, word[30_000:90_000]), (2, word[5:60_005]), (3, word[100:103]), (4, "hort"), (5, word[:9] + "#" + word[10:40])], "i int, text string")
+    began = time.perf_counter()
+    got = {(x.d, x.i) for x in matching.containment(docs, items, "d", "i").collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {(d.d, i.i) for d in docs.collect() for i in items.collect() if i.text in d.text} and {(1, 1), (1, 2), (2, 2), (3, 4)} <= got
+
+
 def test_containment_equals_a_plain_search(spark):
     from tessera.operators import matching
 
