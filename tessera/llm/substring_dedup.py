@@ -63,6 +63,8 @@ def _scan(window: int, parts: int, shards: int):
 
     def flush(hashes, ids, starts):
         h, doc, start = (np.concatenate(x) for x in (hashes, ids, starts))
+        for x in (hashes, ids, starts):
+            x.clear()  # copied: the slices' own need not stay
         order = np.argsort(h, kind="stable")
         h, doc, start = h[order], doc[order], start[order]
         new = np.r_[True, h[1:] != h[:-1]]
