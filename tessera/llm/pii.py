@@ -38,7 +38,7 @@ SAMPLE = 3_000
 WINDOWS_EACH = 6
 WINDOW, STRIDE = 112, 56
 TRAIN_WIDTH = 64
-STEPS, BATCH = 240, 32
+STEPS, BATCH = 400, 32
 WIDTH, HIDDEN = 12, 16
 SEED = 7
 DECODE = 512
@@ -109,6 +109,7 @@ _CARD_FORM = re.compile(r"[0-9]+(?:[ ./_ -]{1,2}[0-9]+)*")
 _PHONE_FORM = re.compile(r"[+(0-9][0-9 ()./ -]*[0-9]")
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d)(?!\d)")
 _DIGIT = re.compile("[0-9]")
+_NUMBER = re.compile(r"[1-9][0-9]*(?:\.[0-9]+)?")
 
 
 def passes(kind: int, found: str) -> bool:
@@ -129,7 +130,8 @@ def passes(kind: int, found: str) -> bool:
     if kind == 2:
         return 14 <= len(digits) <= 19 and _CARD_FORM.fullmatch(found) is not None and luhn(digits)
     book = len(digits) == 13 and digits.startswith(("978", "979"))
-    return 10 <= len(digits) <= 15 and not book and _PHONE_FORM.fullmatch(found) is not None and found.count("(") == found.count(")") and not _DATE.match(found)
+    number = _NUMBER.fullmatch(found) is not None
+    return 10 <= len(digits) <= 15 and not book and not number and _PHONE_FORM.fullmatch(found) is not None and found.count("(") == found.count(")") and not _DATE.match(found)
 
 
 def _ids(chars: np.ndarray) -> np.ndarray:

@@ -33,6 +33,10 @@ def test_odd_tables(spark, folders, name):
     plain = sorted(map(str, f(spark, f"{top}/plain").collect()))
     clash = f(spark, f"{top}/clash")
     assert sorted(map(str, clash.collect())) == plain
-    assert {r.doc_id for r in clash.collect()} == ids
-    assert {r.doc_id for r in f(spark, f"{top}/twice").collect()} == ids
+    if name.startswith("op11_"):  # a row an item and rank
+        assert {r.doc_id for r in clash.collect()} <= ids and {r.item_id for r in clash.collect()} == {1, 3}
+        assert {r.item_id: r["rank"] for r in f(spark, f"{top}/twice").orderBy("rank").collect()} == {1: 10, 3: 10}
+    else:
+        assert {r.doc_id for r in clash.collect()} == ids
+        assert {r.doc_id for r in f(spark, f"{top}/twice").collect()} == ids
     assert f(spark, f"{top}/empty").count() == 0
