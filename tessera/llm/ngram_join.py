@@ -529,12 +529,44 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_
     return out.select(*columns, *([F.coalesce("links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id and text_crc32 of the rows with a doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32")).where("doc_id is not null")
+
+
+def cut_since(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """The doc_ids whose one text is not the one they had in before. Ids that several texts share in either table are left out: which came of which is not known."""
+    one = lambda x, c: _narrow(x).groupBy("doc_id").agg(F.min("text_crc32").alias(c), F.max("text_crc32").alias("most")).where(F.col(c) == F.col("most")).drop("most")
+    return one(docs, "now").join(one(before, "former"), "doc_id").where("now <> former").select("doc_id")
+
+
+def groups_with_former(docs: DataFrame, before: DataFrame, **options) -> DataFrame:
+    """doc_id, text_crc32, component_id, component_crc32 of docs, that link by what they are or by what they were in before.
+
+    The former texts of documents that were cut since join as documents of their own; then the
+    groups that hold a document's two texts are one. Groups are named by a document of docs.
+    """
+    keys = ["doc_id", "text_crc32"]
+    text = lambda x: x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cut = C.stash(cut_since(docs, before))
+    every = ngram_join(text(docs).unionByName(text(before).join(cut, "doc_id", "left_semi")), **options)
+    every = C.stash(every.select(*keys, F.xxhash64("component_id", "component_crc32").alias("node")))
+    two = every.join(cut, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    joined = every.join(components(two.select("a", "b")), "node", "left").select(*keys, F.coalesce("component", "node").alias("node"))
+    own = C.stash(joined.join(_narrow(docs).distinct(), keys, "left_semi"))
+    least = own.groupBy("node").agg(F.min(F.struct(*keys)).alias("name"))
+    return own.join(least, "node").select(*keys, F.col("name.doc_id").alias("component_id"), F.col("name.text_crc32").alias("component_crc32"))
+
+
+def one_of_each(docs: DataFrame, before: DataFrame | None = None, **options) -> DataFrame:
     """docs without those that link, directly or not, with an earlier one; all columns.
 
+    before: documents as they were before something cut lines from them. What is left of a near
+    copy resembles nothing any more, so documents link by their former texts too.
     Of equal rows (same doc_id, same text) one stays; rows without doc_id all stay.
     """
-    groups = C.stash(ngram_join(docs, **options))
+    groups = C.stash(ngram_join(docs, **options) if before is None else groups_with_former(docs, before, **options))
     later = groups.where("doc_id <> component_id or text_crc32 <> component_crc32").select(F.struct("doc_id", "text_crc32").alias("gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     identity = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"))
