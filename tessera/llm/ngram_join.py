@@ -514,7 +514,8 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, block_
     classes = C.stash(filled.groupBy(*keys).agg(F.min(F.struct("doc_id", "crc")).alias("first"), F.count("*").alias("copies")))
     k = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 100)
     # a class's first document speaks for it in some slice; ids that several texts share pass the more easily
-    alive = classes.select(*keys, "copies", F.col("first.doc_id").alias("doc_id")).join(shared, "doc_id").where(F.col("shared") >= k).drop("shared")
+    # written first: a small table of known size is broadcast to the texts, so they are not shuffled
+    alive = C.stash(classes.select(*keys, "copies", F.col("first.doc_id").alias("doc_id")).join(shared, "doc_id").where(F.col("shared") >= k).drop("shared"))
     hashed = texts.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets_of(gram), _SETS)
     alive = alive.select(F.col("fp1").alias("node"), "n", "fp2", "copies")
     sets = C.stash(hashed.join(alive, ["node", "n", "fp2"]).dropDuplicates(["node"]).select("node", "n", "copies", "hashes"))
