@@ -542,36 +542,37 @@ def cut_since(docs: DataFrame, before: DataFrame) -> DataFrame:
     return one(docs, "now").join(one(before, "former"), "doc_id").where("now <> former").select("doc_id")
 
 
-def groups_with_former(docs: DataFrame, before: DataFrame, **options) -> DataFrame:
-    """doc_id, text_crc32, component_id, component_crc32 of docs, that link by what they are or by what they were in before.
-
-    The former texts of documents that were cut since join as documents of their own; then the
-    groups that hold a document's two texts are one. Groups are named by a document of docs.
-    """
-    keys = ["doc_id", "text_crc32"]
-    text = lambda x: x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def without_former_copies(docs: DataFrame, before: DataFrame, **options) -> DataFrame:
+    """docs without those whose text in before links, directly or not, with the text there of an earlier one of docs. A document that was not cut stands for itself."""
     cut = C.stash(cut_since(docs, before))
-    every = ngram_join(text(docs).unionByName(text(before).join(cut, "doc_id", "left_semi")), **options)
-    every = C.stash(every.select(*keys, F.xxhash64("component_id", "component_crc32").alias("node")))
-    two = every.join(cut, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    joined = every.join(components(two.select("a", "b")), "node", "left").select(*keys, F.coalesce("component", "node").alias("node"))
-    own = C.stash(joined.join(_narrow(docs).distinct(), keys, "left_semi"))
-    least = own.groupBy("node").agg(F.min(F.struct(*keys)).alias("name"))
-    return own.join(least, "node").select(*keys, F.col("name.doc_id").alias("component_id"), F.col("name.text_crc32").alias("component_crc32"))
+    text = lambda x: x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = text(docs).join(cut, "doc_id", "left_anti").unionByName(text(before).join(cut, "doc_id", "left_semi"))
+    later = ngram_join(whole, **options).where("doc_id <> component_id or text_crc32 <> component_crc32").select("doc_id", "text_crc32")
+    # documents that were cut have one text in docs: their later ones are named by what it is now
+    named = later.join(cut.withColumn("was_cut", F.lit(True)), "doc_id", "left").join(_narrow(docs).distinct().withColumnRenamed("text_crc32", "now"), "doc_id")
+    gone = C.stash(named.where("was_cut or now = text_crc32").select(F.struct("doc_id", F.col("now").alias("text_crc32")).alias("gone")))
+    return docs.select(F.struct("*").alias("row"), _key().alias("key")).join(gone, F.col("key") == F.col("gone"), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _key():
+    """doc_id and the text's checksum; null without doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return F.when(F.col("doc_id").cast("long").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32")))
 
 
 def one_of_each(docs: DataFrame, before: DataFrame | None = None, **options) -> DataFrame:
     """docs without those that link, directly or not, with an earlier one; all columns.
 
     before: documents as they were before something cut lines from them. What is left of a near
-    copy resembles nothing any more, so documents link by their former texts too.
+    copy resembles nothing any more, so near copies by former texts go first, then those by
+    what is left.
     Of equal rows (same doc_id, same text) one stays; rows without doc_id all stay.
     """
-    groups = C.stash(ngram_join(docs, **options) if before is None else groups_with_former(docs, before, **options))
+    if before is not None:
+        docs = without_former_copies(docs, before, **options)
+    groups = C.stash(ngram_join(docs, **options))
     later = groups.where("doc_id <> component_id or text_crc32 <> component_crc32").select(F.struct("doc_id", "text_crc32").alias("gone"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    identity = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"))
-    rows = docs.select(F.struct("*").alias("row"), F.when(F.col("doc_id").cast("long").isNotNull(), identity).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key"))
     kept = rows.join(later, F.col("key") == F.col("gone"), "left_anti")
     if docs.where("doc_id is not null").count() != groups.count():
         kept = kept.where("key is not null").dropDuplicates(["key"]).unionByName(kept.where("key is null"))

@@ -46,20 +46,12 @@ def folder(spark, tmp_path_factory):
     return top, dict(docs), item
 
 
-def first_of_near_copies(now, before):
-    """The smallest doc_id of each document's group, when documents link by their texts now or by those before."""
-    parent = {d: d for d in now if d is not None}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    rows = [(2 * d, x) for d, x in now.items() if d is not None] + [(2 * d + 1, before[d]) for d in parent if before.get(d, now[d]) != now[d]]
-    for k, (_, to, _) in test_ngram_join.brute(rows).items():
-        a, b = sorted((root(k // 2), root(to // 2)))
-        parent[b] = a
-    return {d: root(d) for d in parent}
+def one_of_near_copies(now, before):
+    """The doc_ids left: of near copies by the texts before the first stays, then of near copies by the texts now."""
+    for texts in ({d: before.get(d, x) for d, x in now.items()}, now):
+        group = test_ngram_join.brute([(d, x) for d, x in texts.items() if d in now])
+        now = {d: x for d, x in now.items() if d is None or group[d][1] == d}
+    return set(now)
 
 
 def test_each_stage(spark, folder, tmp_path):
@@ -89,8 +81,7 @@ def test_each_stage(spark, folder, tmp_path):
             want = {d: x if not gone.get(d) else "\n".join(y for i, y in enumerate(x.split("\n")) if i not in gone[d]) for d, x in held.items()}
             want = {d: x for d, x in want.items() if not gone.get(d) or WORD.search(x)}
         elif name == "ngram_jaccard_join":
-            first = first_of_near_copies(held, docs)
-            want = {d: x for d, x in held.items() if d is None or first[d] == d}
+            want = {d: held[d] for d in one_of_near_copies(held, docs)}
             # near copies of the stage's documents, by their texts before line dedup: one of each group is left
             whole = test_ngram_join.brute([(d, docs[d]) for d in held if d is not None])
             later = {d for d, g in whole.items() if g[1] != d}
@@ -175,15 +166,13 @@ def test_near_copies_by_former_texts(spark):
     now[503] = now[1]  # resembles another document only as it is now
     schema = "doc_id long, text string"
     frame = lambda rows, parts: spark.createDataFrame(list(rows), schema).repartition(parts)
-    first = first_of_near_copies(now, before)
-    want = sorted(d for d in now if first[d] == d)
+    want = sorted(one_of_near_copies(now, before))
     assert 40 < len(want) < 60
     for parts in (1, 5):
         assert sorted(x.doc_id for x in one_of_each(frame(now.items(), parts), frame(before.items(), parts)).collect()) == want
     # two texts share id 11: which came of which is unknown, so it is judged by what it is now
     shared = one_of_each(frame(now.items(), 2), frame([*before.items(), (11, "another text")], 2))
     left = {d: x for d, x in before.items() if d != 11}
-    first = first_of_near_copies(now, left | {11: now[11]})
-    assert sorted(x.doc_id for x in shared.collect()) == sorted(d for d in now if first[d] == d)
+    assert sorted(x.doc_id for x in shared.collect()) == sorted(one_of_near_copies(now, left | {11: now[11]}))
     assert one_of_each(frame([], 1), frame(before.items(), 1)).count() == 0
     assert one_of_each(frame(now.items(), 1), frame([], 1)).count() == one_of_each(frame(now.items(), 1)).count()
