@@ -276,6 +276,24 @@ def first_valid_attempt(spark, sf_dir):
     return _first_valid(spark, sf_dir).select("l_orderkey", _list_text("story_idxs").alias("story_idxs"), "n_attempts")
 
 
+@query(f"select l_orderkey, {_LIST_TEXT.format('story_idxs')} story_idxs, n_attempts, any_valid from ({_SQL_FIRST})")
+def streamed_first_attempts(spark, sf_dir):
+    """The same attempts as files arrive, in several batches of a stateful stream; each order's last verdict."""
+    from tessera.sources.shared import shared_dir
+    from tessera.streaming import retries
+
+    top = shared_dir(spark)
+    numbered = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "response")) - 1
+    made = _responses(spark, sf_dir).select("l_orderkey", numbered.alias("attempt"), "response")
+    # dealt by attempt and order: a later attempt may well arrive before an earlier one
+    made.repartition(8, "attempt", "l_orderkey").write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 4).parquet(f"{top}/in")
+    verdicts = retries.first_valid_stream(stream, ["l_orderkey"], F.lit(30), max_retries=3)
+    retries.write_verdicts(verdicts, f"{top}/out", f"{top}/state").awaitTermination()
+    last = retries.latest(spark.read.schema(verdicts.schema).parquet(f"{top}/out"), ["l_orderkey"])
+    return last.select("l_orderkey", _list_text("story_idxs").alias("story_idxs"), "n_attempts", "any_valid")
+
+
 @query(f"select n_attempts, any_valid, count(*) n from ({_SQL_FIRST}) group by all")
 def retry_histogram(spark, sf_dir):
     return _first_valid(spark, sf_dir).groupBy("n_attempts", "any_valid").agg(F.count("*").alias("n"))
