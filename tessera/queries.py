@@ -809,3 +809,29 @@ def learnt_sentence_counts(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(sentences.split_sentences("text", sentences.learn_abbreviations(docs))).cast("long").alias("n_sentences"))
+
+
+#: Cosines of the vectors with ids divisible by 100 and all others; rounded as Spark and DuckDB sum in different orders.
+_SQL_COSINES = "select q.vec_id query_id, v.vec_id vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) score from embeddings q join embeddings v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id"
+
+
+def _near_vectors(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    from tessera.operators import vectors
+
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = every.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return vectors.vector_matches(every, asked, "vec_id", "query_id", least=least, bits=8).where("vec_id <> query_id")
+
+
+@query(f"select query_id, vec_id, round(score, 9) score from ({_SQL_COSINES}) where score >= 0.3")
+def vector_matches(spark, sf_dir):
+    """All vectors within a cosine of 0.3 of each asked one. The table's vectors have few near ones, so most pairs share a bucket at such a bound."""
+    return rounded(_near_vectors(spark, sf_dir, 0.3))
+
+
+@query(f"select query_id, arg_min(vec_id, {{'a': -score, 'b': vec_id}}) vec_id, round(max(score), 9) score from ({_SQL_COSINES}) where score >= 0.3 group by query_id")
+def vector_best_match(spark, sf_dir):
+    """The nearest vector of each asked one, if one is within 0.3."""
+    from tessera.operators import vectors
+
+    return rounded(vectors.best_matches(_near_vectors(spark, sf_dir, 0.3), ["query_id"], "vec_id"))
