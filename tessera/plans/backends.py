@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 BACKENDS: dict[str, type] = {}
 #: What a reply may tell of its making.
-USAGE = {"in_tokens": "bigint", "out_tokens": "bigint", "seconds": "double"}
+#: peak_mb: the most memory that the answering Python worker has held so far.
+USAGE = {"in_tokens": "bigint", "out_tokens": "bigint", "seconds": "double", "peak_mb": "double"}
 REPLY_TOKENS = 1024
 #: USD per million tokens, in and out.
 PRICES: dict[str, tuple[float, float]] = {"example-small": (0.5, 2.0), "example-large": (5.0, 20.0)}
@@ -125,6 +126,8 @@ class Adapter(Backend):
         make, batch, options = self.make, self.batch, {**self.options, "model": self.model, "api_key": self.api_key, "attempt": attempt}
         schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType()), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in USAGE.items())])
 
+        from .usage import peak_mb
+
         def run(batches: Iterator[pa.RecordBatch]):
             ask = None
             for b in batches:
@@ -134,8 +137,9 @@ class Adapter(Backend):
                     began, some = time.perf_counter(), texts[a : a + batch]
                     replies = [r if isinstance(r, tuple) else (r, None, None) for r in ask(some)]
                     each = (time.perf_counter() - began) / len(some)
-                    got += [(*r, each) for r in replies]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
+                    peak = peak_mb()
+                    got += [(*r, each, peak) for r in replies]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.record_batch([*b.columns, *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True))] if got else [*b.columns, *(pa.array([], t) for t in kinds)], [*b.schema.names, "response", *USAGE])
 
         return prompts.mapInArrow(run, schema)

@@ -11,14 +11,15 @@ from tessera.sources.shared import stash
 
 from .backends import PRICES, USAGE, Backend, price_table
 from .prompts import match_prompts
+from .usage import Meter
 
 
-def attempts(prompts: DataFrame, backend: Backend, keys: list[str]) -> DataFrame | None:
-    """keys, n_story, attempt, response, in_tokens, out_tokens, seconds, parsed, valid: every attempt that was made; None if none may be.
+def attempts(prompts: DataFrame, backend: Backend, keys: list[str], meter: Meter | None = None) -> DataFrame | None:
+    """keys, n_story, attempt, response, in_tokens, out_tokens, seconds, peak_mb, parsed, valid: every attempt that was made; None if none may be.
 
     Each round answers what has no valid attempt yet, and its rows go to the shared folder:
     a reply is asked for once, and a round's plan does not grow with the rounds before. Prompts
-    are kept once; a round's rows hold the replies.
+    are kept once; a round's rows hold the replies. A meter takes the totals as the rounds are written.
     """
     pending, made = prompts, None
     for k in range(backend.max_retries):
@@ -26,7 +27,8 @@ def attempts(prompts: DataFrame, backend: Backend, keys: list[str]) -> DataFrame
         for name, kind in USAGE.items():
             if name not in asked.columns:
                 asked = asked.withColumn(name, F.lit(None).cast(kind))
-        now = stash(parse_attempts(asked.select(*keys, "n_story", F.lit(k).alias("attempt"), "response", *USAGE), F.col("n_story")))
+        parsed = parse_attempts(asked.select(*keys, "n_story", F.lit(k).alias("attempt"), "response", *USAGE), F.col("n_story"))
+        now = meter.written(parsed) if meter else stash(parsed)
         made = now if made is None else made.unionByName(now)
         bad = now.where(~F.col("valid")).select(*keys)
         if bad.isEmpty():
@@ -35,11 +37,11 @@ def attempts(prompts: DataFrame, backend: Backend, keys: list[str]) -> DataFrame
     return made
 
 
-def match(story: DataFrame, recall: DataFrame, backend: Backend, story_key: str = "story_name", keys: tuple[str, ...] = ("sub_id",), idx: str = "recall_idx", story_idx: str = "story_idx") -> tuple[DataFrame, DataFrame]:
+def match(story: DataFrame, recall: DataFrame, backend: Backend, story_key: str = "story_name", keys: tuple[str, ...] = ("sub_id",), idx: str = "recall_idx", story_idx: str = "story_idx", meter: Meter | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches: story_key, keys, idx, story_idxs; the attempts, with their prompts). Without recalls there are no rows and no calls; without retries nothing is asked and nothing matches."""
     by = [story_key, *keys, idx]
     prompts = stash(match_prompts(story, recall, backend.window, backend.template, story_key, keys, idx, story_idx))
-    made = attempts(prompts, backend, by)
+    made = attempts(prompts, backend, by, meter)
     nothing = F.array().cast("array<bigint>")
     if made is None:
         none = prompts.select(*by, "n_story", F.lit(0).alias("attempt"), "prompt", F.lit("").alias("response"), *(F.lit(None).cast(t).alias(c) for c, t in USAGE.items()), nothing.alias("parsed"), F.lit(False).alias("valid")).limit(0)

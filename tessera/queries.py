@@ -835,3 +835,22 @@ def vector_best_match(spark, sf_dir):
     from tessera.operators import vectors
 
     return rounded(vectors.best_matches(_near_vectors(spark, sf_dir, 0.3), ["query_id"], "vec_id"))
+
+
+@query(
+    """select count(*)::bigint n_attempts, count_if(o_orderkey % 3 <> 0)::bigint n_valid, count_if(o_orderkey % 5 <> 0)::bigint n_metered, sum(case when o_orderkey % 5 <> 0 then o_custkey end)::bigint in_tokens,
+sum(case when o_orderkey % 5 <> 0 then o_orderkey % 1000 end)::bigint out_tokens, round(n_metered * 0.5, 6) seconds, round(out_tokens / (n_metered * 0.5), 6) tokens_per_second, (max(o_orderkey % 777))::double peak_mb, round((in_tokens * 0.5 + out_tokens * 2.0) / 1e6, 6) cost from orders"""
+)
+def observed_usage(spark, sf_dir):
+    """Totals over all orders as attempts, observed while they are written; every fifth tells no tokens."""
+    from tessera.plans.usage import Meter
+    from tessera.sources.shared import scratch
+
+    told, meter = F.col("o_orderkey") % 5 != 0, Meter()
+    log = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 3 != 0).alias("valid"), F.when(told, F.col("o_custkey")).alias("in_tokens"), (F.col("o_orderkey") % 1000).alias("out_tokens"), F.lit(0.5).alias("seconds"), (F.col("o_orderkey") % 777).cast("double").alias("peak_mb")
+    )
+    with scratch():
+        meter.written(log)
+    kinds = "n_attempts long, n_valid long, n_metered long, in_tokens long, out_tokens long, seconds double, tokens_per_second double, peak_mb double, cost double"
+    return rounded(spark.createDataFrame([meter.totals(0.5, 2.0)], kinds), 6)
