@@ -839,7 +839,7 @@ def vector_best_match(spark, sf_dir):
 
 @query(
     """select count(*)::bigint n_attempts, count_if(o_orderkey % 3 <> 0)::bigint n_valid, count_if(o_orderkey % 5 <> 0)::bigint n_metered, sum(case when o_orderkey % 5 <> 0 then o_custkey end)::bigint in_tokens,
-sum(case when o_orderkey % 5 <> 0 then o_orderkey % 1000 end)::bigint out_tokens, round(n_metered * 0.5, 6) seconds, round(out_tokens / (n_metered * 0.5), 6) tokens_per_second, (max(o_orderkey % 777))::double peak_mb, round((in_tokens * 0.5 + out_tokens * 2.0) / 1e6, 6) cost from orders"""
+sum(case when o_orderkey % 5 <> 0 then o_orderkey % 1000 end)::bigint out_tokens, round(n_metered * 0.5, 6)::double as seconds, round(out_tokens / (n_metered * 0.5), 6) as tokens_per_second, (max(o_orderkey % 777))::double peak_mb, round((in_tokens * 0.5 + out_tokens * 2.0) / 1e6, 6) cost from orders"""
 )
 def observed_usage(spark, sf_dir):
     """Totals over all orders as attempts, observed while they are written; every fifth tells no tokens."""
