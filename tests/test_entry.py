@@ -75,3 +75,19 @@ def test_cover_and_segmentation_equal_sql(spark, tmp_path):
         want = con.execute(f"select {', '.join(got.columns)} from ({q.oracle_sql()[name]})").fetchall()
         rows = sorted(map(tuple, got.collect()), key=str)
         assert rows == sorted(want, key=str) and len({r[1] for r in rows}) > 1
+
+
+def test_subject_lists_hold_all_subjects_of_a_role(spark, tmp_path):
+    """A row a role, whose digest is of all its subjects' segments in order; null texts, subjects and roles among them."""
+    duckdb = pytest.importorskip("duckdb")
+    from tessera import queries
+
+    rows = [(c, t, r, f"{c} {t}" if (c + t) % 5 else None) for c in range(30, 0, -1) for t in range(4) for r in ("user", "bot")]
+    rows += [(None, 1, "user", "no subject"), (2, 9, None, "no role"), (3, 0, "silent", None), (4, 5, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(queries.SQL["subject_lists"])
+    names, want = [c[0] for c in cur.description], cur.fetchall()
+    got = queries.QUERIES["subject_lists"](spark, str(tmp_path)).select(names).collect()
+    assert len(want) == 4 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))

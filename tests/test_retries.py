@@ -86,3 +86,16 @@ def test_open_segments_are_given_up(spark, tmp_path):
 
 def q_schema(spark):
     return "story_name string, recall_idx int, turn int, status string, story_idxs array<bigint>, n_attempts bigint, attempts_left int, any_valid int"
+
+
+def test_verdicts_of_many_segments_need_no_python_state(spark, tmp_path):
+    """Without patience the state is an aggregation of Spark's: no worker reads the segments one by one."""
+    folder, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    add(spark, folder, [("a", 0, 1, "<2>")])
+    assert "TransformWithState" not in stream(spark, folder, max_retries=3)._jdf.queryExecution().logical().toString()
+    retries.write_verdicts(stream(spark, folder, max_retries=3), out, check).awaitTermination()
+    add(spark, folder, [("a", 0, 1, "<2>"), ("a", 0, 0, "<3>")])
+    retries.write_verdicts(stream(spark, folder, max_retries=3), out, check).awaitTermination()
+    rows = spark.read.schema(q_schema(spark)).parquet(out).orderBy("turn").collect()
+    assert [(r.status, list(r.story_idxs), r.n_attempts, r.attempts_left) for r in rows] == [("open", [1], 2, 2), ("answered", [2], 1, 0)]
+    assert rows[0].turn < rows[1].turn
