@@ -7,22 +7,21 @@ unseen context has no bigram estimate.
 
 1. One scan counts words: distinct (word, count) per slice, then summed by word.
 2. The most frequent words, at most HOT of them, are broadcast with their counts (a fixed
-   bound). A second scan sends each document's distinct bigrams once, packed: two hot words
-   as a pair of small numbers, to the part of the pair; else to the part of the rarer word, where
-   that word's count is. So every occurrence of a bigram meets in one part, which counts it
-   over the training documents. Of two rare words the second's count is fetched by one more
-   exchange of those pairs alone. The result, kept in the shared folder, has for each
-   distinct bigram its counts, and who has it.
-3. Expectation-maximisation on held-out counts: each training token is left out of the counts
-   in turn (c(v w) - 1, c(v) - 1, c(w) - 1, N - 1). All bigrams are summed into cells of
+   bound). A second scan sends each slice's distinct bigrams once, with how often training documents
+   of the slice have them: two hot words as a small number, any other two as a hash of 64 bits, packed in the
+   order of these, to the part that has the range they are in; and its other words, to the part that counted them.
+   Beside them goes the slice's table: its words, and its tokens as places among these.
+3. A part adds up each bigram's occurrences, and answers each slice in the order in which it was asked, so
+   that answers need no keys. Tables and answers meet by groups of slices: a row a slice in the shared
+   folder, with the counts of its words and, for each token, of its bigram.
+4. Expectation-maximisation on held-out counts: each training token is left out of the counts
+   in turn (c(v w) - 1, c(v) - 1, c(w) - 1, N - 1). All training tokens are summed into cells of
    (bucket, size of the bigram estimate, size of the unigram estimate), at most a few ten
    thousand, on which the weights are fitted.
-4. Each task adds log10 p of its bigrams to the documents that have them, in sums by scan slice
-   that leave it when they reach HELD documents, or at its end: a row for each group of slices.
-   A slice's sums meet at its document table.
+5. Each task adds log10 p of the tokens of its slices' documents. Nothing is exchanged any more.
 
-A frequent bigram costs a record per document that has it, never a row per pair of
-documents, and pairs of frequent words are spread by the pair.
+What is exchanged grows with the tokens only: a bigram costs a record per slice that has it, however many
+documents have it, and its answer a count.
 
 Defined cases: null and empty texts are the end token alone; without training documents
 N = V = 0 and p is the uniform's first weight; rows without doc_id are left out; repeated rows count and are returned
@@ -31,6 +30,8 @@ each time.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,19 +43,57 @@ from . import common as C
 HOT = 1 << 18
 FLUSH = 800_000
 PART_BYTES = 4 << 20
-TYPES = 200_000
-HELD = 2_000_000
 RARE = C.U64(1 << 63)
 END = C.U64(0x1D2C3B4A59687786)
 BUCKETS = 40
 CELLS = 96
-PAIRS, FIRST_RARE, SECOND_RARE, BOTH_RARE, COUNTS, TABLE = range(6)
+COUNTS, TABLE, ASKED, ANSWER = range(4)
+PAIR_BITS = 36
 _ROUTED = "part int, kind int, blob binary"
 _TOLD = "slices int, kind int, blob binary"
 
 
-def _spread(kind: int, parts: int, h: np.ndarray) -> np.ndarray:
-    return C.part_of(h << C.U64(1), parts) if kind != PAIRS else C.part_of(C.mix(h), parts)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Encoded columns, compressed: counts, places and gaps of frequent things are short."""
+    raw = C.encode(*columns)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob) -> list[np.ndarray]:
+    (size,) = struct.unpack_from("<Q", blob)
+    return C.decode(pa.decompress(memoryview(blob)[8:], decompressed_size=size, codec="zstd", asbytes=True))
+
+
+def _spread(parts: int, word: np.ndarray) -> np.ndarray:
+    """The part that counts a word."""
+    return C.part_of(word << C.U64(1), parts)
+
+
+def _group(number: int, groups: int) -> int:
+    """Slices are dealt by a hash: their numbers have a stride."""
+    return int(C.part_of(C.mix(np.array([number], C.U64)), groups)[0])
+
+
+def _scrambled(pair: np.ndarray) -> np.ndarray:
+    """Numbers of PAIR_BITS bits, one to one, spread over their range."""
+    half, mask = C.U64(PAIR_BITS // 2), C.U64((1 << PAIR_BITS) - 1)
+    for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        pair = (pair * C.U64(odd)) & mask
+        pair ^= pair >> half
+    return pair
+
+
+def _bigrams(code: np.ndarray, token: np.ndarray):
+    """Of a slice's tokens, places in its words' codes: keys of the distinct bigrams, those of two hot words first, each kind in order; how many those are; each token's bigram."""
+    before = np.r_[token[-1], token[:-1]]  # every document ends with the end token
+    both, of = np.unique(before << 32 | token, return_inverse=True)
+    a, b = code[both >> 32], code[both & 0xFFFFFFFF]
+    rare = (a >= RARE) | (b >= RARE)
+    key = np.where(rare, C.mix(C.mix(a) + b * C.U64(0x9E3779B97F4A7C15)), _scrambled(a << C.U64(PAIR_BITS // 2) | b))
+    order = np.lexsort((key, rare))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return key[order], int((~rare).sum()), place[of]
 
 
 class Slices:
@@ -97,20 +136,20 @@ def _count_words(parts: int):
     def run(batches):
         for h, doc, _, train in _slices(batches):
             word, n = np.unique(h[train[doc]], return_counts=True)
-            cut = np.searchsorted(_spread(COUNTS, parts, word), np.arange(parts + 1))
+            cut = np.searchsorted(_spread(parts, word), np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cut))
-            yield C.rows(schema, some, [C.encode(C.deltas(word[cut[p] : cut[p + 1]]), n[cut[p] : cut[p + 1]]) for p in some])
+            yield C.rows(schema, some, [_pack(C.deltas(word[cut[p] : cut[p + 1]]), n[cut[p] : cut[p + 1]]) for p in some])
 
     return run
 
 
 def _add_words(part):
-    words, n = zip(*((np.cumsum(w, dtype=C.U64), n.view(np.int64)) for w, n in map(C.decode, C.blobs(part["blob"]))), strict=True)
+    words, n = zip(*((np.cumsum(w, dtype=C.U64), n.view(np.int64)) for w, n in map(_unpack, C.blobs(part["blob"]))), strict=True)
     word, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, np.concatenate(n)).astype(np.int64)
     levels = np.bincount(np.log2(total).astype(int), minlength=64)
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("levels", pa.list_(pa.int64())), ("blob", pa.binary())])
-    return pa.table([[part["part"][0].as_py()], [int(total.sum())], [len(word)], [levels.tolist()], [C.encode(C.deltas(word), total)]], schema=schema)
+    return pa.table([[part["part"][0].as_py()], [int(total.sum())], [len(word)], [levels.tolist()], [_pack(C.deltas(word), total)]], schema=schema)
 
 
 def _hot_words(least: int):
@@ -119,64 +158,45 @@ def _hot_words(least: int):
     def run(batches):
         for b in batches:
             for blob in C.blobs(b.column(0)):
-                w, n = C.decode(blob)
+                w, n = _unpack(blob)
                 some = n >= least
                 yield C.rows(schema, np.cumsum(w, dtype=C.U64)[some].view(np.int64), n[some].view(np.int64))
 
     return run
 
 
-def _scan(parts: int, hot, total: int, distinct: int):
-    """Rows for the parts, and the document table of each slice with what it knows of the base."""
+def _scan(parts: int, hot):
+    """Rows for the parts: what each slice asks them, and its table."""
     schema = C.arrow(_ROUTED)
 
     def run(batches):
-        words, counts = hot.value
-        log = np.log10((np.r_[counts, 0] + 1) / (total + distinct + 1))
+        words, rank, _ = hot.value
         number = TaskContext.get().partitionId() << 24
         for h, doc, ids, train in _slices(batches):
             number += 1
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            is_hot = words[at] == h if len(words) else np.zeros(len(h), bool)
-            code = np.where(is_hot, at.astype(C.U64), h | RARE)
-            n = len(ids)
-            base = np.bincount(doc, np.where(is_hot, log[at], 0), n)
-            known, size = np.bincount(doc, is_hot, n), np.bincount(doc, minlength=n)
-            put = [[number % parts], [TABLE], [C.encode(np.array([number]), ids.astype(np.int64).view(C.U64), size, known, base.view(C.U64))]]
-            end = code[-1]  # every document ends with it
-            before = np.r_[end, code[:-1]]
-            rare, rare_before = code >= RARE, before >= RARE
-            for kind, sel in ((PAIRS, ~rare & ~rare_before), (FIRST_RARE, ~rare & rare_before), (SECOND_RARE, rare & ~rare_before), (BOTH_RARE, rare & rare_before)):
-                i = np.flatnonzero(sel)
-                if not len(i):
-                    continue
-                if kind == PAIRS:
-                    key, other = before[i] << C.U64(18) | code[i], None
-                    route = C.mix(key)
-                else:
-                    key, other = (code[i], before[i]) if kind == SECOND_RARE else (before[i], code[i])
-                    key &= ~RARE
-                    route = key << C.U64(1)
-                o = np.lexsort((doc[i], key) if other is None else (doc[i], other, key))
-                key, d, route = key[o], doc[i][o], route[o]
-                new = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
-                if other is not None:
-                    other = other[o]
-                    new |= other[1:] != other[:-1]
-                first = np.flatnonzero(np.r_[True, new])
-                times = np.diff(np.r_[first, len(key)])
-                key, d, p = key[first], d[first], C.part_of(route[first], parts)
-                told = times * 2 + train[d]
-                p_order = np.argsort(p, kind="stable")
-                cut = np.searchsorted(p[p_order], np.arange(parts + 1))
-                for q in np.flatnonzero(np.diff(cut)):
-                    x = p_order[cut[q] : cut[q + 1]]
-                    cols = [C.deltas(key[x]), d[x], told[x]]
-                    if other is not None:
-                        cols.append(other[first][x] & ~RARE)
-                    put[0].append(int(q))
-                    put[1].append(kind)
-                    put[2].append(C.encode(np.array([number]), *cols))
+            word, token = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, word), max(0, len(words) - 1))
+            is_hot = words[at] == word if len(words) else np.zeros(len(word), bool)
+            code = np.where(is_hot, rank[at], word | RARE) if len(words) else word | RARE
+            order = np.argsort(code)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            code, token = code[order], place[token]
+            n_hot = int(is_hot.sum())
+            rare = code[n_hot:] & ~RARE
+            size = np.bincount(doc, minlength=len(ids))
+            table = _pack(np.array([number]), ids.astype(np.int64).view(C.U64), size, train, C.deltas(code[:n_hot]), C.deltas(rare), token)
+            put = [[_group(number, parts)], [TABLE], [table]]
+            key, pairs, of = _bigrams(code, token)
+            n = np.bincount(of, train[doc], len(key)).astype(np.int64)
+            pair_part = (key[:pairs] * C.U64(parts) >> C.U64(PAIR_BITS)).astype(np.int64)
+            of_pair, of_rare, of_word = (np.searchsorted(p, np.arange(parts + 1)) for p in (pair_part, C.part_of(key[pairs:], parts), _spread(parts, rare)))
+            of_rare = of_rare + pairs
+            for q in np.flatnonzero(np.diff(of_pair) + np.diff(of_rare) + np.diff(of_word)):
+                p, r, w = (slice(c[q], c[q + 1]) for c in (of_pair, of_rare, of_word))
+                put[0].append(int(q))
+                put[1].append(ASKED)
+                put[2].append(_pack(np.array([number]), C.deltas(key[p]), n[p], C.deltas(key[r]), n[r], C.deltas(rare[w])))
             yield C.rows(schema, *put)
 
     return run
@@ -189,90 +209,69 @@ def _lookup(words, counts, h):
     return np.where(words[at] == h, counts[at], 0)
 
 
-def _resolve(parts: int, hot):
-    """Counts of each bigram, from all its records: (kind, part, blob of bigrams, blob of who has them)."""
-    schema = C.arrow("part int, kind int, blob binary")
-
-    def grouped(key, other, told):
-        """order, index of the group of each in order, training count by group, first of each group."""
-        o = np.argsort(key, kind="stable") if other is None else np.lexsort((other, key))
-        new = key[o][1:] != key[o][:-1]
-        if other is not None:
-            new |= other[o][1:] != other[o][:-1]
-        group = np.cumsum(np.r_[0, new])
-        n = np.bincount(group, np.where(told[o] & 1, told[o] >> 1, 0)).astype(np.int64)
-        return o, group, n, np.flatnonzero(np.r_[True, new])
+def _answers(groups: int):
+    """For each slice that asked a part: the slice, the part, training counts of the bigrams and of the words, in the order asked."""
+    schema = C.arrow(_TOLD)
 
     def run(part):
-        words, counts = hot.value
+        me, out, asked = part["part"][0].as_py(), [[], [], []], []
         own_words, own_counts = np.zeros(0, C.U64), np.zeros(0, np.int64)
-        out, records = [[], [], []], {}
-        me = part["part"][0].as_py()
 
-        def put(p, kind, blob):
-            for col, v in zip(out, (p, kind, blob), strict=True):
+        def put(number, kind, blob):
+            for col, v in zip(out, (_group(number, groups), kind, blob), strict=True):
                 col.append(v)
 
         for kind, blob in zip(part["kind"].to_pylist(), C.blobs(part["blob"]), strict=True):
-            if kind == TABLE:
-                put(me, TABLE, blob)
-            elif kind == COUNTS:
-                w, n = C.decode(blob)
+            if kind == COUNTS:
+                w, n = _unpack(blob)
                 own_words, own_counts = np.cumsum(w, dtype=C.U64), n.view(np.int64)
+            elif kind == TABLE:
+                put(int(_unpack(blob)[0][0]), TABLE, bytes(blob))
             else:
-                records.setdefault(kind, []).append(C.decode(blob))
-        while records:
-            kind, blobs = records.popitem()
-            key = np.concatenate([np.cumsum(b[1], dtype=C.U64) for b in blobs])
-            number = np.repeat(np.array([int(b[0][0]) for b in blobs]), [len(b[1]) for b in blobs])
-            doc, told = (np.concatenate([b[k] for b in blobs]).view(np.int64) for k in (2, 3))
-            other = np.concatenate([b[4] for b in blobs]) if kind != PAIRS else None
-            del blobs
-            o, group, n, first = grouped(key, other, told)
-            key = key[o][first]
-            if kind == PAIRS:
-                context, word = counts[(key >> C.U64(18)).astype(np.int64)], counts[(key & C.U64((1 << 18) - 1)).astype(np.int64)]
-            else:
-                other, own = other[o][first], _lookup(own_words, own_counts, key)
-                if kind == FIRST_RARE:
-                    context, word = own, counts[other.astype(np.int64)]
-                elif kind == SECOND_RARE:
-                    context, word = counts[other.astype(np.int64)], own
-                else:
-                    context, word = own, other
-            first = np.r_[first, len(group)]
-            number, doc, times = number[o], doc[o], told[o] >> 1
-            del o, told
-            for a in range(0, len(n), TYPES):  # in blobs of a bounded size
-                b = min(len(n), a + TYPES)
-                x, y = first[a], first[b]
-                slices, at = np.unique(number[x:y], return_inverse=True)
-                holders = np.diff(first[a : b + 1])
-                if kind != BOTH_RARE:
-                    put(me, SECOND_RARE if kind == SECOND_RARE else PAIRS, C.encode(n[a:b], context[a:b], word[a:b], slices, holders, at, doc[x:y], times[x:y]))
-                    continue
-                where = _spread(COUNTS, parts, word[a:b])  # the part that has the second word's count
-                for p in np.unique(where):
-                    g = where == p
-                    keep = g[group[x:y] - a]
-                    put(int(p), BOTH_RARE, C.encode(n[a:b][g], context[a:b][g], word[a:b][g], slices, holders[g], at[keep], doc[x:y][keep], times[x:y][keep]))
+                asked.append(_unpack(blob))
+        totals = []
+        for k in (1, 3) if asked else ():
+            key, at = np.unique(np.concatenate([np.cumsum(b[k], dtype=C.U64) for b in asked]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([b[k + 1] for b in asked]), len(key)).astype(np.int64)
+            totals.append(np.split(n[at], np.cumsum([len(b[k]) for b in asked])[:-1]))
+        for b, pair, rare in zip(asked, *totals, strict=True) if asked else ():
+            put(int(b[0][0]), ANSWER, _pack(np.array([b[0][0], me]), pair, rare, _lookup(own_words, own_counts, np.cumsum(b[5], dtype=C.U64))))
         return pa.Table.from_batches([C.rows(schema, *out)])
 
     return run
 
 
-def _second_counts(part):
-    schema = C.arrow("part int, kind int, blob binary")
-    own_words, own_counts, blobs = np.zeros(0, C.U64), np.zeros(0, np.int64), []
-    for kind, blob in zip(part["kind"].to_pylist(), C.blobs(part["blob"]), strict=True):
-        if kind == COUNTS:
-            w, n = C.decode(blob)
-            own_words, own_counts = np.cumsum(w, dtype=C.U64), n.view(np.int64)
-        else:
-            blobs.append(C.decode(blob))
-    out = [C.encode(n, context, _lookup(own_words, own_counts, word), *who) for n, context, word, *who in blobs]
-    me = part["part"][0].as_py()
-    return pa.Table.from_batches([C.rows(schema, [me] * len(out), [SECOND_RARE] * len(out), out)])
+def _meet(hot):
+    """A row a slice: its documents, their tokens as places among its words, the words' counts, and the count of each token's bigram."""
+    schema = C.arrow("blob binary")
+
+    def run(group):
+        counts = hot.value[2]
+        tables, answers, out = {}, {}, []
+        for kind, blob in zip(group["kind"].to_pylist(), C.blobs(group["blob"]), strict=True):
+            first, *more = _unpack(blob)
+            if kind == TABLE:
+                tables[int(first[0])] = more
+            else:
+                answers.setdefault(int(first[0]), []).append((int(first[1]), *more))
+        for number in sorted(tables):
+            ids, size, train, hot_words, rare, token = tables[number]
+            hot_words, token = np.cumsum(hot_words, dtype=C.U64), token.view(np.int64)
+            _, pair, other, word = zip(*sorted(answers.get(number, []), key=lambda x: x[0]), strict=True)
+            n, word = np.concatenate([*pair, *other]), np.concatenate([counts[hot_words.astype(np.int64)].astype(C.U64), *word])
+            key, _, of = _bigrams(np.r_[hot_words, np.cumsum(rare, dtype=C.U64) | RARE], token)
+            if len(n) != len(key) or len(word) != len(hot_words) + len(rare):
+                raise ValueError(f"slice {number}: answers for {len(n)} of {len(key)} bigrams, {len(word)} of {len(hot_words) + len(rare)} words")
+            out.append(_pack(ids, size, train, token, word, n[of]))
+        return pa.Table.from_batches([C.rows(schema, out)])
+
+    return run
+
+
+def _tokens(blob):
+    """ids, size and training of a slice's documents; for each token its document, c(v w), c(v) and c(w)."""
+    ids, size, train, token, word, n = (x.view(np.int64) for x in _unpack(blob))
+    return ids, size, train > 0, np.repeat(np.arange(len(ids)), size), n, word[np.r_[token[-1], token[:-1]]], word[token]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -290,19 +289,18 @@ def _held_out(total: int):
 
     def run(batches):
         size = BUCKETS * CELLS * CELLS
+        sums = [np.zeros(size) for _ in range(3)]
         for b in batches:
-            sums = [np.zeros(size) for _ in range(3)]
             for blob in C.blobs(b.column(0)):
-                n, context, word = (x.view(np.int64) for x in C.decode(blob)[:3])
-                seen = n > 0
-                n, context, word = n[seen], context[seen] - 1, word[seen] - 1
-                p2 = np.where(context > 0, (n - 1) / np.maximum(context, 1), 0.0)
+                _, _, train, doc, *counts = _tokens(blob)
+                n, context, word = (x[train[doc]] - 1 for x in counts)
+                p2 = np.where(context > 0, n / np.maximum(context, 1), 0.0)
                 p1 = word / max(1, total - 1)
                 cell = (bucket(context) * CELLS + _size_cell(p2)) * CELLS + _size_cell(p1)
-                for s, w in zip(sums, (n, n * p2, n * p1), strict=True):
+                for s, w in zip(sums, (None, p2, p1), strict=True):
                     s += np.bincount(cell, w, size)
-            some = np.flatnonzero(sums[0])
-            yield C.rows(schema, some, *(s[some] for s in sums))
+        some = np.flatnonzero(sums[0])
+        yield C.rows(schema, some, *(s[some] for s in sums))
 
     return run
 
@@ -332,95 +330,25 @@ def fit_weights(cell, n, p2, p1, uniform: float, rounds: int = 100) -> np.ndarra
     return weights
 
 
-class Sums:
-    """log10 p, log10 base and known tokens of documents, by slice."""
-
-    def __init__(self):
-        self.of, self.held = {}, 0
-
-    def add(self, number: int, doc: np.ndarray, *values: np.ndarray) -> None:
-        sums = self.of.setdefault(number, [np.zeros(0) for _ in range(3)])
-        size = max(len(sums[0]), int(doc.max()) + 1)
-        self.held += size - len(sums[0])
-        for k, old in enumerate(sums):
-            if k < len(values):
-                new = np.bincount(doc, values[k], size)
-                new[: len(old)] += old
-                sums[k] = new
-            elif len(old) < size:
-                sums[k] = np.r_[old, np.zeros(size - len(old))]
-
-    def take(self, groups: int):
-        """(group of slices, blob) of all sums."""
-        numbers = np.array(sorted(self.of, key=lambda x: (x % groups, x)))
-        for g, own in C.by_owner(numbers % groups, numbers):
-            sums = [self.of[x] for x in own.tolist()]
-            yield int(g), C.encode(own, np.array([len(x[0]) for x in sums]), *(np.concatenate([x[k] for x in sums]).view(C.U64) for k in range(3)))
-        self.__init__()
-
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-def _score(weights: np.ndarray, total: int, distinct: int, groups: int):
-    schema = C.arrow(_TOLD)
 
-    def told(sums):
-        rows = list(sums.take(groups))
-        return C.rows(schema, [g for g, _ in rows], [PAIRS] * len(rows), [b for _, b in rows])
+def _score(weights: np.ndarray, total: int, distinct: int):
+    schema = C.arrow(_SCORES)
 
     def run(batches):
-        uniform, sums = 1 / (distinct + 1), Sums()
         for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), C.blobs(b.column(1)), strict=True):
-                if kind == TABLE:
-                    yield C.rows(schema, [int(C.decode(blob)[0][0]) % groups], [TABLE], [bytes(blob)])
-                    continue
-                n, context, word, slices, holders, at, doc, times = (x.view(np.int64) for x in C.decode(blob))
+            for blob in C.blobs(b.column(0)):
+                ids, size, _, doc, n, context, word = _tokens(blob)
                 w = weights[bucket(context)]
-                p = w[:, 0] * n / np.maximum(context, 1) + w[:, 1] * word / max(1, total) + w[:, 2] * uniform
-                values = [np.repeat(np.log10(p), holders) * times]
-                if kind == SECOND_RARE:
-                    values += [np.repeat(np.log10((word + 1) / (total + distinct + 1)), holders) * times, np.repeat(word > 0, holders) * times]
-                order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(len(slices) + 1))
-                doc, values = doc[order], [v[order] for v in values]
-                for k, s in enumerate(slices.tolist()):
-                    x = slice(cut[k], cut[k + 1])
-                    if cut[k] < cut[k + 1]:
-                        sums.add(s, doc[x], *(v[x] for v in values))
-                if sums.held >= HELD:
-                    yield told(sums)
-        if sums.held:
-            yield told(sums)
+                p = w[:, 0] * n / np.maximum(context, 1) + w[:, 1] * word / max(1, total) + w[:, 2] / (distinct + 1)
+                base = np.log10((word + 1) / (total + distinct + 1))
+                sums = [np.bincount(doc, x, len(ids)) for x in (word > 0, base, np.log10(p))]
+                yield C.rows(schema, ids, size, sums[0].astype(np.int64), *sums[1:])
 
     return run
 
 
-_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-
-
-def _meet(group):
-    schema = C.arrow(_SCORES)
-    tables, told = {}, []
-    for kind, blob in zip(group["kind"].to_pylist(), C.blobs(group["blob"]), strict=True):
-        if kind == TABLE:
-            number, *table = C.decode(blob)
-            tables[int(number[0])] = table
-        else:
-            told.append(bytes(blob))
-    sums = {s: [np.zeros(len(t[0])) for _ in range(3)] for s, t in tables.items()}
-    for blob in sorted(told):  # in one order, so that sums repeat
-        numbers, sizes, *columns = C.decode(blob)
-        ends = np.cumsum(sizes).astype(np.int64)
-        for s, a, b in zip(numbers.tolist(), np.r_[0, ends[:-1]], ends, strict=True):
-            for own, c in zip(sums[s], columns, strict=True):
-                own[: b - a] += c[a:b].view(float)
-    out = []
-    for s in sorted(tables):
-        ids, size, known, base = tables[s]
-        score, more, also = sums[s]
-        out.append(C.rows(schema, ids.view(np.int64), size.view(np.int64), known.view(np.int64) + also.astype(np.int64), base.view(float) + more, score))
-    return pa.Table.from_batches(out, schema=schema)
-
-
 def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, parts = docs.sparkSession, C.parts_for(docs, PART_BYTES, C.MOST_TASKS)
@@ -437,18 +365,16 @@ def deleted_interpolation(docs: DataFrame, folds: int = 7, held_out: int = 2, ho
         least = 1 << k
     table = counted.select("blob").mapInArrow(_hot_words(least), "word long, n long").toArrow()  # at most `hot` rows
     words, n = table["word"].to_numpy().view(C.U64), table["n"].to_numpy()
+    words, n = words[by_count := np.lexsort((words, -n))], n[by_count]
     order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((words[order], n[order]))
+    shared = spark.sparkContext.broadcast((words[order], order.astype(C.U64), n))  # words, their ranks, counts by rank
 
     counts = counted.select("part", F.lit(COUNTS).alias("kind"), "blob")
-    resolved = C.stash(by_part(texts.mapInArrow(_scan(parts, shared, total, distinct), _ROUTED).unionByName(counts)).applyInArrow(_resolve(parts, shared), _ROUTED))
-    second = by_part(resolved.where(F.col("kind") == BOTH_RARE).unionByName(counts)).applyInArrow(_second_counts, _ROUTED)
-    both = C.stash(second)
-    bigrams = resolved.where(F.col("kind") != BOTH_RARE).unionByName(both)
+    told = by_part(texts.mapInArrow(_scan(parts, shared), _ROUTED).unionByName(counts)).applyInArrow(_answers(parts), _TOLD)
+    met = C.stash(told.repartition(parts, "slices").groupBy("slices").applyInArrow(_meet(shared), "blob binary"))
 
-    cells = bigrams.where(F.col("kind") != TABLE).select("blob").mapInArrow(_held_out(total), "cell long, n double, p2 double, p1 double")
+    cells = met.mapInArrow(_held_out(total), "cell long, n double, p2 double, p1 double")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").toArrow()  # BUCKETS x CELLS x CELLS at most, a few thousand in use
     weights = fit_weights(*(cells[c].to_numpy() for c in ("cell", "n", "p2", "p1")), 1 / (distinct + 1))
-    told = bigrams.select("kind", "blob").mapInArrow(_score(weights, total, distinct, parts), _TOLD)
-    scores = told.groupBy("slices").applyInArrow(_meet, _SCORES)
+    scores = met.mapInArrow(_score(weights, total, distinct), _SCORES)
     return scores.select("doc_id", (fold == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

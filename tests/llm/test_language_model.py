@@ -95,3 +95,21 @@ def test_empty_and_untrained(spark):
     assert len(got) == len(out) and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in got)
     twice = df.union(df)
     assert M.deleted_interpolation(twice).count() == 80
+
+
+def test_exchange_grows_with_words_not_with_documents_that_share_them(spark):
+    """A bigram is asked for once a slice and answered by a count, however many documents have it."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import common as C
+
+    text = " ".join(f"w{i % 97} v{i}" for i in range(300))
+    none = spark.sparkContext.broadcast((np.zeros(0, C.U64), np.zeros(0, C.U64), np.zeros(0, np.int64)))
+    size = {}
+    for n in (20, 1000):
+        docs = spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit(True).alias("train"))
+        rows = docs.mapInArrow(M._scan(7, none), M._ROUTED)
+        size[n] = rows.where(F.col("kind") == M.ASKED).agg(F.sum(F.length("blob"))).first()[0]
+        told = rows.repartition(7, "part").groupBy("part").applyInArrow(M._answers(7), M._TOLD)
+        size[n] += told.where(F.col("kind") == M.ANSWER).agg(F.sum(F.length("blob"))).first()[0]
+    assert size[1000] < 1.5 * size[20]
