@@ -212,8 +212,8 @@ def _resumed(found: list, begins: dict, path: str) -> dict:
     return out
 
 
-def read_split_recalls(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """sub_id, recall_seg_method, recall_idx, text of recall documents, each read in parallel; written once to the shared folder."""
+def _split_rows(spark: SparkSession, paths: list[str] | str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """path, sub_id, idx, text of recall documents, each read in parallel, written once to the shared folder; and path, method of those that name one. Subjects are told apart by the keys."""
     records = spark.read.option("lineSep", '"').text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
     share = spark.sparkContext.broadcast
 
@@ -228,15 +228,28 @@ def read_split_recalls(spark: SparkSession, paths: list[str] | str) -> DataFrame
     parts = in_order(records.mapInArrow(_summary(share(begins)), "path string, start long, head string, closed boolean, open string, before string, depth int, kinds array<string>, top string, sub string, kept int, fresh boolean"))
     resumed = {k: v for path, found in parts.items() for k, v in _resumed(found, begins, path).items()}
     rows = stash(records.mapInArrow(_segments(share(resumed)), "path string, sub_id string, idx int, text string"))
-    named = rows.where(F.col("idx") == NAMED).groupBy("sub_id").agg(F.count("*").alias("n"))
+    named = rows.where(F.col("idx") == NAMED).groupBy(*keys).agg(F.count("*").alias("n"))
     twice = named.where("n > 1").first()
     if twice is not None:
         raise ValueError(f"Duplicate subject {twice['sub_id']}")
     if {r["path"] for r in rows.where(F.col("idx") == NAMED).select("path").distinct().collect()} != set(shapes):
         raise ValueError("recalls must be an object of subjects")
     kept = rows.where("idx >= 0")
-    empty = named.join(kept.select("sub_id").distinct(), "sub_id", "left_anti").first()
+    empty = named.join(kept.select(*keys).distinct(), keys, "left_anti").first()
     if empty is not None:
         raise ValueError(f"no segments for {empty['sub_id']}")
-    methods = {r["path"]: r["method"] for r in rows.where((F.col("idx") == METHOD) & (F.col("text") != "")).groupBy("path").agg(F.max("text").alias("method")).collect()}
-    return kept.select("sub_id", F.lit(methods.get(min(shapes), "json")).alias("recall_seg_method"), F.col("idx").alias("recall_idx"), "text")
+    return kept, rows.where((F.col("idx") == METHOD) & (F.col("text") != "")).groupBy("path").agg(F.max("text").alias("method"))
+
+
+def read_split_recalls(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """sub_id, recall_seg_method, recall_idx, text of recall documents, each read in parallel; a subject is in one of them."""
+    kept, methods = _split_rows(spark, paths, ["sub_id"])
+    first = kept.agg(F.min("path").alias("path")).join(methods, "path", "left").first()
+    return kept.select("sub_id", F.lit(first["method"] or "json").alias("recall_seg_method"), F.col("idx").alias("recall_idx"), "text")
+
+
+def read_split_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, method, sub_id, recall_idx, text of recall documents that may have the same subjects."""
+    kept, methods = _split_rows(spark, paths, ["path", "sub_id"])
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))).alias("path")  # a URI's escapes, where a plus is itself
+    return kept.join(methods, "path", "left").select(plain, F.coalesce("method", F.lit("json")).alias("method"), "sub_id", F.col("idx").alias("recall_idx"), "text")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,20 +161,27 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 RATINGS = "n_story_segments int, ratings map<string,array<array<string>>>"
 
 
-def _ratings(spark: SparkSession, paths) -> DataFrame:
-    """path, sub_id, recall_idx, story_idxs, n_story."""
-    rows = spark.read.schema(RATINGS).json(paths, multiLine=True).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "*")  # a URI's escapes, where a plus is itself
+def _ratings(files: DataFrame) -> DataFrame:
+    """path, sub_id, recall_idx, story_idxs, n_story. Documents are parsed from their text: Spark's reader of JSON files goes back to the file for each list that is kept as text."""
+    rows = files.select("path", F.from_json(F.regexp_replace("text", "^\ufeff", ""), RATINGS).alias("doc")).select("path", "doc.*")
     pairs = rows.select("path", "n_story_segments", F.explode("ratings").alias("sub_id", "pairs")).select("path", "n_story_segments", "sub_id", F.explode("pairs").alias("pair"))
     return pairs.select("path", "sub_id", F.col("pair")[0].cast("int").alias("recall_idx"), F.from_json(F.col("pair")[1], "array<bigint>").alias("story_idxs"), F.col("n_story_segments").alias("n_story"))
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """sub_id, recall_idx, story_idxs, n_story, from a file of human matches."""
-    return _ratings(spark, path).drop("path")
+    return _ratings(whole_files(spark, path)).drop("path")
 
 
-def read_benchmark(spark: SparkSession, root: str, testset: str, files: tuple[str, str, str]) -> dict[str, DataFrame]:
-    """story, recall (only of rated subjects) and ratings of all stories that dataset.json lists, with story_name: one scan for each, whatever the number of stories."""
+def _found(spark: SparkSession, pattern: str):
+    fs, p = _fs(spark, pattern)
+    return fs.globStatus(p) or []
+
+
+def read_benchmark(spark: SparkSession, root: str, testset: str, files: tuple[str, str, str], split_over: int = SPLIT_OVER) -> dict[str, DataFrame]:
+    """story, recall (only of rated subjects) and ratings of all stories that dataset.json lists, with story_name: one scan for each, whatever the number of stories. Recalls above split_over bytes are read by splits."""
+    from .json_splits import read_split_documents
+
     top = f"{str(root).rstrip('/')}/{testset}"
     listed = read_dataset(spark, f"{top}/dataset.json").distinct()
     own = F.element_at(F.split("path", "/"), -3).alias("story_name")
@@ -183,13 +191,19 @@ def read_benchmark(spark: SparkSession, root: str, testset: str, files: tuple[st
     if missing is not None:
         raise FileNotFoundError(f"{top}/{missing['story_name']}/transcripts/{files[0]}")
     story = _stories(found, files[0].lower().endswith(".json")).select(own, F.col("method").alias("story_seg_method"), F.posexplode("segments").alias("story_idx", "text"))
-    ratings = _ratings(spark, f"{top}/*/matches/{files[2]}").select(own, "*").drop("path").join(listed, "story_name", "left_semi")
+    ratings = _ratings(docs("matches", files[2])).select(own, "*").drop("path")
+    rated = ratings.select("story_name", "sub_id").distinct()
+    recalls = _found(spark, f"{top}/*/recalls/{files[1]}")
+    if any(x.getLen() > split_over for x in recalls):
+        names = {r["story_name"] for r in listed.collect()}
+        paths = [re.sub(r"([{}\[\]*?\\])", r"\\\1", str(x.getPath())) for x in recalls if x.getPath().getParent().getParent().getName() in names]
+        rows = read_split_documents(spark, paths).select(own, "*").join(rated, ["story_name", "sub_id"], "left_semi")
+        return {"story": story, "recall": rows.select("story_name", "sub_id", F.col("method").alias("recall_seg_method"), "recall_idx", "text"), "ratings": ratings}
     lists = _json_recalls(docs("recalls", files[1])).select(own, "*")
     empty = lists.where(F.coalesce(F.size("segments"), F.lit(-1)) <= 0).select("story_name", "sub_id").first()
     if empty is not None:
         raise ValueError(f"no segments for {empty['sub_id']} of {empty['story_name']}")
-    rated = lists.join(ratings.select("story_name", "sub_id").distinct(), ["story_name", "sub_id"], "left_semi")
-    recall = rated.select("story_name", "sub_id", F.col("method").alias("recall_seg_method"), F.posexplode("segments").alias("recall_idx", "text"))
+    recall = lists.join(rated, ["story_name", "sub_id"], "left_semi").select("story_name", "sub_id", F.col("method").alias("recall_seg_method"), F.posexplode("segments").alias("recall_idx", "text"))
     return {"story": story, "recall": recall, "ratings": ratings}
 
 

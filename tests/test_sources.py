@@ -178,3 +178,23 @@ def test_sinks(spark, tmp_path):
     from datetime import datetime
 
     assert sinks.run_name("alice", "cuda", "org/m", True, datetime(2024, 1, 2, 3, 4, 5)) == "20240102_030405-rr-alice-cuda-m_org_m"
+
+
+def test_benchmark_reads_ratings_once_and_recalls_by_splits(spark, tmp_path):
+    """A matches document is read about once, not once more for each pair; recalls read by splits are the same rows."""
+    names = ["a b+", "c%d", "e"]
+    story = spark.createDataFrame([(n, 0, "x") for n in names], "story_name string, story_idx int, text string")
+    recall = spark.createDataFrame([(n, f"s{s}", i, f'{n} "{i}" \\') for n in names for s in range(3) for i in range(200)], "story_name string, sub_id string, recall_idx int, text string")
+    ratings = recall.where("sub_id <> 's2'").select("story_name", "sub_id", "recall_idx", F.array(F.lit(0).cast("long")).alias("story_idxs"))
+    sinks.write_benchmark(story, recall, ratings, tmp_path / "set", method="m")
+    put(tmp_path / "set" / "other" / "recalls" / "m.json", {"not": "listed"})
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    plain = src.read_benchmark(spark, str(tmp_path), "set", ("m.json",) * 3)
+    before = statistics.getLong("bytesRead")
+    assert plain["ratings"].count() == 1200
+    sizes = sum(p.stat().st_size for p in (tmp_path / "set").glob("*/matches/m.json"))
+    assert statistics.getLong("bytesRead") - before < 10 * sizes
+    split = src.read_benchmark(spark, str(tmp_path), "set", ("m.json",) * 3, split_over=0)
+    assert plain["recall"].columns == split["recall"].columns
+    rows = sorted(map(tuple, split["recall"].collect()))
+    assert len(rows) == 1200 and rows == sorted(map(tuple, plain["recall"].collect()))
