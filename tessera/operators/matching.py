@@ -2,21 +2,75 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.functions import codes, text
 
+#: Items of at most so many words in all are broadcast. Counts that a task holds at once.
+MOST_WORDS, MOST_COUNTS = 1 << 19, 1 << 22
+
+
+def _overlaps(shared, least: float, schema: pa.Schema):
+    """Rows (doc key, words) to (doc key, item key, overlap, score), by the items' words in a broadcast index."""
+
+    def run(batches):
+        words, first, n, item, sizes, keys = shared.value
+        for b in batches:
+            lists = b.column(1)
+            place = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy()
+            doc = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            doc, place = doc[place >= 0], place[place >= 0]
+            step = max(1, MOST_COUNTS // max(1, len(item)))
+            for a in range(0, len(b), step):
+                x, y = np.searchsorted(doc, (a, a + step))
+                times = n[place[x:y]]
+                at = np.repeat(first[place[x:y]] - np.r_[0, np.cumsum(times)[:-1]] if x < y else times, times)
+                held = np.repeat(doc[x:y] - a, times) * len(sizes) + item[at + np.arange(len(at))]
+                overlap = np.bincount(held)
+                cell = np.flatnonzero(overlap)
+                d, i = cell // len(sizes), cell % len(sizes)
+                score = overlap[cell] / sizes[i]
+                kept = score >= least
+                yield pa.record_batch([b.column(0).take(pa.array(d[kept] + a)), keys.take(pa.array(i[kept])), pa.array(overlap[cell][kept], pa.int64()), pa.array(score[kept])], schema=schema)
+
+    return run
+
+
+def _by_broadcast(docs: DataFrame, item_words: DataFrame, doc_key: str, item_key: str, least: float, column: str) -> DataFrame:
+    """lexical_matches for items that fit a broadcast: one pass over the documents, of which nothing is exchanged."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    items = item_words.where(F.col(item_key).isNotNull()).toArrow().combine_chunks()  # MOST_WORDS words at most
+    rows = docs.where(F.col(doc_key).isNotNull()).select(doc_key, text.tokens(column).alias("doc_words"))
+    schema = StructType([StructField(doc_key, docs.schema[doc_key].dataType), StructField(item_key, item_words.schema[item_key].dataType), StructField("overlap", LongType()), StructField("score", DoubleType())])
+    one = lambda c: c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
+    keys, lists = one(items[item_key]), one(items["item_words"])
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    words = pc.unique(flat)
+    place = pc.index_in(flat, value_set=words).to_numpy()
+    n = np.bincount(place, minlength=len(words)).astype(np.int64)
+    item = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(place, kind="stable")]
+    shared = docs.sparkSession.sparkContext.broadcast((words, np.cumsum(n) - n, n, item, sizes, keys))
+    return rows.mapInArrow(_overlaps(shared, least, to_arrow_schema(schema)), schema)
+
 
 def lexical_matches(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, least: float = 0.8, column: str = "text") -> DataFrame:
     """doc_key, item_key, overlap, score: pairs whose shared distinct words are at least `least` of the item's.
 
-    Only the rarest words of an item are indexed, so many that a match cannot avoid them all:
+    Items of few words in all (MOST_WORDS) are broadcast, and each document counts the words it shares with each of
+    them. Of more items only the rarest words of an item are indexed, so many that a match cannot avoid them all:
     frequent words never meet. The candidate pairs are then counted exactly.
     """
     from tessera.sources.shared import stash
 
     item_words = items.select(item_key, text.tokens(column).alias("item_words")).where(F.size("item_words") > 0)
+    if (item_words.agg(F.sum(F.size("item_words").cast("long")).alias("n")).first()["n"] or 0) <= MOST_WORDS:
+        return _by_broadcast(docs, item_words, doc_key, item_key, least, column)
     doc_words = stash(docs.select(doc_key, text.tokens(column).alias("doc_words")))  # texts are split once
     used = item_words.select(item_key, F.explode("item_words").alias("word"))
     # how often documents use the items' words decides which are rare

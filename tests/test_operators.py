@@ -223,3 +223,22 @@ def test_containment_equals_a_plain_search(spark):
     assert sorted(map(tuple, got.collect())) == sorted((d, i) for d, t in docs for i, x in items if t is not None and x is not None and x in t)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lexical_matches_of_few_items_exchange_nothing(spark, monkeypatch):
+    """Few items are broadcast and counted in the documents' tasks; more go by their rarest words. Both are the same rows."""
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice(["w", "Ü", "x y", "é"]) + str(r.randint(0, 9)) for _ in range(r.randint(0, n)))
+    docs = spark.createDataFrame([(i, text(30)) for i in range(80)] + [(900, None), (None, "w1 w2"), (901, "")], "d int, text string").repartition(3)
+    items = spark.createDataFrame([(f"i{i}", text(6)) for i in range(30)] + [(None, "w1"), ("n", None), ("e", " ")], "i string, text string")
+    got = matching.lexical_matches(docs, items, "d", "i", 0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Join" not in plan  # at most the repartition above
+    rows = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(matching, "MOST_COUNTS", 1)
+    assert rows == sorted(map(tuple, matching.lexical_matches(docs, items, "d", "i", 0.5).collect()))
+    monkeypatch.setattr(matching, "MOST_WORDS", -1)
+    assert len(rows) > 20 and rows == sorted(map(tuple, matching.lexical_matches(docs, items, "d", "i", 0.5).collect()))
+    assert matching.lexical_matches(docs, items.limit(0), "d", "i").count() == 0
+    monkeypatch.undo()
+    assert matching.lexical_matches(docs, items.limit(0), "d", "i").count() == 0
